@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from hearthframe.llm import chat, simhash
+from hearthframe.llm import chat, mixing, simhash
 
 
 def queries() -> dict:
-    return {"op2_simhash": simhash.op2, "op10_chat_format": chat.op10}
+    return {"op1_source_mix": mixing.op1, "op2_simhash": simhash.op2, "op10_chat_format": chat.op10}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -160,7 +160,7 @@ def links(leaves: DataFrame, budget: int = 2) -> DataFrame:
     ready.append((depth, rows))
 
     def local(level: int):
-        def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        def run(key, group):
             fp = group["fp"].to_numpy().view(np.uint64)
             diff = int(group["diff"].iloc[0])
             if key[0] == key[1]:
