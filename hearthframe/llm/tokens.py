@@ -20,6 +20,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +43,11 @@ LOOKS = 8
 #: Characters that are encoded at once.
 AT_ONCE = 1 << 20
 #: Pieces that a worker keeps.
-KEPT = 600_000
+KEPT = 1_000_000
 #: Bytes of compressed tokens, and documents, of a segment of a token file.
 SEGMENT_BYTES, SEGMENT_DOCS = 4 << 20, 4_096
-#: Documents, of at most so many characters, that a dictionary is trained on, and its bytes.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 1_000, 4_096, 65_536
+#: Documents, about, of which those of at most so many characters are what a dictionary is trained on, and its bytes.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 2_000, 4_096, 65_536
 WHOLE = 2**31 - 1
 
 
@@ -179,15 +180,31 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 # --- token files ----------------------------------------------------------------------------------
 
-_ODD = re.compile(r"\s | \s|^ | $")
+#: White space other than spaces and line feeds, and a space between two other characters.
+_ODD = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A word, perhaps a stop or comma, and the same on the next line.
+_PLAIN = re.compile(r"([^\W\d_]+)([.,]?)(\n)([^\W\d_]+)([.,]?)")
+
+
+def _shown() -> dict[int, str]:
+    """The characters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
 class Pieces:
-    """Encodes texts piece by piece and keeps the pieces' ids, as little-endian unsigned 32-bit integers."""
+    """Encodes texts piece by piece and keeps the pieces' ids, as little-endian unsigned 32-bit integers.
+
+    New pieces that are plain Latin words are given to the library's model as the pretokens that they
+    are, the others to the whole tokenizer.
+    """
 
     def __init__(self, name: str):
-        self.name, self.kept = name, {}
+        self.name, self.kept, self.tails, self.shown = name, {}, {}, _shown()
+        self.space = self.shown[ord(" ")]
+        self.model = tokenizer(name).model if byte_level(name) else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [x for lo, hi in _batched(texts) for x in self._encode(texts[lo:hi])]
@@ -197,12 +214,48 @@ class Pieces:
             self.kept.clear()
         if not byte_level(self.name):
             return [self._ids([t])[0] for t in texts]
-        cuts = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
+        odd = (_ODD.search(t) or "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " for t in texts)
+        cuts = [_CUT.split(t) if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
         firsts = self._ids([c[0] for c in cuts])
-        new = list({p for c in cuts for p in c[1:]}.difference(self.kept))
-        self.kept.update(zip(new, self._ids([" " + p for p in new]), strict=True))
+        get = self.kept.get
+        found = [list(map(get, c)) for c in cuts]
+        for c, f in zip(cuts, found, strict=True):
+            f[0] = b""
+        new = {p for c, f in zip(cuts, found, strict=True) for p, x in zip(c, f, strict=True) if x is None}
+        self._learn(new)
         get = self.kept.__getitem__
-        return [first + b"".join(map(get, c[1:])) for first, c in zip(firsts, cuts, strict=True)]
+        for c, f in zip(cuts, found, strict=True):
+            if None in f:
+                f[:] = [get(p) if x is None else x for p, x in zip(c, f, strict=True)]
+        return [first + b"".join(f) for first, f in zip(firsts, found, strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
+        rest, kept, run, tail = [], self.kept, self._run, self._tail
+        for p in new:
+            if not p.isascii() and max(p, default="") >= "\u0250":
+                rest.append(p)
+            elif p.isalpha():
+                kept[p] = run(" " + p)
+            elif p[-1:] in (".", ",") and p[:-1].isalpha():
+                kept[p] = run(" " + p[:-1]) + tail(p[-1])
+            elif (m := _PLAIN.fullmatch(p)) and m[1].isalpha() and m[4].isalpha():
+                kept[p] = run(" " + m[1]) + (tail(m[2]) if m[2] else b"") + tail("\n") + run(m[4]) + (tail(m[5]) if m[5] else b"")
+            else:
+                rest.append(p)
+        kept.update(zip(rest, self._ids([" " + p for p in rest]), strict=True))
+
+    def _tail(self, run: str) -> bytes:
+        if run not in self.tails:
+            self.tails[run] = self._run(run)
+        return self.tails[run]
+
+    def _run(self, run: str) -> bytes:
+        """The ids of one pretoken."""
+        if run.isascii() and run[:1] == " ":
+            run = self.space + run[1:]
+        else:
+            run = run.encode("utf-8").decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         t = tokenizer(self.name)
@@ -217,12 +270,14 @@ def pieces(name: str) -> Pieces:
 
 
 def dictionary(docs: DataFrame, name: str = BYTE_BPE, size: int = DICTIONARY) -> bytes:
-    """A zstandard dictionary trained on the serialized ids of SAMPLE_DOCS short documents, chosen by a hash.
+    """A zstandard dictionary trained on the serialized ids of those of about SAMPLE_DOCS documents, chosen by a hash of
+    doc_id, that are short.
 
     Too little text to train on gives an empty dictionary, with which frames are plain.
     """
-    short = docs.where((F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)).select("text")
-    texts = [r.text for r in short.orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS).collect()]
+    some = F.pmod(F.xxhash64("doc_id"), F.lit(max(docs.count(), 1))) < SAMPLE_DOCS
+    short = docs.where(some & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)).select("text")
+    texts = [r.text for r in short.collect()]
     samples = pieces(name).encode(texts)
     if len(samples) < 16 or sum(map(len, samples)) < 8 * size:
         return b""
