@@ -1,6 +1,549 @@
-"""Queries of the listing engine over the driver's tables, each with its SQL counterpart."""
+"""Queries of the listing engine over the driver's tables, each with its SQL counterpart.
+
+The tables hold no listings or coordinates, so each query derives them from keys, the same way on both
+sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hearthframe.functions import text as X
+from hearthframe.operators import clean, geocode, metrics, network, spatial, unify
+from hearthframe.plans import urls
+from hearthframe.sources import files, html
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- text -----------------------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT doc_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n FROM (
+  SELECT doc_id, trim(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[\s\x{00A0}]+', ' ', 'g')) AS t FROM documents)
+""")
+def q01_clean_text(spark, sf):
+    t = X.clean_text(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), F.length("t").cast("long").alias("n"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN contains(lower(s), 'estrenar') THEN '0' ELSE regexp_replace(s, '[^0-9]', '', 'g') END AS digits
+FROM (SELECT o_orderkey, coalesce(o_orderpriority, '') || CASE WHEN o_custkey % 4 = 0 THEN ' A Estrenar' WHEN o_custkey % 4 = 1 THEN ', 45,5 m²' ELSE '' END AS s FROM orders)
+""")
+def q02_force_int(spark, sf):
+    tail = F.when(F.col("o_custkey") % 4 == 0, F.lit(" A Estrenar")).when(F.col("o_custkey") % 4 == 1, F.lit(", 45,5 m²")).otherwise(F.lit(""))
+    return table(spark, sf, "orders").select("o_orderkey", X.force_int(F.concat(F.coalesce("o_orderpriority", F.lit("")), tail)).alias("digits"))
+
+
+@query("""
+SELECT source, count(*) AS n, CAST(sum(CASE WHEN contains(u, 'USD') OR contains(u, 'U$S') OR contains(u, 'DOLARES') OR contains(u, 'US$') THEN 1 ELSE 0 END) AS BIGINT) AS in_dollars
+FROM (SELECT source, upper(coalesce(text, '')) || CASE doc_id % 5 WHEN 0 THEN ' U$S 900' WHEN 1 THEN ' 900 DÓLARES' WHEN 2 THEN ' USD' ELSE '' END AS u FROM documents) GROUP BY source
+""")
+def q03_currency_filter(spark, sf):
+    tail = F.when(F.col("doc_id") % 5 == 0, F.lit(" u$s 900")).when(F.col("doc_id") % 5 == 1, F.lit(" 900 dólares")).when(F.col("doc_id") % 5 == 2, F.lit(" usd")).otherwise(F.lit(""))
+    usd = X.is_usd(F.concat(F.coalesce("text", F.lit("")), tail))
+    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(usd).alias("in_dollars"))
+
+
+@query(r"""
+SELECT p_partkey, CASE WHEN regexp_extract(s, '(?i)(\d+)\s*amb', 1) <> '' THEN regexp_extract(s, '(?i)(\d+)\s*amb', 1)
+  WHEN contains(lower(s), 'dos amb') THEN '2' WHEN contains(lower(s), 'tres amb') THEN '3' WHEN contains(lower(s), 'cuatro amb') THEN '4' ELSE '' END AS rooms
+FROM (SELECT p_partkey, p_name || ' ' || CAST(p_size AS VARCHAR) || CASE p_size % 5 WHEN 0 THEN ' Ambientes' WHEN 1 THEN 'amb' WHEN 2 THEN ' m2 Tres amb.' WHEN 3 THEN ' dos ambientes' ELSE ' un ambiente' END AS s FROM part)
+""")
+def q04_number_before_word(spark, sf):
+    k = F.col("p_size") % 5
+    tail = F.when(k == 0, F.lit(" Ambientes")).when(k == 1, F.lit("amb")).when(k == 2, F.lit(" m2 Tres amb.")).when(k == 3, F.lit(" dos ambientes")).otherwise(F.lit(" un ambiente"))
+    return table(spark, sf, "part").select("p_partkey", X.rooms_in(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), tail)).alias("rooms"))
+
+
+@query("""
+SELECT p_partkey, regexp_matches(p_name, '[0-9]') AS name_digit, regexp_matches(p_brand, '[0-9]') AS brand_digit, trim(split_part(p_brand, '#', 1)) AS lead FROM part
+""")
+def q05_digit_flag_split(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.has_digit(F.col("p_name")).alias("name_digit"), X.has_digit(F.col("p_brand")).alias("brand_digit"), X.first_part(F.col("p_brand"), "#").alias("lead"))
+
+
+@query("""
+SELECT page_id, CAST(nth - 1 AS BIGINT) AS place, CASE WHEN starts_with(href, '/') THEN 'https://www.zonaprop.com.ar' || href ELSE href END AS url FROM (
+  SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS nth FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS hrefs FROM pages))
+""".replace("\\\\", "\\"))
+def q06_url_absolutise(spark, sf):
+    found = table(spark, sf, "pages").select("page_id", F.posexplode(html.links(F.col("html"))).alias("place", "href"))
+    return found.select("page_id", F.col("place").cast("long"), X.absolute_url(F.col("href"), html.HOSTS["zonaprop"]).alias("url"))
+
+
+@query("""
+SELECT n_nationkey, array_to_string(list_transform(string_split(replace(slug, '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title,
+  CASE WHEN slug = 'barrio-norte' THEN 'recoleta' ELSE slug END AS recoded, trim(replace(line, 'LINEA ', '')) AS line,
+  CASE trim(replace(line, 'LINEA ', '')) WHEN 'A' THEN '#00AEEF' WHEN 'B' THEN '#ED1C24' WHEN 'C' THEN '#0054A6' WHEN 'D' THEN '#00802F' WHEN 'E' THEN '#662D91' WHEN 'H' THEN '#FFD100' END AS color
+FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'barrio-norte' ELSE lower(replace(n_name, ' ', '-')) END AS slug, 'LINEA ' || chr(65 + n_nationkey % 9) || ' ' AS line FROM nation)
+""")
+def q07_recode_title(spark, sf):
+    slug = F.when(F.col("n_nationkey") % 5 == 0, F.lit("barrio-norte")).otherwise(F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))))
+    line = X.without(F.concat(F.lit("LINEA "), F.char(65 + F.col("n_nationkey") % 9), F.lit(" ")), "LINEA ")
+    return table(spark, sf, "nation").select("n_nationkey", X.title_case(slug).alias("title"), X.recode(slug, {"barrio-norte": "recoleta"}).alias("recoded"), line.alias("line"), X.lookup(line, geocode.LINE_COLORS).alias("color"))
+
+
+@query("""
+SELECT doc_id FROM (
+  SELECT doc_id, rooms, t, replace(t, ' ', '') AS c FROM (
+    SELECT doc_id, CAST(doc_id % 4 AS VARCHAR) AS rooms,
+      lower(coalesce(substr(text, 1, 60), 'nan') || ' ' || CASE WHEN doc_id % 5 = 0 THEN 'nan' ELSE coalesce(substr(text, 61, 60), 'nan') END || ' ' || CAST(doc_id % 4 AS VARCHAR)) AS t FROM documents))
+WHERE NOT (contains(t, 'on the') OR contains(c, 'onthe') OR contains(t, 'en de') OR contains(c, 'ende') OR contains(t, '1 amb') OR contains(c, '1amb') OR rooms = '1')
+""")
+def q08_exclusion_filter(spark, sf):
+    info = F.when(F.col("doc_id") % 5 != 0, F.substring("text", 61, 60))
+    out = clean.is_excluded(F.substring("text", 1, 60), info, (F.col("doc_id") % 4).cast("string"), ["on the", "en de", "1 amb"])
+    return table(spark, sf, "documents").where(~out).select("doc_id")
+
+
+@query("""
+SELECT o_orderkey, price FROM (SELECT o_orderkey, CASE WHEN o_custkey % 6 = 0 THEN '$ ' ELSE '' END || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS price FROM orders)
+WHERE regexp_full_match(price, '[0-9]+') AND CASE WHEN regexp_full_match(price, '[0-9]+') THEN CAST(price AS BIGINT) END BETWEEN 10000 AND 999999
+""")
+def q09_range_filter(spark, sf):
+    price = F.concat(F.when(F.col("o_custkey") % 6 == 0, F.lit("$ ")).otherwise(F.lit("")), F.floor("o_totalprice").cast("bigint").cast("string"))
+    return table(spark, sf, "orders").select("o_orderkey", price.alias("price")).where(clean.is_valid_price(F.col("price")))
+
+
+# --- deduplication, union, casts ------------------------------------------------------------------
+
+
+@query("SELECT user_id, min(event_id) AS event_id, min_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def q10_keep_first(spark, sf):
+    return clean.keep_first(table(spark, sf, "events"), ["user_id"], ["event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("""
+WITH e AS (SELECT event_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id END AS k FROM events)
+SELECT k, min(event_id) AS event_id FROM e WHERE k IS NOT NULL GROUP BY k UNION ALL SELECT k, event_id FROM e WHERE k IS NULL
+""")
+def q11_keep_first_null_exempt(spark, sf):
+    keyed = table(spark, sf, "events").select("event_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("k"))
+    return clean.keep_first(keyed, ["k"], ["event_id"], null_exempt=True).select("k", "event_id")
+
+
+def _parties(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return unify.union_all([c, s])
+
+
+_PARTIES = """SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance, CAST(NULL AS INTEGER) AS nation FROM customer
+UNION ALL SELECT s_suppkey, s_name, NULL, NULL, s_nationkey FROM supplier"""
+
+
+@query(_PARTIES)
+def q12_union_by_name(spark, sf):
+    return _parties(spark, sf)
+
+
+@query(f"""
+WITH p AS ({_PARTIES})
+SELECT 'id' AS "column", 'bigint' AS type, CAST(count(*) - count(id) AS BIGINT) AS nulls FROM p UNION ALL SELECT 'name', 'string', count(*) - count(name) FROM p
+UNION ALL SELECT 'segment', 'string', count(*) - count(segment) FROM p UNION ALL SELECT 'balance', 'double', count(*) - count(balance) FROM p UNION ALL SELECT 'nation', 'int', count(*) - count(nation) FROM p
+""")
+def q13_null_profile(spark, sf):
+    return unify.null_profile(_parties(spark, sf))
+
+
+@query("""
+SELECT event_id, coalesce(CASE WHEN regexp_full_match(s, '-?[0-9]+') THEN try_cast(s AS BIGINT) END, CASE WHEN try_cast(s AS DOUBLE) = floor(try_cast(s AS DOUBLE)) THEN CAST(try_cast(s AS DOUBLE) AS BIGINT) END) AS n
+FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN k WHEN 1 THEN k || '.0' WHEN 2 THEN k || '.5' WHEN 3 THEN 'x' || k END AS s FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events))
+""")
+def q14_lenient_cast(spark, sf):
+    k, m = F.get_json_object("props", "$.k"), F.col("event_id") % 5
+    s = F.when(m == 0, k).when(m == 1, F.concat(k, F.lit(".0"))).when(m == 2, F.concat(k, F.lit(".5"))).when(m == 3, F.concat(F.lit("x"), k))
+    return table(spark, sf, "events").select("event_id", unify.lenient_long(s).alias("n"))
+
+
+@query("""
+SELECT o_orderkey, CAST(CAST(try_strptime(s, '%d/%m/%Y') AS DATE) AS VARCHAR) AS day FROM (
+  SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN '31/02/2024' WHEN 1 THEN 'ayer' ELSE strftime(o_orderdate, '%-d/%-m/%Y') END AS s FROM orders)
+""")
+def q15_dayfirst_date(spark, sf):
+    m = F.col("o_orderkey") % 10
+    s = F.when(m == 0, F.lit("31/02/2024")).when(m == 1, F.lit("ayer")).otherwise(F.date_format("o_orderdate", "d/M/yyyy"))
+    return table(spark, sf, "orders").select("o_orderkey", unify.day_first(s).cast("string").alias("day"))
+
+
+@query(r"""
+SELECT portal, max_by(path, (regexp_extract(path, '(\d{4}-\d{2}-\d{2})', 1), path)) AS path FROM (
+  SELECT 'p' || CAST(o_custkey % 3 AS VARCHAR) AS portal, 'data/p' || CAST(o_custkey % 3 AS VARCHAR) || '/p_' || CASE WHEN o_orderkey % 9 = 0 THEN 'undated' ELSE strftime(o_orderdate, '%Y-%m-%d') END || '.csv' AS path FROM orders) GROUP BY portal
+""")
+def q16_latest_snapshot(spark, sf):
+    portal = F.concat(F.lit("p"), (F.col("o_custkey") % 3).cast("string"))
+    day = F.when(F.col("o_orderkey") % 9 == 0, F.lit("undated")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    paths = table(spark, sf, "orders").select(portal.alias("portal"), F.concat(F.lit("data/"), portal, F.lit("/p_"), day, F.lit(".csv")).alias("path"))
+    return paths.groupBy("portal").agg(F.max_by("path", F.struct(X.file_date(F.col("path")), F.col("path"))).alias("path"))
+
+
+# --- the search plan and output -------------------------------------------------------------------
+
+
+def _plan(spark, sf) -> DataFrame:
+    slugs = spark.createDataFrame([(p, t, x) for (p, t), x in urls.SLUGS.items()], "portal string, tipo string, slug string")
+    barrios = table(spark, sf, "nation").select(F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))).alias("barrio"), F.explode(F.array(*map(F.lit, urls.TIPOS))).alias("tipo"))
+    return barrios.join(F.broadcast(slugs), "tipo").select("barrio", "tipo", "portal", urls.portal_url(F.col("portal"), F.col("slug"), F.col("barrio"), F.col("tipo")).alias("url"))
+
+
+_PLAN = """
+SELECT barrio, tipo, portal, CASE portal
+  WHEN 'zonaprop' THEN 'https://www.zonaprop.com.ar/' || concat_ws('-', CASE tipo WHEN 'ph' THEN 'ph' ELSE 'departamentos' END, 'alquiler', barrio, CASE WHEN tipo <> 'ph' THEN 'con-balcon' END, 'desde-1-hasta-2-habitaciones', 'desde-2-hasta-3-ambientes', 'mas-35-m2-cubiertos', '350000-800000-pesos') || '.html'
+  WHEN 'argenprop' THEN 'https://www.argenprop.com/' || CASE tipo WHEN 'ph' THEN 'ph' ELSE 'departamentos' END || '/alquiler/' || barrio || '/pesos-350000-800000?' || concat_ws('&', '*-300000-expensas', CASE WHEN tipo <> 'ph' THEN 'con-ambiente-balcon' END, 'solo-ver-pesos')
+  ELSE 'https://cabaprop.com.ar/propiedades/' || concat_ws('-', 'alquilar', tipo, replace(barrio, '-', '_'), 'pesos_desde_350000_hasta_800000', 'superficieCubierta_desde_35', 'ambientes_2_3', 'dormitorios_1_2') || '?pagina=1' END AS url
+FROM (SELECT lower(replace(n_name, ' ', '-')) AS barrio FROM nation), (VALUES ('departamento'), ('ph')) t(tipo), (VALUES ('zonaprop'), ('argenprop'), ('cabaprop')) p(portal)
+"""
+
+
+@query(_PLAN)
+def q17_cross_url_plan(spark, sf):
+    return _plan(spark, sf)
+
+
+@query("""
+SELECT o_orderkey, cost, CASE WHEN cost IS NULL THEN '#808080' WHEN cost >= 0 AND cost < 300000 THEN '#1a9850' WHEN cost >= 300000 AND cost < 400000 THEN '#91cf60' WHEN cost >= 400000 AND cost < 500000 THEN '#d9ef8b'
+  WHEN cost >= 500000 AND cost < 600000 THEN '#fee08b' WHEN cost >= 600000 AND cost < 700000 THEN '#fc8d59' WHEN cost >= 700000 AND cost < 800000 THEN '#d73027' ELSE '#67000d' END AS color
+FROM (SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN NULL WHEN o_custkey % 10 = 1 THEN -1 ELSE CAST(floor(o_totalprice * 3) AS BIGINT) END + coalesce(CASE WHEN o_custkey % 3 = 0 THEN 100000 END, 0) AS cost FROM orders)
+""")
+def q18_bins_style(spark, sf):
+    price = F.when(F.col("o_custkey") % 10 == 1, F.lit(-1).cast("long")).when(F.col("o_custkey") % 10 != 0, F.floor(F.col("o_totalprice") * 3))
+    cost = metrics.total_cost(price, F.when(F.col("o_custkey") % 3 == 0, F.lit(100_000).cast("long")))
+    return table(spark, sf, "orders").select("o_orderkey", cost.alias("cost")).select("o_orderkey", "cost", metrics.band(F.col("cost")).alias("color"))
+
+
+@query("""
+SELECT c_custkey, 'Feature' AS kind, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'Point' END AS shape, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(-58 AS DOUBLE) - c_custkey % 64 / 64.0 END AS lon FROM customer
+""")
+def q19_geojson_feature(spark, sf):
+    lon = F.when(F.col("c_custkey") % 4 != 0, -58.0 - F.col("c_custkey") % 64 / 64.0)
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", lon.alias("lon"), F.lit(-34.5).alias("lat"))
+    at = lambda path: F.get_json_object("j", path)
+    return rows.select("c_custkey", files.feature(["c_custkey", "c_name"]).alias("j")).select("c_custkey", at("$.type").alias("kind"), at("$.properties.c_name").alias("name"), at("$.geometry.type").alias("shape"), at("$.geometry.coordinates[0]").cast("double").alias("lon"))
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1)) AS BIGINT) AS links FROM pages""".replace("\\\\", "\\"))
+def q20_html_links(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.size(html.links(F.col("html"))).cast("long").alias("links"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?i)<html[^>]*\slang="([^"]*)"', 1) AS lang FROM pages""")
+def q21_html_title_lang(spark, sf):
+    return table(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"), html.lang(F.col("html")).alias("lang"))
+
+
+# --- space ----------------------------------------------------------------------------------------
+
+#: Two polygons: a concave one, and a square with a hole.
+POLYGONS = [
+    ("ele", [[(10, 10), (60, 12), (58, 30), (30, 28), (28, 80), (9, 78)]]),
+    ("hueco", [[(40, 40), (95, 42), (93, 95), (38, 90)], [(55, 55), (75, 56), (74, 76), (54, 75)]]),
+]
+
+
+def _polygons(spark) -> DataFrame:
+    rows = [(n, [[(float(x), float(y)) for x, y in r] for r in rings]) for n, rings in POLYGONS]
+    return spark.createDataFrame(rows, "nombre string, rings array<array<struct<x:double,y:double>>>")
+
+
+def _sides_sql() -> str:
+    rows = [f"('{n}', {a[0]}, {a[1]}, {b[0]}, {b[1]})" for n, rings in POLYGONS for r in rings for a, b in zip(r, r[1:] + r[:1], strict=True)]
+    return f"(SELECT pid, CAST(x1 AS DOUBLE) x1, CAST(y1 AS DOUBLE) y1, CAST(x2 AS DOUBLE) x2, CAST(y2 AS DOUBLE) y2 FROM (VALUES {', '.join(rows)}) v(pid, x1, y1, x2, y2))"
+
+
+def _customer_points(spark, sf) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(k.alias("id"), ((k * 37 % 1000) / 10.0 + 0.037).alias("x"), ((k * 91 % 1000) / 10.0 + 0.061).alias("y"))
+
+
+_CUSTOMER_POINTS = "(SELECT c_custkey AS id, (c_custkey * 37 % 1000) / CAST(10 AS DOUBLE) + CAST(0.037 AS DOUBLE) AS x, (c_custkey * 91 % 1000) / CAST(10 AS DOUBLE) + CAST(0.061 AS DOUBLE) AS y FROM customer)"
+_INSIDE = f"""SELECT id, pid FROM {_CUSTOMER_POINTS} p JOIN {_sides_sql()} s ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY id, pid HAVING count(*) % 2 = 1"""
+
+
+@query(f"SELECT id, pid AS nombre FROM ({_INSIDE})")
+def q22_point_in_polygon(spark, sf):
+    return spatial.within(_customer_points(spark, sf), _polygons(spark), "nombre", 5.0).select("id", "nombre")
+
+
+def _lonlat(spark, sf) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(k.alias("id"), (-58.6 + k % 100 / 500.0).alias("lon"), (-34.8 + k * 7 % 100 / 500.0).alias("lat"))
+
+
+def _projection_sql() -> str:
+    radius, alpha, _ = spatial._series()
+    e = math.sqrt(spatial.FLATTENING * (2 - spatial.FLATTENING))
+    num = lambda v: f"CAST('{v!r}' AS DOUBLE)"
+    east = " + ".join(["eta", *(f"{num(a)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
+    north = " + ".join(["xi", *(f"{num(a)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
+    return f"""
+WITH p AS (SELECT c_custkey AS id, CAST(-58.6 AS DOUBLE) + c_custkey % 100 / CAST(500 AS DOUBLE) AS lon, CAST(-34.8 AS DOUBLE) + c_custkey * 7 % 100 / CAST(500 AS DOUBLE) AS lat FROM customer),
+a AS (SELECT id, radians(lon + 60) AS turn, sinh(atanh(sin(radians(lat))) - {num(e)} * atanh({num(e)} * sin(radians(lat)))) AS t FROM p),
+b AS (SELECT id, atan2(t, cos(turn)) AS xi, atanh(sin(turn) / sqrt(1 + t * t)) AS eta FROM a)
+SELECT id, round(5500000 + {num(radius)} * ({east}), 3) AS x, round({num(radius)} * ({north}) + {num(radius * math.pi / 2)}, 3) AS y FROM b"""
+
+
+@query(_projection_sql())
+def q23_project_tm(spark, sf):
+    x, y = spatial.project(F.col("lon"), F.col("lat"))
+    return _lonlat(spark, sf).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+def _supplier_nodes(spark, sf) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(k.alias("node_id"), (k * 53 % 997 / 10.0).alias("x"), (k * 29 % 991 / 10.0).alias("y"))
+
+
+_SUPPLIER_NODES = "(SELECT s_suppkey AS node_id, s_suppkey * 53 % 997 / CAST(10 AS DOUBLE) AS x, s_suppkey * 29 % 991 / CAST(10 AS DOUBLE) AS y FROM supplier)"
+_SNAP = f"SELECT id, min_by(node_id, (d, node_id)) AS node_id, min(d) AS d FROM (SELECT id, node_id, sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) AS d FROM {_CUSTOMER_POINTS} p, {_SUPPLIER_NODES} n) GROUP BY id"
+
+
+@query(f"SELECT id, node_id, round(d, 6) AS d FROM ({_SNAP})")
+def q24_nearest_node(spark, sf):
+    return spatial.nearest(_customer_points(spark, sf), _supplier_nodes(spark, sf), 5.0).select("id", "node_id", F.round("d", 6).alias("d"))
+
+
+@query("""
+WITH l AS (SELECT CAST(c_custkey % 50 AS DOUBLE) ax, CAST(c_custkey * 7 % 50 AS DOUBLE) ay, CAST(c_custkey * 3 % 50 AS DOUBLE) bx, CAST(c_custkey * 11 % 50 AS DOUBLE) by_, CAST(c_custkey * 5 % 50 AS DOUBLE) mx, CAST(c_custkey * 13 % 50 AS DOUBLE) my FROM customer),
+w AS (SELECT *, sqrt(pow(ax - mx, 2) + pow(ay - my, 2)) + sqrt(pow(mx - bx, 2) + pow(my - by_, 2)) AS w FROM l),
+b AS (SELECT ax, ay, bx, by_ AS "by", w FROM w UNION ALL SELECT bx, by_, ax, ay, w FROM w)
+SELECT ax, ay, bx, "by", round(min(w), 6) AS w FROM b GROUP BY ax, ay, bx, "by"
+""")
+def q25_graph_edges(spark, sf):
+    k = F.col("c_custkey")
+    at = lambda a, b: F.struct((k * a % 50).cast("double").alias("x"), (k * b % 50).cast("double").alias("y"))
+    nodes, links = network.graph(table(spark, sf, "customer").select(F.array(F.array(at(1, 7), at(5, 13), at(3, 11))).alias("parts")))
+    a, b = (nodes.select(F.col("node_id").alias(n), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y")) for n, p in (("src", "a"), ("dst", "b")))
+    return links.join(a, "src").join(b, "dst").select("ax", "ay", "bx", "by", F.round("w", 6).alias("w"))
+
+
+def _part_links(spark, sf) -> DataFrame:
+    w = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_quantity").alias("w"))
+    return w.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"), "w").union(w.select(-F.col("l_suppkey"), "l_partkey", "w"))
+
+
+_REACH = """
+RECURSIVE w AS (SELECT l_partkey AS p, -l_suppkey AS s, min(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
+links AS (SELECT p AS src, s AS dst, w FROM w UNION ALL SELECT s, p, w FROM w),
+walk AS (SELECT p_partkey AS origin, p_partkey AS node, CAST(0 AS DOUBLE) AS d FROM part UNION SELECT origin, dst, d + w FROM walk JOIN links ON node = src WHERE d + w <= 3),
+reached AS (SELECT origin, node, min(d) AS d FROM walk GROUP BY origin, node)
+"""
+
+
+@query(f"WITH {_REACH} SELECT origin, node, d FROM reached")
+def q26_bounded_reach(spark, sf):
+    return network.reach(table(spark, sf, "part").select(F.col("p_partkey").alias("node")), _part_links(spark, sf), 3.0)
+
+
+_LAYER = "CASE p_size % 5 WHEN 0 THEN 'gym' WHEN 1 THEN 'subte' WHEN 2 THEN 'parque' WHEN 3 THEN 'plaza' END"
+
+
+def _wide_sql(layers: list[str]) -> str:
+    return ", ".join(f"CAST(floor(min(CASE WHEN layer = '{n}' THEN d END)) AS BIGINT) AS distancia_m_{n}, CAST(count(CASE WHEN layer = '{n}' THEN 1 END) AS BIGINT) AS cant_{n}" for n in layers)
+
+
+@query(f"""
+WITH {_REACH}, targets AS (SELECT p_partkey AS node, {_LAYER} AS layer FROM part)
+SELECT p_partkey AS id, {_wide_sql(metrics.LAYERS)} FROM part LEFT JOIN (SELECT origin, layer, d FROM reached JOIN targets USING (node)) h ON p_partkey = h.origin GROUP BY p_partkey
+""")
+def q27_reach_min_count(spark, sf):
+    part = table(spark, sf, "part")
+    k = F.col("p_size") % 5
+    layer = F.when(k == 0, F.lit("gym")).when(k == 1, F.lit("subte")).when(k == 2, F.lit("parque")).when(k == 3, F.lit("plaza"))
+    targets = part.select(layer.alias("layer"), F.col("p_partkey").alias("node"))
+    reached = network.reach(part.select(F.col("p_partkey").alias("node")), _part_links(spark, sf), 3.0)
+    return metrics.by_layer(part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("node")), reached, targets).drop("node")
+
+
+def _streets(spark, sf) -> DataFrame:
+    """Links between neighbouring suppliers, by the whole metres between them."""
+    n = _supplier_nodes(spark, sf)
+    pairs = n.select("*", F.explode(F.array(F.lit(1), F.lit(7))).alias("step")).withColumn("to", F.col("node_id") + F.col("step"))
+    m = n.select(F.col("node_id").alias("to"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    w = pairs.join(m, "to").select(F.col("node_id").alias("src"), F.col("to").alias("dst"), F.floor(F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2))).cast("double").alias("w"))
+    return w.union(w.select("dst", "src", "w"))
+
+
+_FLAGSHIP_CUTOFF = 120.0
+
+
+@query(f"""
+WITH RECURSIVE nodes AS {_SUPPLIER_NODES}, one AS (SELECT a.node_id AS src, b.node_id AS dst, floor(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS w FROM nodes a JOIN nodes b ON b.node_id = a.node_id + 1 OR b.node_id = a.node_id + 7),
+links AS (SELECT src, dst, w FROM one UNION ALL SELECT dst, src, w FROM one),
+inside AS ({_INSIDE}), snapped AS ({_SNAP}), homes AS (SELECT i.id, i.pid, s.node_id FROM inside i JOIN snapped s ON i.id = s.id),
+walk AS (SELECT DISTINCT node_id AS origin, node_id AS node, CAST(0 AS DOUBLE) AS d FROM homes UNION SELECT origin, dst, d + w FROM walk JOIN links ON node = src WHERE d + w <= {_FLAGSHIP_CUTOFF}),
+reached AS (SELECT origin, node, min(d) AS d FROM walk GROUP BY origin, node),
+hits AS (SELECT origin, d, CASE s_suppkey % 5 WHEN 0 THEN 'gym' WHEN 1 THEN 'subte' WHEN 2 THEN 'parque' WHEN 3 THEN 'plaza' END AS layer FROM reached JOIN supplier ON node = s_suppkey),
+m AS (SELECT h.id, h.pid, {_wide_sql(metrics.LAYERS)} FROM homes h LEFT JOIN hits t ON h.node_id = t.origin GROUP BY h.id, h.pid),
+c AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(floor(abs(c_acctbal) * 90) AS BIGINT) END + coalesce(CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 50 AS BIGINT) * 1000 END, 0) AS costo_total FROM customer)
+SELECT m.*, costo_total, CASE WHEN costo_total IS NULL THEN '#808080' WHEN costo_total < 300000 THEN '#1a9850' WHEN costo_total < 400000 THEN '#91cf60' WHEN costo_total < 500000 THEN '#d9ef8b'
+  WHEN costo_total < 600000 THEN '#fee08b' WHEN costo_total < 700000 THEN '#fc8d59' WHEN costo_total < 800000 THEN '#d73027' ELSE '#67000d' END AS color
+FROM (SELECT id, pid AS "Barrio", * EXCLUDE (id, pid) FROM m) m JOIN c ON c_custkey = m.id
+""")
+def q28_listing_metrics(spark, sf):
+    """Listings in districts, snapped to street nodes, with network distances and counts by layer, cost and price band."""
+    points = _customer_points(spark, sf)
+    homes = spatial.within(points, _polygons(spark).withColumnRenamed("nombre", "Barrio"), "Barrio", 5.0).select("id", "Barrio")
+    snapped = spatial.nearest(points, _supplier_nodes(spark, sf), 5.0).select("id", F.col("node_id").alias("node"))
+    homes = homes.join(snapped, "id")
+    k = F.col("s_suppkey") % 5
+    layer = F.when(k == 0, F.lit("gym")).when(k == 1, F.lit("subte")).when(k == 2, F.lit("parque")).when(k == 3, F.lit("plaza"))
+    targets = table(spark, sf, "supplier").select(layer.alias("layer"), F.col("s_suppkey").alias("node"))
+    reached = network.reach(homes.select("node"), _streets(spark, sf), _FLAGSHIP_CUTOFF)
+    found = metrics.by_layer(homes, reached, targets).drop("node")
+    price = F.when(F.col("c_custkey") % 11 != 0, F.floor(F.abs("c_acctbal") * 90))
+    cost = metrics.total_cost(price, F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 50 * 1000))
+    costs = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), cost.alias("costo_total"))
+    return found.join(costs, "id").withColumn("color", metrics.band(F.col("costo_total")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT DISTINCT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))")
+def q29_semi_in(spark, sf):
+    wanted = table(spark, sf, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_custkey").alias("o_custkey")).distinct()
+    return table(spark, sf, "orders").join(wanted, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("""
+WITH a AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS DOUBLE) END AS lat, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 7 = 0 THEN CAST(-c_custkey AS DOUBLE) END AS lon FROM customer)
+SELECT c_custkey, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lat WHEN n.n_nationkey IS NOT NULL THEN CAST(n_nationkey AS DOUBLE) END AS lat, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lon WHEN n.n_nationkey IS NOT NULL THEN CAST(-n_nationkey AS DOUBLE) END AS lon
+FROM a LEFT JOIN nation n ON c_nationkey = n_nationkey AND n_regionkey <> 2
+""")
+def q30_incremental_fill(spark, sf):
+    address = F.concat(F.lit("Calle "), F.col("n_name"), F.lit(" 100 - CABA"))
+    nations = table(spark, sf, "nation")
+    full = F.concat(F.lit("Calle "), F.col("n_name"), F.lit(" 100  "), F.lit(X.ADDRESS_TAIL))
+    dimension = nations.where("n_regionkey <> 2").select(full.alias("full_address"), F.col("n_nationkey").cast("double").alias("lat"), (-F.col("n_nationkey")).cast("double").alias("lon"))
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").join(nations.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey").select("c_custkey", address.alias("Direccion"), F.when(k % 3 == 0, k.cast("double")).alias("lat"), F.when((k % 3 == 0) | (k % 7 == 0), (-k).cast("double")).alias("lon"))
+    return geocode.filled(rows, "Direccion", dimension).select("c_custkey", "lat", "lon")
+
+
+# --- listings from pages --------------------------------------------------------------------------
+
+
+def _cards(spark, sf) -> DataFrame:
+    """One captured page for each customer, with one card in the markup of one of the portals."""
+    k = F.col("c_custkey")
+    price = F.floor(F.abs("c_acctbal") * 90).cast("string")
+    zona = F.concat(
+        F.lit('<div class="x postingCardLayout-module__posting-card-layout__1"><div class="postingPrices-module__price__9">$ '), price, F.lit('<span class="discount-1"> 5%</span></div><span class="postingPrices-module__expenses">$ 1.500 Expensas</span>'),
+        F.lit('<h3 class="postingCard-module__posting-description"><a href="/p/'), k.cast("string"), F.lit('">Calle '), k.cast("string"), F.lit(' - lindo</a></h3><div class="postingLocations-module__location-address">Av. Sin numero</div>'),
+        F.lit('<span class="postingMainFeatures-module__posting-main-features-span">45 m² tot.</span><span class="postingMainFeatures-module__posting-main-features-span">3 amb.</span></div>'),
+    )
+    argen = F.concat(
+        F.lit('<div class="listing__item"><a href="/d/'), k.cast("string"), F.lit('"><p class="card__price">$ '), price, F.lit(' + 900 exp</p><span class="card__expenses">+ $ 900</span><p class="card__address">Calle 1</p><h2 class="card__title">Depto 2 ambientes</h2><p class="card__info">Lindo</p>'),
+        F.lit('<ul class="card__main-features"><li>40 m²</li><li>a estrenar</li></ul></a></div>'),
+    )
+    caba = F.concat(
+        F.lit('<div class="cards"><span class="lc-price-normal">'), F.when(k % 2 == 0, F.lit("USD ")).otherwise(F.lit("$ ")), price, F.lit('</span><div class="tc_content"><h4>Tres ambientes</h4><p><strong>Palermo</strong> Gorriti 4000 <br>fondo</p><div class="badge_icon"><img alt="Casa SA"></div></div>'),
+        F.lit('<ul class="prop_details"><li>2 Dorm</li><li>60 Total</li></ul><a href="https://cabaprop.com.ar/x/'), k.cast("string"), F.lit('">ver</a><span>Publicado el 05/03/2024</span></div>'),
+    )
+    portal = F.element_at(F.array(F.lit("zonaprop"), F.lit("argenprop"), F.lit("cabaprop")), (k % 3 + 1).cast("int"))
+    page = F.when(k % 3 == 0, zona).when(k % 3 == 1, argen).otherwise(caba)
+    return table(spark, sf, "customer").select(portal.alias("portal"), F.lit("palermo").alias("barrio"), F.when(k % 5 == 0, F.lit("ph")).otherwise(F.lit("departamento")).alias("tipo"), F.lit(1).alias("page_no"), k.alias("seq"), page.alias("html"))
+
+
+_LISTINGS = """
+WITH c AS (SELECT c_custkey AS k, CAST(CAST(floor(abs(c_acctbal) * 90) AS BIGINT) AS VARCHAR) AS price FROM customer WHERE NOT (c_custkey % 3 = 2 AND c_custkey % 2 = 0))
+SELECT k AS seq, CASE k % 3 WHEN 0 THEN 'zonaprop' WHEN 1 THEN 'argenprop' ELSE 'cabaprop' END AS portal, CASE WHEN k % 5 = 0 THEN 'PH' ELSE 'Departamento' END AS tipo, price,
+  CASE k % 3 WHEN 0 THEN '1500' WHEN 1 THEN '900' END AS expensas, CASE k % 3 WHEN 0 THEN 'Calle ' || k WHEN 1 THEN 'Calle 1' ELSE 'Gorriti 4000' END AS direccion,
+  CASE k % 3 WHEN 0 THEN '3' WHEN 1 THEN '2' ELSE '3' END AS ambientes, CASE k % 3 WHEN 0 THEN '45' WHEN 2 THEN '60' END AS totales, CASE k % 3 WHEN 1 THEN '0' END AS antiguedad, CASE k % 3 WHEN 0 THEN '5%' END AS rebaja,
+  CASE k % 3 WHEN 2 THEN 'Casa SA' END AS inmobiliaria, CASE k % 3 WHEN 2 THEN '05/03/2024' END AS publicado,
+  CASE k % 3 WHEN 0 THEN 'https://www.zonaprop.com.ar/p/' || k WHEN 1 THEN 'https://www.argenprop.com/d/' || k ELSE 'https://cabaprop.com.ar/x/' || k END AS url FROM c
+"""
+
+
+@query(_LISTINGS)
+def q31_html_listings(spark, sf):
+    names = {"Portal": "portal", "Tipo": "tipo", "Precio": "price", "Expensas": "expensas", "Direccion": "direccion", "Ambientes": "ambientes", "Metros_Totales": "totales", "Antiguedad": "antiguedad", "Porcentaje_Rebaja": "rebaja", "Inmobiliaria": "inmobiliaria", "Fecha_Publicacion": "publicado", "URL": "url"}
+    return html.raw_listings(_cards(spark, sf)).select("seq", *(F.col(a).alias(b) for a, b in names.items()))
+
+
+@query(f"""
+SELECT portal, count(*) AS n, CAST(sum(CAST(price AS BIGINT)) AS BIGINT) AS total, min(CAST(CASE WHEN publicado IS NOT NULL THEN DATE '2024-03-05' END AS VARCHAR)) AS first_day FROM ({_LISTINGS}) WHERE CAST(price AS BIGINT) BETWEEN 10000 AND 999999 GROUP BY portal
+""")
+def q32_listing_table(spark, sf):
+    kept = clean.cleaned(clean.first_labels(html.raw_listings(_cards(spark, sf))))
+    out = unify.typed(clean.ordered(kept))
+    return out.groupBy(F.col("Portal").alias("portal")).agg(F.count("*").alias("n"), F.sum("Precio").alias("total"), F.min(F.col("Fecha_Publicacion").cast("string")).alias("first_day"))
+
+
+@query("""
+SELECT c_custkey AS id, round((0 + c_custkey % 10 + 3 + 5) / CAST(3 AS DOUBLE), 6) AS x, round((0 + 2 + c_custkey % 13 + 20) / CAST(3 AS DOUBLE), 6) AS y FROM customer
+""")
+def q33_centroid(spark, sf):
+    k = F.col("c_custkey")
+    p = lambda x, y: F.struct(F.lit(x).cast("double").alias("x") if not hasattr(x, "cast") else x.cast("double").alias("x"), F.lit(y).cast("double").alias("y") if not hasattr(y, "cast") else y.cast("double").alias("y"))
+    ring = F.array(p(0, 0), p(k % 10 + 3, 2), p(5, k % 13 + 20))
+    x, y = spatial.centroid(F.array(ring))
+    return table(spark, sf, "customer").select(k.alias("id"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query("SELECT c_custkey AS id, round(CAST(-58.6 AS DOUBLE) + c_custkey % 100 / CAST(500 AS DOUBLE), 7) AS lon, round(CAST(-34.8 AS DOUBLE) + c_custkey * 7 % 100 / CAST(500 AS DOUBLE), 7) AS lat FROM customer")
+def q34_unproject_tm(spark, sf):
+    lon, lat = spatial.unproject(F.col("x"), F.col("y"))
+    return spatial.projected(_lonlat(spark, sf)).select("id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 4 WHEN 2 THEN 'plaza' ELSE 'parque' END AS cat, CASE p_size % 4 WHEN 2 THEN '#99d8c9' ELSE '#2ca25f' END AS "fillColor" FROM part WHERE p_size % 4 < 3
+""")
+def q35_green_layers(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ["PARQUE", "JARDÍN BOTANICO", "PLAZA", "OTRO"])), (F.col("p_size") % 4 + 1).cast("int"))
+    green = metrics.green_spaces(table(spark, sf, "part").select("p_partkey", kind.alias("clasificac")))
+    return green.select("p_partkey", "cat", metrics.green_style(F.col("cat")).alias("s")).select("p_partkey", "cat", "s.fillColor")
+
+
+@query(_PLAN)
+def q36_plan_flattened(spark, sf):
+    return urls.flat_plan(urls.nested_plan(_plan(spark, sf)))
+
+
+@query("""
+SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM (SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders)
+""")
+def q37_map_export(spark, sf):
+    return metrics.for_map(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
+
+
+@query("""
+SELECT cadena, nombre, plan, color_map, lat FROM (
+  SELECT 'SportClub' AS cadena, s_name AS nombre, 'total' AS plan, '#003366' AS color_map, CAST(s_suppkey AS DOUBLE) AS lat FROM supplier
+  UNION ALL SELECT 'Megatlon', c_name, c_mktsegment, '#ff6600', CAST(c_nationkey AS DOUBLE) FROM customer WHERE c_nationkey < 20
+  UNION ALL SELECT 'Smartfit', n_name, 'black', '#cc0000', CAST(n_nationkey AS DOUBLE) FROM nation WHERE n_nationkey < 20)
+""")
+def q38_gym_layer(spark, sf):
+    address = lambda c: F.concat(F.lit("Calle "), c.cast("string"))
+    nation = table(spark, sf, "nation")
+    dimension = nation.where("n_nationkey < 20").select(X.full_address(address(F.col("n_nationkey"))).alias("full_address"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(-58.0).alias("lon"))
+    chains = {
+        "SportClub": table(spark, sf, "supplier").select(F.col("s_name").alias("nombre"), F.lit("total").alias("tipo_plan"), F.lit("x").alias("direccion"), F.col("s_suppkey").cast("double").alias("lat"), F.lit(-58.0).alias("lon")),
+        "Megatlon": table(spark, sf, "customer").select(F.col("c_name").alias("Nombre"), address(F.col("c_nationkey")).alias("Dirección"), F.col("c_mktsegment").alias("Plan")),
+        "Smartfit": nation.select(F.col("n_name").alias("sede"), address(F.col("n_nationkey")).alias("Dirección"), F.lit("black").alias("smart-ui-text 8")),
+    }
+    return geocode.gyms(chains, dimension).select("cadena", "nombre", "plan", "color_map", "lat")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q28_listing_metrics(spark, sf_dir)
