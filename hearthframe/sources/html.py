@@ -241,14 +241,14 @@ def fields(portal: str, card: Column) -> dict[str, Column]:
     }
 
 
-def raw_listings(pages: DataFrame, max_pages: int | None = 3) -> DataFrame:
-    """Captured pages (portal, barrio, tipo, page_no, seq, html) -> listings in the superset schema, with seq, page_no and card.
+def raw_listings(pages: DataFrame, max_pages: int | None = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Captured pages (portal, barrio, tipo, page_no, seq, html) -> listings in the superset schema, with seq, page_no, card_no and the carried columns.
 
     Cards priced in dollars and cards that can't be read are left out; nothing is deduplicated yet.
     """
     if max_pages is not None:
         pages = pages.where(F.col("page_no") <= max_pages)
-    found = pages.select("portal", "barrio", "tipo", "page_no", "seq", F.posexplode(cards_of(F.col("html"), F.col("portal"))).alias("card_no", "card"))
+    found = pages.select("portal", "barrio", "tipo", "page_no", "seq", *carry, F.posexplode(cards_of(F.col("html"), F.col("portal"))).alias("card_no", "card"))
     found = found.where(F.col("card.error").isNull() & ~X.is_usd(F.col("card.price_raw")))
     made = {p: fields(p, F.col("card")) for p in CARDS}
     known = {"Portal": F.col("portal"), "Barrio": F.col("barrio"), "Tipo": X.type_label(F.col("tipo"))}
@@ -263,7 +263,7 @@ def raw_listings(pages: DataFrame, max_pages: int | None = 3) -> DataFrame:
                 out = F.when(test, cols[name]) if out is None else out.when(test, cols[name])
         return out
 
-    return found.select("seq", "page_no", "card_no", *(value(c).alias(c) for c in CORE + EXTRA))
+    return found.select("seq", "page_no", "card_no", *carry, *(value(c).alias(c) for c in CORE + EXTRA))
 
 
 # --- flat elements of any page --------------------------------------------------------------------

@@ -16,7 +16,6 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def new_listings(stream: DataFrame, late: str = "7 days") -> DataFrame:
     """Listings of pages, each URL of a portal once while the watermark holds it; those without a URL all pass."""
-    found = stream.withWatermark("captured", late)
-    listed = raw_listings(found.withColumn("seq", F.unix_millis("captured")))
-    listed = listed.withColumn("captured", F.timestamp_millis("seq")).withColumn("key", F.coalesce(F.nullif("URL", F.lit("")), F.uuid()))
-    return listed.withWatermark("captured", late).dropDuplicatesWithinWatermark(["Portal", "key"]).drop("key")
+    listed = raw_listings(stream.withWatermark("captured", late), carry=("captured",))
+    own = F.concat_ws("-", "Barrio", "Tipo", "seq", "page_no", "card_no")
+    return listed.withColumn("key", F.coalesce(F.nullif("URL", F.lit("")), own)).dropDuplicatesWithinWatermark(["Portal", "key"]).drop("key")
