@@ -28,8 +28,8 @@ LOW, HIGH = 100, 990
 BITS, FULL, EACH = 2_048, 160, 5
 #: Bytes that are scanned at once.
 AT_ONCE = 1 << 17
-#: Bytes of documents in one range of doc_ids, about.
-RANGE_BYTES = 32 << 20
+#: Bytes of documents in one range of doc_ids, about, and ranges at most: beyond, ranges grow, which are streamed.
+RANGE_BYTES, RANGES = 32 << 20, 20_000
 _SCALE = 1 << 20
 #: c * log2(c) for the counts of a byte in a window, in whole numbers so that running sums stay exact.
 _CLOGC = np.array([0, *(round(c * np.log2(c) * _SCALE) for c in range(1, WINDOW + 1))], np.int64)
@@ -203,17 +203,24 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (part, halo, doc_id, text), dealt and sorted so that in a partition each row of a part
     is followed by the next document by descending doc_id, the last row of a part by a halo row.
 
-    Parts are ranges of doc_ids of about RANGE_BYTES. The first document of each part goes to the part
+    Parts are ranges of doc_ids of about RANGE_BYTES, RANGES of them at most, so that what the driver knows of
+    them (a bound and a first doc_id each) and the broadcast of it are bounded. The first document of each part goes to the part
     before it as well; that of the first part to the last part.
     """
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     sizes = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.count("doc_id").alias("known")).first()
-    parts = (sizes.n or 0) // RANGE_BYTES + 1
+    parts = min(RANGES, (sizes.n or 0) // RANGE_BYTES + 1)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 and sizes.known else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    # parts by descending doc_id, null last
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0))
+    held = docs.sparkSession.sparkContext.broadcast(np.array(sorted(set(cuts or [])), np.int64))
+
+    def place(ids: pa.Array) -> pa.Array:
+        """Ranges by descending doc_id, null last: the cuts that a doc_id doesn't exceed."""
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        at = np.searchsorted(held.value, ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(np.where(known, len(held.value) - at, len(held.value)).astype(np.int32))
+
+    part = F.arrow_udf(place, "int")("doc_id")
     docs = docs.withColumn("part", part)
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("hash"))
     firsts = [(r.part, r.first) for r in docs.groupBy("part").agg(F.max(order).alias("first")).orderBy("part").collect()]
@@ -222,10 +229,10 @@ def neighbours(docs: DataFrame) -> DataFrame:
     before = {part: firsts[k - 1][0] for k, (part, _) in enumerate(firsts)}
     heads = docs.sparkSession.createDataFrame([(p, before[p], f.doc_id, f.hash) for p, f in firsts], "part int, to int, id long, h long")
     same = (docs.part == heads.part) & docs.doc_id.eqNullSafe(heads.id) & (F.xxhash64(docs.text) == heads.h)
-    held = docs.join(F.broadcast(heads), same, "left").select(docs.part, "to", "doc_id", "text")
+    marked = docs.join(F.broadcast(heads), same, "left").select(docs.part, "to", "doc_id", "text")
     copies = F.when(F.col("to").isNull(), F.array(F.struct(F.col("part"), F.lit(0).alias("halo"))))
     copies = copies.otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("halo")), F.struct(F.col("to").alias("part"), F.lit(1).alias("halo"))))
-    dealt = held.select(F.explode(copies).alias("at"), "doc_id", "text").select("at.*", "doc_id", "text")
+    dealt = marked.select(F.explode(copies).alias("at"), "doc_id", "text").select("at.*", "doc_id", "text")
     dealt = dealt.repartitionByRange(len(firsts), "part")
     return dealt.sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
 
