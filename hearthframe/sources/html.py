@@ -165,11 +165,12 @@ _PARTS = ["price_raw", "price", "discount", "title", "address", "expenses", "hre
 CARD = T.ArrayType(T.StructType([*(T.StructField(p, T.StringType()) for p in _PARTS), *(T.StructField(p, T.ArrayType(T.StringType())) for p in ("address_parts", "features"))]))
 
 
-def cards(page: str | None, portal: str | None) -> list[dict]:
+def cards(page: str | None, portal: str | None, readers: dict | None = None) -> list[dict]:
     """The raw parts of each card of a page; a card that can't be read has only an error."""
-    if portal not in CARDS:
+    readers = readers or CARDS
+    if portal not in readers:
         return []
-    test, read = CARDS[portal]
+    test, read = readers[portal]
     out = []
     for card in parse(page).all(test):
         try:
@@ -179,12 +180,12 @@ def cards(page: str | None, portal: str | None) -> list[dict]:
     return out
 
 
-def cards_of(html: Column, portal: Column) -> Column:
+def cards_of(html: Column, portal: Column, readers: dict | None = None) -> Column:
     """The cards of a page as an array of raw parts."""
     kind = to_arrow_type(CARD)
 
     def run(pages: pa.Array, portals: pa.Array) -> pa.Array:
-        return pa.array([cards(h, p) for h, p in zip(pages.to_pylist(), portals.to_pylist(), strict=True)], kind)
+        return pa.array([cards(h, p, readers) for h, p in zip(pages.to_pylist(), portals.to_pylist(), strict=True)], kind)
 
     return F.arrow_udf(run, CARD)(html, portal)
 

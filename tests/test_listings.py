@@ -1,6 +1,6 @@
 from hearthframe.operators import clean, unify
 from hearthframe.schema import PAGES, PORTAL_COLUMNS
-from hearthframe.sources import files, html
+from hearthframe.sources import files, html, legacy
 from hearthframe.streaming import captured
 
 ZONA = """<div class="a postingCardLayout-module__posting-card-layout__x"><div class="postingPrices-module__price">{price}</div>
@@ -92,3 +92,18 @@ def test_stream_of_pages(spark, tmp_path):
     run = out.writeStream.format("memory").queryName("listed").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert spark.table("listed").count() == 1
+
+
+def test_legacy_rules(spark):
+    def read(portal, card):
+        df = legacy.legacy_listings(spark.createDataFrame([(portal, "b", "ph", 1, 1, card), (portal, "b", "ph", 4, 2, card)], PAGES), portal)
+        assert df.columns == legacy.COLUMNS
+        (row,) = df.collect()
+        return row
+
+    r = read("zonaprop", ZONA.format(price=" USD 900 ", href="/p", place="Calle 1"))
+    assert (r.Precio, r.Metros, r.Dormitorios, r.Ambientes, r.URL, r.Titulo, r.Baños) == ("USD 900", "45 m² cub.", "2 dorm.", "", "https://www.zonaprop.com.ar/p", "", None)
+    r = read("argenprop", ARGEN.format(href="/d", price="$ 1 + 2", title="x"))
+    assert (r.Precio, r.Metros, r.Baños, r.Titulo) == ("$ 1 + 2", "40 m²", "1 baño", "")
+    r = read("cabaprop", '<div class="cards"><span class="lc-price-small">Expensas: $ 9</span><div class="tc_content"><h4>T</h4><p>Depto<br> Calle 2 </p></div><div class="details"><a href="/y">v</a></div><ul class="prop_details"><li><b>2</b> Ambientes</li><li>50 m² total</li></ul></div>')
+    assert (r.Precio, r.Expensas, r.Direccion, r.URL, r.Ambientes, r.Metros, r.Titulo) == ("Consultar", "$ 9", "Calle 2", "https://cabaprop.com.ar/y", "2  Ambientes", "", "T")
