@@ -5,12 +5,14 @@ that both hold; the longest tile among the words not yet marked is marked again
 SHORTEST words, so passages whose parts were put in another order are still covered. The share of an
 item's words that is covered decides.
 
-Runs are found by rolling hashes over word numbers, and those that meet are extended along their
-diagonal; numbers and not hashes are compared, but for the seeds.
+Seeds are found by rolling hashes over the hashes of words, which are taken from the bytes of a text at
+once; only a text that holds a seed is taken apart into words. Runs that meet are then extended along
+their diagonal, and words and not hashes are compared.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 from itertools import repeat
@@ -28,25 +30,66 @@ SEED, SHORTEST, COVER = 5, 3, 0.5
 #: Words of the benchmark that are sent to the executors at once; a larger benchmark is gone through in blocks.
 BLOCK = 2_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = bytes(32 if chr(k) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else k for k in range(256))
+_SPACES = bytes(32 if chr(k) in "\t\n\v\f\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else k for k in range(256))
+#: Bytes that are hashed at once.
+AT_ONCE = 1 << 20
+#: Bits of the table that says which words may be the benchmark's.
+TABLE = 18
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-case words; ASCII punctuation counts as white space."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACES).split() if text else []
+def plain(text: str | None) -> bytes:
+    """A text in lower case with ASCII punctuation and white space as spaces."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACES) if text else b""
 
 
-def rolling(numbers: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k numbers."""
-    if len(numbers) < k:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(numbers) - k + 1, np.uint64)
+def words_of(text: str | None) -> list[bytes]:
+    return plain(text).split()
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte; the powers of an odd number, and of its inverse, modulo 2^64."""
+    base = 0x9E3779B97F4A7C15
+    of = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
+    up, down = (np.full(AT_ONCE + 1, x, np.uint64) for x in (base, pow(base, -1, 2**64)))
+    up[0] = down[0] = 1
+    return of, np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word of a plain() text, the same wherever the word stands."""
+    of, up, down = _powers()
+    out, lo = [], 0
+    while lo < len(raw):
+        hi = len(raw)
+        if hi - lo > AT_ONCE:
+            cut = raw.rfind(b" ", lo, lo + AT_ONCE)
+            hi = lo + AT_ONCE if cut <= lo else cut
+        data = np.frombuffer(raw, np.uint8, hi - lo, lo)
+        edge = np.flatnonzero(np.diff(data == 32, prepend=True, append=True))
+        begin, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(of[data] * up[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[begin]) * down[begin]
+        out.append((h ^ (h >> np.uint64(31))) * _PRIME)
+        lo = hi
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def rolling_at(numbers: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k numbers that begin at these places."""
+    out = np.zeros(len(at), np.uint64)
     for j in range(k):
-        out = (out * _PRIME) + numbers[j : j + len(out)].astype(np.uint64)
+        out = (out * _PRIME) + numbers[at + j].astype(np.uint64)
         out ^= out >> np.uint64(29)
     return out
 
 
+def rolling(numbers: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k numbers."""
+    return rolling_at(numbers, np.arange(max(0, len(numbers) - k + 1)), k)
+
+
 def tiles(item: np.ndarray, text: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: (place in item, place in text, words) of tiles that overlap in neither, longest first, then first in item and text."""
     shortest = min(shortest, len(item))
@@ -84,38 +127,47 @@ def tiles(item: np.ndarray, text: np.ndarray, shortest: int) -> list[tuple[int,
 
 
 class Benchmark:
-    """Items as word numbers, and their seeds."""
+    """Items as word numbers, their seeds, and a table of the first bits of their words' hashes."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.numbers: dict[bytes, int] = {}
         self.items = [(i, np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(t)], np.int64)) for i, t in items]
+        self.table = np.zeros(1 << TABLE, bool)
         seeds: dict[int, dict[int, list[int]]] = {}
-        for at, (_, item) in enumerate(self.items):
-            if len(item):
-                k = min(SEED, len(item))
-                for h in set(rolling(item, k).tolist()):
+        for at, (_, text) in enumerate(items):
+            hashes = word_hashes(plain(text))
+            if len(hashes):
+                self.table[hashes >> np.uint64(64 - TABLE)] = True
+                k = min(SEED, len(hashes))
+                for h in set(rolling(hashes, k).tolist()):
                     seeds.setdefault(k, {}).setdefault(h, []).append(at)
         self.seeds = {k: (np.array(sorted(x), np.uint64), x) for k, x in seeds.items()}
 
-    def hits(self, text: str | None) -> list[dict]:
-        """item_id and coverage of the items that a text holds, by item_id."""
-        found = words_of(text)
-        numbers = np.fromiter(map(self.numbers.get, found, repeat(0)), np.int64, len(found))
-        near: set[int] = set()
+    def near(self, raw: bytes) -> list[int]:
+        """The items that share a seed with a plain() text."""
+        hashes, found = word_hashes(raw), set()
+        known = self.table[hashes >> np.uint64(64 - TABLE)]
         for k, (keys, owners) in self.seeds.items():
-            full = np.ones(max(0, len(numbers) - k + 1), bool)
-            for j in range(k):
-                full &= numbers[j : j + len(full)] > 0
+            full = known[: max(0, len(known) - k + 1)].copy()
+            for j in range(1, k):
+                full &= known[j : j + len(full)]
             at = np.flatnonzero(full)
             if len(at):
-                runs = np.zeros(len(at), np.uint64)
-                for j in range(k):
-                    runs = (runs * _PRIME) + numbers[at + j].astype(np.uint64)
-                    runs ^= runs >> np.uint64(29)
-                for h in np.intersect1d(runs, keys).tolist():
-                    near.update(owners[h])
-        out = []
-        for at in sorted(near):
+                runs = rolling_at(hashes, at, k)
+                place = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+                for h in set(runs[keys[place] == runs].tolist()):
+                    found.update(owners[h])
+        return sorted(found)
+
+    def hits(self, text: str | None) -> list[dict]:
+        """item_id and coverage of the items that a text holds, by item_id."""
+        raw = plain(text)
+        near = self.near(raw)
+        if not near:
+            return []
+        words, out = raw.split(), []
+        numbers = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
+        for at in near:
             item_id, item = self.items[at]
             share = sum(m for _, _, m in tiles(item, numbers, SHORTEST)) / len(item)
             if share >= COVER:

@@ -25,6 +25,17 @@ def brute_tiles(item, text, shortest):
         out.append((a, b, m))
 
 
+def test_word_hashes(monkeypatch):
+    words = ["a", "b", "ab", "ba", "ñandú", "x" * 40, "the", "of"]
+    text = " ".join(words * 30) + "  , \n" + " ".join(words)
+    whole = decontam.word_hashes(decontam.plain(text))
+    assert len(whole) == len(decontam.words_of(text)) == 31 * len(words)
+    assert (whole.reshape(-1, len(words)) == whole[: len(words)]).all() and len(set(whole.tolist())) == len(words)
+    monkeypatch.setattr(decontam, "AT_ONCE", 64)
+    assert (decontam.word_hashes(decontam.plain(text)) == whole).all()
+    assert len(decontam.word_hashes(b"")) == len(decontam.word_hashes(b"   ")) == 0
+
+
 def test_tiles_against_greedy_search():
     rng = random.Random(5)
     for _ in range(150):
