@@ -199,10 +199,16 @@ FEATURES = {
 HOSTS = {"zonaprop": "https://www.zonaprop.com.ar", "argenprop": "https://www.argenprop.com", "cabaprop": "https://cabaprop.com.ar"}
 
 
-def feature(portal: str, field: str, features: Column) -> Column:
-    """The last feature of this field, as digits; null if there is none."""
-    own = F.filter(features, lambda f: X.classify(X.clean_text(f), FEATURES[portal]) == field)
-    return F.when(F.size(own) > 0, X.force_int(X.clean_text(F.element_at(own, -1))))
+def kinds(portal: str, features: Column) -> Column:
+    """Each feature's field and digits, as an array of (field, value)."""
+    texts = F.transform(features, X.clean_text)
+    return F.transform(texts, lambda t: F.struct(X.classify(t, FEATURES[portal]).alias("field"), X.force_int(t).alias("value")))
+
+
+def feature(field: str, found: Column) -> Column:
+    """The last value of this field among kinds(); null if there is none."""
+    own = F.filter(found, lambda k: k["field"] == field)
+    return F.when(F.size(own) > 0, F.element_at(own, -1)["value"])
 
 
 def _if_found(part: Column, value: Column) -> Column:
@@ -213,11 +219,10 @@ def _rooms(field: Column, text: Column) -> Column:
     return F.when(F.coalesce(field, F.lit("")) == "", F.coalesce(F.nullif(X.rooms_in(text), F.lit("")), field)).otherwise(field)
 
 
-def fields(portal: str, card: Column) -> dict[str, Column]:
-    """The listing fields that a portal's card gives."""
+def fields(portal: str, card: Column, found: Column, title: Column) -> dict[str, Column]:
+    """The listing fields that a portal's card gives, from its parts, kinds() and cleaned title."""
     part = lambda name: card[name]
-    out = {kind: feature(portal, kind, part("features")) for kind, _ in FEATURES[portal]}
-    title = X.clean_text(part("title"))
+    out = {kind: feature(kind, found) for kind, _ in FEATURES[portal]}
     if portal == "zonaprop":
         place, lead = X.clean_text(part("address")), F.substring_index(title, "-", 1)
         return out | {
@@ -251,20 +256,18 @@ def raw_listings(pages: DataFrame, max_pages: int | None = 3, carry: tuple[str,
         pages = pages.where(F.col("page_no") <= max_pages)
     found = pages.select("portal", "barrio", "tipo", "page_no", "seq", *carry, F.posexplode(cards_of(F.col("html"), F.col("portal"))).alias("card_no", "card"))
     found = found.where(F.col("card.error").isNull() & ~X.is_usd(F.col("card.price_raw")))
-    made = {p: fields(p, F.col("card")) for p in CARDS}
     known = {"Portal": F.col("portal"), "Barrio": F.col("barrio"), "Tipo": X.type_label(F.col("tipo"))}
 
-    def value(name: str) -> Column:
-        if name in known:
-            return known[name]
-        out = None
-        for portal, cols in made.items():
-            if name in cols:
-                test = F.col("portal") == portal
-                out = F.when(test, cols[name]) if out is None else out.when(test, cols[name])
-        return out
-
-    return found.select("seq", "page_no", "card_no", *carry, *(value(c).alias(c) for c in CORE + EXTRA))
+    def listed(portal: str) -> DataFrame:
+        own = found.where(F.col("portal") == portal).withColumn("found", kinds(portal, F.col("card.features"))).withColumn("title", X.clean_text(F.col("card.title")))
+        made = known | fields(portal, F.col("card"), F.col("found"), F.col("title"))
+        kind = {c: "boolean" if c == "Bajo_Precio" else "string" for c in CORE + EXTRA}
+        return own.select("seq", "page_no", "card_no", *carry, *(made.get(c, F.lit(None)).cast(kind[c]).alias(c) for c in kind))
+
+    first, *rest = (listed(p) for p in CARDS)
+    for other in rest:
+        first = first.unionByName(other)
+    return first
 
 
 # --- flat elements of any page --------------------------------------------------------------------
