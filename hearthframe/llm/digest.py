@@ -28,6 +28,8 @@ LOW, HIGH = 100, 990
 BITS, FULL, EACH = 2_048, 160, 5
 #: Bytes that are scanned at once.
 AT_ONCE = 1 << 17
+#: Bits for a place among so many windows and a run.
+PLACE = 18
 #: Bytes of documents in one range of doc_ids, about, and ranges at most: beyond, ranges grow, which are streamed.
 RANGE_BYTES, RANGES = 32 << 20, 20_000
 _SCALE = 1 << 20
@@ -37,16 +39,15 @@ _GAIN = np.diff(_CLOGC).astype(np.int32)
 _MIX = np.random.default_rng(7).integers(1, 2**63, (EACH, WINDOW // 8), dtype=np.uint64) | np.uint64(1)
 
 
-def _repeats(data: np.ndarray, forward: bool) -> np.ndarray:
-    """How many of the WINDOW - 1 bytes after (or before) each byte equal it."""
-    out = np.zeros(len(data), np.uint8)
+def _repeats(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the WINDOW - 1 bytes before each byte, and of those after it, equal it."""
+    before, after = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+    same = np.empty(len(data), bool)
     for k in range(1, min(WINDOW, len(data))):
-        same = (data[k:] == data[:-k]).view(np.uint8)
-        if forward:
-            out[:-k] += same
-        else:
-            out[k:] += same
-    return out
+        found = np.equal(data[k:], data[:-k], out=same[k:]).view(np.uint8)
+        before[k:] += found
+        after[:-k] += found
+    return before, after
 
 
 def entropies(data: np.ndarray) -> np.ndarray:
@@ -58,13 +59,13 @@ def entropies(data: np.ndarray) -> np.ndarray:
     total = np.empty(n, np.int64)
     total[0] = _CLOGC[counts].sum()
     if n > 1:
-        before, after = _repeats(data, False), _repeats(data, True)
+        before, after = _repeats(data)
         # the window moves from k to k+1: byte k leaves (it has after[k] equals left), byte k+WINDOW comes in; its
         # equals among the WINDOW-1 bytes between are before[k+WINDOW]
-        moved = _GAIN[before[WINDOW:]].astype(np.int64) - _GAIN[after[: n - 1]]
-        total[1:] = total[0] + np.cumsum(moved)
-    bits = np.log2(WINDOW) - total / (WINDOW * _SCALE)
-    return np.clip(bits / np.log2(WINDOW) * STEPS, 0, STEPS - 1).astype(np.int16)
+        moved = _GAIN[before[WINDOW:]] - _GAIN[after[: n - 1]]
+        np.cumsum(moved, out=total[1:])
+        total[1:] += total[0]
+    return np.clip(STEPS - total * (STEPS / (WINDOW * np.log2(WINDOW) * _SCALE)), 0, STEPS - 1).astype(np.int16)
 
 
 def _stretches(size: int, step: int, over: int) -> Iterator[tuple[int, int]]:
@@ -78,32 +79,43 @@ def _stretches(size: int, step: int, over: int) -> Iterator[tuple[int, int]]:
         lo += step
 
 
+def entropies_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """entropies() of each whole text; texts are scanned together, long ones in overlapping stretches."""
+    group, size = [], 0
+    for t in [*texts, None]:
+        if group and (t is None or size + len(t) > AT_ONCE):
+            found = entropies(np.frombuffer(b"".join(group), np.uint8)) if size <= AT_ONCE else _long(group[0])
+            lo = 0
+            for g in group:
+                yield found[lo : lo + max(0, len(g) - WINDOW + 1)]
+                lo += len(g)
+            group, size = [], 0
+        if t is not None:
+            group.append(t)
+            size += len(t)
+
+
+def _long(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8)
+    return np.concatenate([entropies(data[lo : hi + WINDOW - 1]) for lo, hi in _stretches(len(data) - WINDOW + 1, AT_ONCE, 0)])
+
+
 def histogram(texts: list[bytes]) -> np.ndarray:
     """Windows of each entropy, of whole texts."""
-    out = np.zeros(STEPS, np.int64)
-    for group in _grouped(texts):
-        joined, ends = b"".join(group), np.cumsum([len(t) for t in group])
-        data = np.frombuffer(joined, np.uint8)
-        for lo, hi in _stretches(len(data), AT_ONCE, WINDOW - 1):
-            found = entropies(data[lo:hi])
-            start = np.arange(lo, lo + len(found))
-            whole = ends[np.searchsorted(ends, start, side="right")] >= start + WINDOW
-            out += np.bincount(found[whole], minlength=STEPS)
-    return out
+    return sum((np.bincount(x, minlength=STEPS) for x in _joined(entropies_of(texts))), np.zeros(STEPS, np.int64))
 
 
-def _grouped(texts: list[bytes]) -> Iterator[list[bytes]]:
-    group, size = [], 0
-    for t in texts:
-        if len(t) < WINDOW:
-            continue
-        group.append(t)
-        size += len(t)
+def _joined(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The same numbers in larger arrays."""
+    held, size = [], 0
+    for x in parts:
+        held.append(x)
+        size += len(x)
         if size >= AT_ONCE:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -155,19 +167,27 @@ class Filters:
 
 def fingerprint(text: bytes, rank: np.ndarray) -> Filters:
     """The fingerprint of one whole text; it depends on the text and the ranks alone."""
-    data = np.frombuffer(text, np.uint8)
-    n = len(data) - WINDOW + 1
+    return fingerprint_all([text], rank)[0]
+
+
+def fingerprint_all(texts: list[bytes], rank: np.ndarray) -> list[Filters]:
+    shifted = (rank << PLACE).astype(np.int32)
+    return [_fingerprint(t, e, shifted) for t, e in zip(texts, entropies_of(texts), strict=True)]
+
+
+def _fingerprint(text: bytes, entropy: np.ndarray, shifted: np.ndarray) -> Filters:
+    n = len(entropy)
     if n <= 0:
         return Filters(np.zeros((0, BITS), np.uint8), text)
-    picked = []
+    data, picked = np.frombuffer(text, np.uint8), []
     for lo, hi in _stretches(n, AT_ONCE, RUN - 1):
-        key = rank[entropies(data[lo : hi + WINDOW - 1])] << 20 | np.arange(hi - lo)
+        key = shifted[entropy[lo:hi]] | np.arange(hi - lo, dtype=np.int32)
         run, width = key, 1
         while width < min(RUN, len(key)):
             step = min(width, RUN - width)
             run = np.minimum(run[: len(run) - step], run[step:]) if len(run) > step else run
             width += step
-        picked.append(run[run < STEPS << 20] % (1 << 20) + lo)
+        picked.append((run[run < STEPS << PLACE] & ((1 << PLACE) - 1)).astype(np.int64) + lo)
     wins = np.bincount(np.concatenate(picked), minlength=n) if picked else np.zeros(n, np.int64)
     at = np.flatnonzero(wins >= min(WINS, max(1, n - RUN + 1)))
     rows = np.zeros((-(-len(at) // FULL), BITS), np.uint8)
@@ -237,6 +257,19 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
 
 
+def _parts(rows: list) -> Iterator[list]:
+    """Rows (..., text) in runs of about eight times AT_ONCE characters."""
+    part, size = [], 0
+    for r in rows:
+        part.append(r)
+        size += len(r[2])
+        if size >= 8 * AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -252,31 +285,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rank = docs.sparkSession.sparkContext.broadcast(learn_ranks(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, last, rows = rank.value, None, []
-
-        def close(following: str, near: Filters) -> None:
-            doc_id, text, own = last
-            other = edited(text, following)
-            raw = other.encode("utf-8")
-            print_ = own if other == text else fingerprint(raw, of)
-            rows.append((doc_id, len(text), hashlib.sha256(raw).hexdigest(), str(own), str(print_), own.likeness(print_), own.likeness(near)))
-
-        def batch() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            rows.clear()
-            return pa.RecordBatch.from_arrays(made, [x.split()[0] for x in _OUT.split(", ")])
-
+        of, last = rank.value, None
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for b in batches:
-            for halo, doc_id, text in zip(*(b.column(k).to_pylist() for k in ("halo", "doc_id", "text")), strict=True):
-                own = fingerprint(text.encode("utf-8"), of)
-                if last:
-                    close(text, own)
-                last = None if halo else (doc_id, text, own)
-                if len(rows) >= 256:
-                    yield batch()
-        if rows:
-            yield batch()
+            held = list(zip(*(b.column(k).to_pylist() for k in ("halo", "doc_id", "text")), strict=True))
+            for part in _parts(held):
+                own = [(*r, f) for r, f in zip(part, fingerprint_all([t.encode("utf-8") for _, _, t in part], of), strict=True)]
+                pairs = [(r, after) for r, after in zip([last, *own], own, strict=False) if r and not r[0]]
+                last = own[-1]
+                changed = [edited(r[2], after[2]) for r, after in pairs]
+                raw = [t.encode("utf-8") for t in changed]
+                rows = []
+                for (r, after), t, x in zip(pairs, raw, fingerprint_all(raw, of), strict=True):
+                    _, doc_id, text, print_ = r
+                    rows.append((doc_id, len(text), hashlib.sha256(t).hexdigest(), str(print_), str(x), print_.likeness(x), print_.likeness(after[3])))
+                if rows:
+                    made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(made, [x.split()[0] for x in _OUT.split(", ")])
 
     return neighbours(docs).mapInArrow(run, _OUT)
 
