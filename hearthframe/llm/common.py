@@ -20,11 +20,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """Marks a written table for broadcasting if it has few rows; else Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like this one that is not taken; Spark's names differ in more than case."""
     low = {t.lower() for t in taken}

@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthframe.llm.common import small_side, table, word_count
+from hearthframe.llm.common import table, word_count
+from hearthframe.operators.joins import small_side
 from hearthframe.staging import stage
 
 #: Rows up to which a table of sources, blocks or picks is broadcast.
