@@ -27,6 +27,8 @@ from hearthframe.staging import stage
 
 #: Rows up to which a table of sources, blocks or picks is broadcast.
 SMALL = 50_000
+#: Drawn blocks for each output shard, and output shards at least.
+PER_SHARD, FEWEST = 8, 16
 #: A source of n documents has sqrt(n) / SHARE blocks.
 SHARE = 4
 #: Documents on either side of the edge of an edge block of which the best subset is taken.
@@ -36,12 +38,13 @@ NEAR = 32
 @dataclass(frozen=True)
 class Mix:
     """weights: by the rank of a source in code point order (null last), repeating; share: what the mix takes of
-    all words; most: the passes of a source at most; shards: output shards."""
+    all words; most: the passes of a source at most; shards: output shards, by default one for each PER_SHARD drawn
+    blocks, FEWEST at least."""
 
     weights: tuple[float, ...] = (3, 1, 2)
     share: float = 1.5
     most: float = 2.0
-    shards: int = 16
+    shards: int | None = None
     seed: int = 17
 
 
@@ -111,11 +114,12 @@ def fitted(sizes: list[int], room: float) -> np.ndarray:
 @dataclass
 class Plan:
     """sources: source, source_size, source_no, target, n_blocks; draws: source_no, block, drawn (array of shard,
-    pass, edge); picks: source_no, doc_id of the edge blocks' drawn documents."""
+    pass, edge); picks: source_no, doc_id of the edge blocks' drawn documents; shards: output shards."""
 
     sources: DataFrame
     draws: DataFrame
     picks: DataFrame
+    shards: int
 
 
 def plan(sizes: DataFrame, how: Mix) -> Plan:
@@ -140,16 +144,20 @@ def plan(sizes: DataFrame, how: Mix) -> Plan:
     order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(how.seed + 2), "source_no", "block", "pass"), "block", "pass")
     drawn = stage(drawn.select("source_no", "block", "pass", "edge", "room", (F.row_number().over(order) - 1).alias("at")), "drawn")
 
+    shards = how.shards or max(FEWEST, drawn.count() // PER_SHARD)
+
     def tree(key, quotas):
         quotas = quotas.sort_values("source_no")
-        ends = np.cumsum(split(quotas["n"].to_numpy(), how.shards, how.seed), axis=0)
-        return pd.DataFrame({"source_no": quotas["source_no"].to_numpy(), "ends": list(ends.T)})
+        parts = split(quotas["n"].to_numpy(), shards, how.seed)
+        ends = np.cumsum(parts, axis=0)
+        shard, source = np.nonzero(parts)
+        return pd.DataFrame({"source_no": quotas["source_no"].to_numpy()[source], "shard": shard.astype(np.int32), "begin": (ends - parts)[shard, source], "end": ends[shard, source]})
 
     quotas = drawn.groupBy("source_no").agg(F.count("*").alias("n"))
-    ends = small_side(stage(quotas.groupBy(F.lit("all")).applyInPandas(tree, "source_no int, ends array<long>"), "ends"), SMALL)
-    shard = F.size(F.filter("ends", lambda e: e <= F.col("at")))
-    draws = drawn.join(ends, "source_no").groupBy("source_no", "block")
-    draws = draws.agg(F.collect_list(F.struct(shard.alias("shard"), "pass", "edge")).alias("drawn"))
+    dealt = quotas.groupBy(F.lit("all")).applyInPandas(tree, "source_no int, shard int, begin long, end long")
+    dealt = dealt.select("source_no", "shard", F.explode(F.sequence("begin", F.col("end") - 1)).alias("at"))
+    draws = drawn.join(dealt, ["source_no", "at"]).groupBy("source_no", "block")
+    draws = draws.agg(F.collect_list(F.struct("shard", "pass", "edge")).alias("drawn"))
 
     def fit(key, docs):
         docs = docs.sort_values(["order", "doc_id"])
@@ -159,7 +167,7 @@ def plan(sizes: DataFrame, how: Mix) -> Plan:
     near = numbered.join(edges, ["source_no", "block"]).groupBy("source_no", "doc_id").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
     near = near.withColumn("order", F.xxhash64(F.lit(how.seed + 3), "doc_id"))
     picks = near.groupBy("source_no").applyInPandas(fit, "source_no int, doc_id long")
-    return Plan(sources, small_side(stage(draws, "draws"), SMALL), small_side(stage(picks, "picks"), SMALL))
+    return Plan(sources, small_side(stage(draws, "draws"), SMALL), small_side(stage(picks, "picks"), SMALL), shards)
 
 
 def drawn(rows: DataFrame, made: Plan, how: Mix) -> DataFrame:
@@ -187,7 +195,7 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     made = plan(sizes_of(docs), how)
     out = drawn(docs, made, how).select("row", F.explode("mixed").alias("at"))
     out = out.withColumn("order", F.xxhash64(F.lit(how.seed + 4), "at.shard", "row.doc_id", "at.pass"))
-    out = out.repartitionByRange(how.shards, F.col("at.shard")).sortWithinPartitions(F.col("at.shard"), "order")
+    out = out.repartitionByRange(made.shards, F.col("at.shard")).sortWithinPartitions(F.col("at.shard"), "order")
     return out.select("row.*")
 
 
