@@ -117,6 +117,19 @@ def ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own[top], rank[top], (order & np.uint64(0xFFFFFFFF))[top].astype(np.int64)
 
 
+def _slices(texts: list[str | None]) -> Iterator[list[str]]:
+    """Runs of at most MANY texts, and of about four times AT_ONCE characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t or "")
+        size += len(part[-1])
+        if len(part) == MANY or size >= 4 * AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 class Profiles:
     """The learned profiles, from rows (lang, gram, rank)."""
 
@@ -129,8 +142,7 @@ class Profiles:
 
     def guess(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        for lo in range(0, len(texts), MANY):
-            part = [t or "" for t in texts[lo : lo + MANY]]
+        for part in _slices(texts):
             own, rank, gram = ranked(part)
             n = np.bincount(own, minlength=len(part))
             at = np.searchsorted(self.grams, gram)
@@ -188,7 +200,8 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
             langs, scores = model.value.guess(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    guessed = F.arrow_udf(guess, "lang_pred string, score double")
+    # not deterministic for the planner, or a filter on the guess would make it guess twice
+    guessed = F.arrow_udf(guess, "lang_pred string, score double").asNondeterministic()
     out = docs.select(*kept, guessed("text").alias(text))
     return out.select(*kept, f"{text}.lang_pred", f"{text}.score")
 

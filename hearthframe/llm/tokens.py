@@ -44,7 +44,7 @@ LOOKS = 8
 #: Characters that are encoded at once.
 AT_ONCE = 1 << 20
 #: Pieces that a worker keeps.
-KEPT = 1_000_000
+KEPT = 800_000
 #: Bytes of compressed tokens, and documents, of a segment of a token file.
 SEGMENT_BYTES, SEGMENT_DOCS = 4 << 20, 4_096
 #: Documents, about, of which those of at most so many characters are what a dictionary is trained on, and its bytes.
