@@ -347,6 +347,7 @@ def _frames(segments: DataFrame, path: str, wanted, out: str, each) -> DataFrame
     names = [x.split()[0] for x in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.cache_clear()  # the file is written; what its workers kept would only take memory from later stages
         shared = zstandard.ZstdCompressionDict(held.value) if held.value else None
         press = zstandard.ZstdDecompressor(dict_data=shared)
         for b in batches:
