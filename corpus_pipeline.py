@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group that SimHash links connect."""
-    return simhash.one_of_each(docs)
+    """Keeps the document of the smallest doc_id of each group that 5-word Jaccard links of 0.8 or more connect."""
+    return simhash.one_of_similar(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

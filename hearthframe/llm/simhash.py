@@ -8,6 +8,11 @@ with too many rows go some levels deeper. Below, each node pair is walked to its
 Exact copies share one fingerprint and are one leaf, however many they are. Leaves within the budget
 of each other are at most 2,080 for 2 bits of 64, so dense groups stay linear; each walk hands on a
 spanning star of the links it found instead of the pairs.
+
+one_of_similar asks for a Jaccard similarity of word runs instead. Fingerprints of such texts can be 17
+bits and more apart, which no bounded budget covers, so the trie's links and stars around shared rare
+runs come first, and what they left apart meets under the rare runs that similar texts must share. Every
+link is confirmed by the runs themselves.
 """
 
 from __future__ import annotations
@@ -24,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthframe.llm.common import table
+from hearthframe.llm.common import fresh, table
 from hearthframe.llm.components import components
-from hearthframe.staging import stage
+from hearthframe.staging import drop_stage, stage
 
 BITS = 64
 SEED = 42
@@ -38,18 +43,31 @@ DEEPER = 4
 FRONTIER = 1 << 18
 #: Node pairs with so few leaf pairs are finished by comparing these.
 FINISH = 24
+#: Distinct texts, about, from which common word runs are learned, and runs kept; they order runs and exclude none.
+COMMON_DOCS, COMMON = 16_384, 200_000
+#: Bits of the places in the bitmap of texts that may be in a pair.
+SLOTS = 25
 
 
 def simhash(text: bytes | None, words: int = 3) -> int:
     """The fingerprint of one text as an unsigned integer; 0 if it has no word."""
+    return _folded(shingles(text, words))
+
+
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """Hashes of the runs of so many words of one text; a shorter text is one run."""
     found = text.lower().split() if text else []
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(found) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], dtype=np.uint64)
-    else:
-        shingles = map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(found) - words + 1)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], dtype=np.uint64)
+    runs = map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(found) - words + 1)
+
+
+def _folded(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 255 * 64):
         part = np.unpackbits(hashes[at : at + 255 * 64].view(np.uint8), bitorder="little").reshape(-1, BITS)
@@ -213,5 +231,155 @@ def one_of_each(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
+def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word runs that several of a sample of texts hold, in order, and how many hold each."""
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
+    parts = texts.count() // COMMON_DOCS + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                found = np.unique(shingles(x.as_py(), words))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
+
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
+    met = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    top = met.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    runs, n = np.array([r.shingle for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    by = np.argsort(runs)
+    return runs[by], n[by]
+
+
+def _key(own: np.ndarray) -> int:
+    """A hash of a set of word runs; 0 if it is empty."""
+    return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64).view(np.int64)[0]) if len(own) else 0
+
+
+def _marked(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, key, fp, n, rare): the key, fingerprint, size and rarest runs of each text's set.
+
+    Of the runs in any one order, two sets of this similarity share one of the first
+    n - ceil(similarity * n) + 1 of each.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
+
+    def one(raw: bytes | None) -> tuple[int, int, int, np.ndarray]:
+        runs, n = common.value
+        hashes = shingles(raw, words)
+        own = np.unique(hashes)
+        if not len(own):
+            return 0, 0, 0, own.view(np.int64)
+        often = np.zeros(len(own), np.int64)
+        if len(runs):
+            at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+            often = np.where(runs[at] == own, n[at], 0)
+        first = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+        rare = own[np.lexsort((own, often))[:first]]
+        return _key(own), int(np.array([_folded(hashes)], np.uint64).view(np.int64)[0]), len(own), rare.view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        for b in batches:
+            made = zip(*(one(x.as_py()) for x in b.column(1)), strict=True) if b.num_rows else [[], [], [], []]
+            more = [pa.array(list(x), k) for x, k in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *more], ["doc_id", "key", "fp", "n", "rare"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long, n long, rare array<long>")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of keys whose texts have sets of word runs of this similarity.
+
+    Texts are never shuffled: a bitmap of a fixed size says which of them may be in a pair.
+    """
+    nodes = stage(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), "nodes")
+    at = nodes.select(F.col("key").bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)
+    bitmap = np.zeros(1 << SLOTS - 3, np.uint8)
+    np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                own = np.unique(shingles(x.as_py(), words))
+                key = _key(own)
+                slot = key & (1 << SLOTS) - 1
+                if len(own) and held.value[slot >> 3] >> (slot & 7) & 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], ["key", "own"])
+
+    found = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, own array<long>")
+    sets = stage(found.join(nodes, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("own").alias("a")), "u")
+    both = both.join(sets.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    out = stage(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), "links")
+    drop_stage(sets)
+    return out
+
+
+def similar(docs: DataFrame, marked: DataFrame, words: int, similarity: float) -> DataFrame:
+    """docs (text) and marked, of _marked -> (node, component): keys that links of this similarity connect."""
+    near = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    some = marked.where("n > 0")
+
+    leaves = stage(some.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("least")), "leaves")
+    u, v = leaves.select(F.col("fp").alias("u"), F.col("least").alias("x")), leaves.select(F.col("fp").alias("v"), F.col("least").alias("y"))
+    trie = links(leaves.select("fp")).join(u, "u").join(v, "v").select("x", "y")
+    trie = trie.union(some.select("fp", F.struct("key", "n").alias("x")).join(leaves, "fp").select("x", F.col("least").alias("y")))
+    rows = some.select("key", F.explode("rare").alias("shingle"))
+    met = rows.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").select("shingle")
+    rows = rows.join(met, "shingle", "left_semi").distinct()
+    rows = stage(rows.join(some.select("key", "n").distinct(), "key").select("shingle", "key", "n"), "rows")
+    pivots = rows.groupBy("shingle").agg(F.min(F.struct("key", "n")).alias("y"), F.max("key").alias("most")).where("y.key < most")
+    stars = rows.join(pivots, "shingle").select(F.struct("key", "n").alias("x"), "y")
+
+    def pairs(found: DataFrame) -> DataFrame:
+        found = found.where((F.col("x.key") != F.col("y.key")) & near(F.col("x.n"), F.col("y.n")))
+        return found.select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
+
+    first = stage(pairs(trie.union(stars)), "pairs")
+    sure = _confirmed(first, docs, words, similarity)
+    joined = stage(components(sure), "components")
+    rows = rows.join(joined, rows.key == joined.node, "left").select("shingle", F.struct("key", "n").alias("x"), F.coalesce("component", "key").alias("at"))
+    # Only runs under which several components meet.
+    apart = rows.groupBy("shingle").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("shingle")
+    rows = stage(rows.join(apart, "shingle", "left_semi"), "rows")
+    other = rows.select("shingle", F.col("x").alias("y"), F.col("at").alias("there"))
+    across = stage(pairs(rows.join(other, "shingle").where("at < there")).join(first, ["u", "v"], "left_anti"), "pairs")
+    return components(sure.union(_confirmed(across, docs, words, similarity)))
+
+
+def one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each group of texts that links of this Jaccard similarity connect: the smallest doc_id's.
+
+    Sets of runs of so many words are compared, of lower-case words as in simhash. Texts of equal sets are
+    one group, texts without a word another. A null doc_id comes after all others; rows that are alike in
+    doc_id are ordered by the set's hash, and one of those that are alike in both stays.
+    """
+    marked = stage(_marked(docs, words, similarity), "marked")
+    joined = stage(similar(docs, marked, words, similarity), "components")
+    rows = marked.select("doc_id", "key").join(joined, F.col("key") == joined.node, "left")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    least = rows.groupBy(F.coalesce("component", "key").alias("at")).agg(F.min(order).alias("x"))
+    names = [fresh("key", docs.columns)]
+    names.append(fresh("text_bytes", [*docs.columns, *names]))
+    key, raw = names
+    least = stage(least.select("x.doc_id", F.col("x.key").alias(key)), "least")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = pa.array([_key(np.unique(shingles(x.as_py(), words))) for x in b.column(raw)], pa.int64())
+            own = [c for c in b.schema.names if c != raw]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), keys], [*own, key])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())])
+    keyed = docs.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
+    kept = keyed.join(least, (keyed[key] == least[key]) & keyed.doc_id.eqNullSafe(least.doc_id), "left_semi")
+    alike = marked.groupBy("doc_id", "key").count().where("count > 1")
+    kept = kept if alike.isEmpty() else kept.dropDuplicates(["doc_id", key])
+    return kept.select(*docs.columns)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
