@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast.
-SMALL = 50_000
+from hearthframe.staging import stage
 
+#: Rows and bytes (as JSON) up to which a side is broadcast.
+ROWS, BYTES = 500_000, 16 << 20
+#: Keys with more than this share of all rows are joined by broadcasting, so there are no more of these than its inverse.
+HOT = 1 / 500
 
-def small_side(df: DataFrame, max_rows: int = SMALL) -> DataFrame:
-    """Marks df for broadcasting if it has at most max_rows rows; else Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def small_side(df: DataFrame, rows: int = ROWS, size: int = BYTES, written: bool = False) -> DataFrame:
+    """df, marked for broadcasting if its rows and their bytes are within these bounds; else Spark shuffles both sides.
+
+    df is written once and measured where it is written; written says that it is already.
+    """
+    df = df if written else stage(df, "side")
+    if df.count() > rows:
+        return df
+    found = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found.size <= size else df
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str | list[str], times: str) -> DataFrame:
+    """rows joined with side, a written table of distinct non-null keys that tells how many rows have each.
+
+    The few keys with more than HOT of all rows are broadcast with their cells of side, so that none of
+    them is one task; the others are shuffled.
+    """
+    least = (side.agg(F.sum(times)).first()[0] or 0) * HOT
+    hot = F.broadcast(side.where(F.col(times) > least))
+    keys = [key] if isinstance(key, str) else key
+    rest = rows.join(F.broadcast(side.where(F.col(times) > least).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).drop(times).union(rest.join(side.where(F.col(times) <= least), keys).drop(times))
