@@ -20,8 +20,8 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearthframe.llm.common import table
 from hearthframe.operators.joins import small_side
-from hearthframe.staging import stage, stage_path
+from hearthframe.staging import drop_stage, stage, stage_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Characters of a chunk of a huge text, and of the overlap of neighbouring chunks to begin with.
@@ -42,12 +42,12 @@ CHUNK, OVERLAP = 32_768, 1_024
 #: More than the characters that the pattern looks at beyond a beginning ('ll is the longest).
 LOOKS = 8
 #: Characters that are encoded at once.
-AT_ONCE = 1 << 20
-#: Pieces that a worker keeps.
-KEPT = 800_000
+AT_ONCE = 1 << 19
+#: Pretokens that a worker keeps, of about 40 bytes each.
+KEPT = 4_000_000
 #: Bytes of compressed tokens, and documents, of a segment of a token file.
 SEGMENT_BYTES, SEGMENT_DOCS = 4 << 20, 4_096
-#: Documents, about, of which those of at most so many characters are what a dictionary is trained on, and its bytes.
+#: Documents at most, and characters of each, that a dictionary is trained on, and its bytes.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 2_000, 4_096, 65_536
 WHOLE = 2**31 - 1
 
@@ -89,54 +89,292 @@ def _batched(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def lengths(name: str, texts: list[str]) -> list[int]:
-    t = tokenizer(name)
-    if name.endswith(".model"):
-        return [len(t.encode(x, num_threads=1)) for x in texts]
-    return [len(e) for lo, hi in _batched(texts) for e in t.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
+def _whole(name: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of a text as the library gives them, where its pretokens begin, and the ids before each."""
+    e = tokenizer(name).encode(text, add_special_tokens=False)
+    first = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1))
+    return np.array(e.ids, np.uint32), np.array(e.offsets, np.int64).reshape(-1, 2)[first, 0], first
 
 
 def beginnings(name: str, text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Offsets at which pretokens of a text begin, the tokens before each, and all its tokens."""
-    e = tokenizer(name).encode(text, add_special_tokens=False)
-    words = np.array(e.word_ids, np.int64)
-    first = np.flatnonzero(np.diff(words, prepend=-1))
-    return np.array(e.offsets, np.int64).reshape(-1, 2)[first, 0], first, len(words)
+    ids, begins, before = pieces(name).each([text])[0]
+    if begins is None:
+        ids, begins, before = _whole(name, text)
+    return begins, before, len(ids)
+
+
+# --- pieces ---------------------------------------------------------------------------------------
+
+#: Characters other than those whose letters, digits and white space are the same to Python and to the tokenizer.
+_ODD = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+#: A space between two other characters.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Stands between texts that are scanned together.
+_BETWEEN = "\uffff"
+_SPACE, _LETTER, _DIGIT, _OTHER, _NONE = range(5)
+
+
+def _shown() -> dict[int, str]:
+    """The characters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+@functools.lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each regular character; two numbers for each; powers of an odd number, and of its inverse, modulo 2^64."""
+    kind = np.full(0x10000, _NONE, np.uint8)
+    for c in map(chr, range(0x250)):
+        kind[ord(c)] = _SPACE if c in " \t\n\v\f\r" else _LETTER if c.isalpha() else _DIGIT if c in "0123456789" else _OTHER
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.full(2 * AT_ONCE + 1, x, np.uint64) for x in (base, pow(base, -1, 2**64)))
+    up[0] = down[0] = 1
+    return kind, np.random.default_rng(3).integers(1, 2**64, (2, 0x250), dtype=np.uint64), np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def _starts(code: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where pretokens begin in these characters, texts being parted by _BETWEEN, which is its own beginning.
+
+    A run of letters, of digits or of others takes one plain space before it; of white space before a run
+    the last character stands alone unless it is such a space; an apostrophe that begins a pretoken takes
+    the letters of a contraction.
+    """
+    new = np.empty(len(code), bool)
+    new[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=new[1:])
+    new |= kind == _NONE
+    after = np.flatnonzero((kind[1:] != _SPACE) & (kind[1:] != _NONE) & (kind[:-1] == _SPACE)) + 1
+    new[after - 1] = True
+    new[after[code[after - 1] == 32]] = False
+    quote = np.flatnonzero(code == 39)
+    for p in quote[new[quote]].tolist():
+        follows = code[p + 1 : p + 3].tobytes().decode("utf-16-le")
+        n = 1 if follows[:1] in ("s", "t", "m", "d") else 2 if follows in ("re", "ve", "ll") else 0
+        if n:
+            new[p + 1] = False
+            new[p + 1 + n] = True
+    return np.flatnonzero(new)
+
+
+class Pieces:
+    """Encodes texts pretoken by pretoken and keeps the ids of each distinct one.
+
+    Pretokens are found in many texts at once and named by two 64-bit hashes; new ones are given to the
+    library's model. What is kept are sorted arrays, a large one and one of the latest, not objects.
+    Texts with other characters than the Latin ones, or with a special token's string, are cut at spaces
+    and their pieces given to the whole tokenizer.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.shown, self.odd = name, _shown(), {}
+        self.plain = byte_level(name)
+        self.model = tokenizer(name).model if self.plain else None
+        self.special = [t.content for t in tokenizer(name).get_added_tokens_decoder().values()] if self.plain else []
+        self._forget()
+
+    def _forget(self) -> None:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.tiers, self.begin, self.flat, self.n, self.size = [none, none], np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 0
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each whole text, as little-endian unsigned 32-bit integers."""
+        return [x[0].tobytes() for x in self.each(texts)]
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        return [len(x[0]) for x in self.each(texts)]
+
+    def each(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+        """For each text its ids, and if it is regular where its pretokens begin and the ids before each."""
+        out: list = [None] * len(texts)
+        regular = [k for k, t in enumerate(texts) if self.regular(t)]
+        rest = sorted(set(range(len(texts))).difference(regular))
+        parts, owner = [], []
+        for k in regular:
+            lo = 0
+            for hi in self._cuts(texts[k]):
+                parts.append(texts[k][lo:hi])
+                owner.append((k, lo))
+                lo = hi
+        for lo, hi in _batched(parts):
+            for (k, at), found in zip(owner[lo:hi], self._together(parts[lo:hi]), strict=True):
+                if out[k] is not None:
+                    ids, begins, before = out[k]
+                    found = np.concatenate((ids, found[0])), np.concatenate((begins, found[1] + at)), np.concatenate((before, found[2] + len(ids)))
+                out[k] = found
+        for lo, hi in _batched([texts[k] for k in rest]):
+            for k, x in zip(rest[lo:hi], self._cut([texts[k] for k in rest[lo:hi]]), strict=True):
+                out[k] = np.frombuffer(x, "<u4"), None, None
+        return out
+
+    def regular(self, text: str) -> bool:
+        return self.plain and not _ODD.search(text) and not any(s in text for s in self.special)
+
+    @staticmethod
+    def _cuts(text: str) -> Iterator[int]:
+        """Ends of stretches of about AT_ONCE characters that end before a space between two other characters."""
+        at = 0
+        while len(text) - at > AT_ONCE:
+            found = _CUT.search(text, at + AT_ONCE // 2)
+            if not found:
+                break
+            at = found.start()
+            yield at
+        yield len(text)
+
+    def _together(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        text = "".join(t + _BETWEEN for t in texts)
+        if len(text) > 2 * AT_ONCE:  # no place to cut
+            return [_whole(self.name, t) for t in texts]
+        code = np.frombuffer(text.encode("utf-16-le"), "<u2")
+        kinds, numbers, up, down = _tables()
+        kind = kinds[code]
+        begin = _starts(code, kind)
+        end = np.append(begin[1:], len(code))
+        real = kind[begin] != _NONE
+        last = np.flatnonzero(~real)
+        begin, end = begin[real], end[real]
+        names, own = [], np.minimum(code, 0x24F)
+        for k in (0, 1):
+            sums = np.zeros(len(code) + 1, np.uint64)
+            np.cumsum(numbers[k][own] * up[: len(code)], out=sums[1:])
+            h = (sums[end] - sums[begin]) * down[begin]
+            names.append(h ^ (h >> np.uint64(31)))
+        keys, first, which = np.unique(names[0], return_index=True, return_inverse=True)
+        if (names[1][first][which] != names[1]).any():
+            return [_whole(self.name, t) for t in texts]
+        at = self._places(keys, names[1][first], [(int(b), int(e)) for b, e in zip(begin[first], end[first], strict=True)], text)[which]
+        sizes = self.begin[at + 1] - self.begin[at]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.flat[np.repeat(self.begin[at] - upto[:-1], sizes) + np.arange(upto[-1])]
+        edges = np.concatenate(([0], last - np.arange(len(last)))).tolist()
+        out, lo = [], 0
+        for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True):
+            out.append((ids[upto[a] : upto[b]], begin[a:b] - lo, upto[a:b] - upto[a]))
+            lo += len(t) + 1
+        return out
+
+    def _places(self, keys: np.ndarray, checks: np.ndarray, spans: list[tuple[int, int]], text: str) -> np.ndarray:
+        """The numbers of kept pretokens by their names; new ones are learned."""
+        if self.n > KEPT:
+            self._forget()
+        out = np.full(len(keys), -1, np.int64)
+        for known, check, number in self.tiers:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = (known[at] == keys) & (check[at] == checks)
+                out[hit] = number[at[hit]]
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            made = [self._run(text[b:e]) for b, e in (spans[k] for k in new.tolist())]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            n, size = self.n + len(made), self.size + int(sizes.sum())
+            while n + 1 > len(self.begin):
+                self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
+            while size > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+            self.flat[self.size : size] = np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))
+            self.begin[self.n + 1 : n + 1] = self.size + np.cumsum(sizes)
+            out[new] = np.arange(self.n, n)
+            self.n, self.size = n, size
+            late = self._merged(self.tiers[1], (keys[new], checks[new], out[new]))
+            self.tiers = [self._merged(self.tiers[0], late), tuple(x[:0] for x in late)] if 8 * len(late[0]) > len(self.tiers[0][0]) else [self.tiers[0], late]
+        return out
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        joined = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        order = np.argsort(joined[0], kind="stable")
+        return tuple(x[order] for x in joined)
+
+    def _run(self, pretoken: str) -> list[int]:
+        if pretoken.isascii() and pretoken[:1] == " " and pretoken[1:].isalpha():
+            shown = self.shown[32] + pretoken[1:]
+        else:
+            shown = pretoken.encode("utf-8").decode("latin-1").translate(self.shown)
+        return [t.id for t in self.model.tokenize(shown)]
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        if not self.plain:
+            return [self._ids([t])[0] for t in texts]
+        cuts = [_CUT.split(t) for t in texts]
+        firsts = self._ids([c[0] for c in cuts])
+        if len(self.odd) > KEPT // 8:
+            self.odd.clear()
+        new = list({p for c in cuts for p in c[1:]} - self.odd.keys())
+        for lo, hi in _batched(new):
+            self.odd.update(zip(new[lo:hi], self._ids([" " + p for p in new[lo:hi]]), strict=True))
+        return [first + b"".join([self.odd[p] for p in c[1:]]) for first, c in zip(firsts, cuts, strict=True)]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        t = tokenizer(self.name)
+        if self.name.endswith(".model"):
+            return [np.array(t.encode(x, num_threads=1), "<u4").tobytes() for x in texts]
+        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@functools.lru_cache(maxsize=2)
+def pieces(name: str) -> Pieces:
+    return Pieces(name)
 
 
 # --- counts ---------------------------------------------------------------------------------------
 
 
+_CHUNKS = "row long, doc_id long, hash long, n_bytes long, last int, part int, n long, text string"
+
+
+def _chunks(docs: DataFrame, name: str, chunk: int, overlap: int) -> DataFrame:
+    """docs (doc_id, text) -> _CHUNKS: one row with its tokens n for each text of one chunk; of others each chunk's text.
+
+    Each text is cut in one pass.
+    """
+    step, names = chunk - overlap, [x.split()[0] for x in _CHUNKS.split(", ")]
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64(text).alias("hash"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, own = b.column("text").to_pylist(), b.select(names[:4])
+            one = np.flatnonzero([len(t) <= chunk for t in texts])
+            n = pieces(name).lengths([texts[k] for k in one.tolist()])
+            zero = pa.array(np.zeros(len(one), np.int32))
+            yield pa.RecordBatch.from_arrays([*own.take(pa.array(one)).columns, zero, zero, pa.array(n, pa.int64()), pa.nulls(len(one), pa.string())], names)
+            for k in np.flatnonzero([len(t) > chunk for t in texts]).tolist():
+                last = -(-(len(texts[k]) - chunk) // step)
+                head = [c[0].as_py() for c in own.slice(k, 1).columns]
+                for lo in range(0, last + 1, 64):
+                    cut = [(*head, last, j, None, texts[k][j * step : j * step + chunk]) for j in range(lo, min(lo + 64, last + 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cut, strict=True), to_arrow_schema(kinds).types, strict=True)], names)
+
+    kinds = docs.sparkSession.createDataFrame([], _CHUNKS).schema
+    return rows.mapInArrow(run, _CHUNKS)
+
+
 def _counted(docs: DataFrame, name: str, chunk: int, overlap: int) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, hash, n_bytes, n_tokens); n_tokens is null where chunks don't align."""
     step = chunk - overlap
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("hash"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    last = F.greatest(F.lit(0), F.ceil((F.length("text") - chunk) / step)).cast("int")
-    parts = rows.select("row", "doc_id", "hash", "n_bytes", last.alias("last"), "text", F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    cut = F.when(F.col("last") == 0, F.col("text")).otherwise(F.substring("text", F.col("part") * step + 1, F.lit(chunk)))
-    parts = parts.select("row", "doc_id", "hash", "n_bytes", "last", "part", cut.alias("text"))
+    chunks = stage(_chunks(docs, name, chunk, overlap), "chunks")
+    names = ["row", "doc_id", "hash", "n_bytes", "last", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, lasts, nos = (b.column(k).to_pylist() for k in ("text", "last", "part"))
             n, marks, befores = [0] * len(texts), [None] * len(texts), [None] * len(texts)
-            whole = [k for k, x in enumerate(lasts) if not x]
-            for k, count in zip(whole, lengths(name, [texts[k] for k in whole]), strict=True):
-                n[k] = count
-            for k in (k for k, x in enumerate(lasts) if x):
-                at, before, n[k] = beginnings(name, texts[k])
-                near = ((at < overlap) & (nos[k] > 0)) | ((at >= step) & (at < len(texts[k]) - LOOKS) & (nos[k] < lasts[k]))
+            for k, text in enumerate(texts):
+                at, before, n[k] = beginnings(name, text)
+                near = ((at < overlap) & (nos[k] > 0)) | ((at >= step) & (at < len(text) - LOOKS) & (nos[k] < lasts[k]))
                 marks[k], befores[k] = at[near] + nos[k] * step, before[near]
             made = [pa.array(n, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(befores, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("row", "doc_id", "hash", "n_bytes", "last", "part")] + made, schema=pa.schema([*[b.schema.field(k) for k in ("row", "doc_id", "hash", "n_bytes", "last", "part")], ("n", pa.int64()), ("marks", made[1].type), ("befores", made[2].type)]))
+            yield pa.RecordBatch.from_arrays([*b.select(names).columns, *made], [*names, "n", "marks", "befores"])
 
-    kinds = "row long, doc_id long, hash long, n_bytes long, last int, part int, n long, marks array<long>, befores array<long>"
-    done = stage(parts.mapInArrow(run, kinds), "chunks")
-    one = done.where("last = 0").select("doc_id", "hash", "n_bytes", F.col("n").alias("n_tokens"))
+    # the chunks of one document are dealt out to all tasks
+    dealt = chunks.where("text IS NOT NULL").repartition("row", "part").select(*names, "text")
+    done = stage(dealt.mapInArrow(run, "row long, doc_id long, hash long, n_bytes long, last int, part int, n long, marks array<long>, befores array<long>"), "ends")
+    one = chunks.where("text IS NULL").select("doc_id", "hash", "n_bytes", F.col("n").alias("n_tokens"))
     beside = Window.partitionBy("row").orderBy("part")
-    many = done.where("last > 0").withColumn("marks_before", F.lag("marks").over(beside)).withColumn("marks_after", F.lead("marks").over(beside))
+    many = done.withColumn("marks_before", F.lag("marks").over(beside)).withColumn("marks_after", F.lead("marks").over(beside))
     begin, end = F.array_min(F.array_intersect("marks_before", "marks")), F.array_min(F.array_intersect("marks", "marks_after"))
     tokens = lambda mark: F.expr(f"get(befores, CAST(array_position(marks, {mark}) AS INT) - 1)")
     many = many.withColumn("begin", begin).withColumn("end", end)
@@ -144,26 +382,31 @@ def _counted(docs: DataFrame, name: str, chunk: int, overlap: int) -> DataFrame:
     since = F.when(F.col("part") == 0, F.lit(0)).otherwise(tokens("begin"))
     many = many.withColumn("own", upto - since).groupBy("row", "doc_id", "hash", "n_bytes")
     many = many.agg(F.sum("own").alias("n"), F.count_if(F.col("own").isNull()).alias("apart"))
-    return one.union(many.select("doc_id", "hash", "n_bytes", F.expr("IF(apart = 0, n, NULL)")))
+    found = stage(one.union(many.select("doc_id", "hash", "n_bytes", F.expr("IF(apart = 0, n, NULL)"))), "counts")
+    drop_stage(chunks)
+    drop_stage(done)
+    return found
 
 
 def token_counts(docs: DataFrame, name: str = BYTE_BPE, limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_bytes, n_tokens, over_limit), one row for each row, as the library counts.
 
-    Texts of more than chunk characters are encoded as overlapping chunks, which any task may take, and
-    neighbours are spliced where both begin a pretoken. Texts with an overlap without such a place are
-    done again with overlaps four times as wide, until they align or one chunk holds them. A null text
-    is empty and has no tokens; a null doc_id and repeated rows stay; an empty table gives an empty one.
+    Texts of more than chunk characters are encoded as overlapping chunks, which are dealt out to all
+    tasks whatever document they are of, and neighbours are spliced where both begin a pretoken. Texts
+    with an overlap without such a place are done again with overlaps four times as wide, until they
+    align or one chunk holds them. Other tokenizers than byte-level BPE get whole texts. A null text is
+    empty and has no tokens; a null doc_id and repeated rows stay; an empty table gives an empty one.
     Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     if not byte_level(name):
-        chunk = WHOLE
+        chunk, overlap = WHOLE, 0
     out = None
     while True:
-        found = _counted(docs, name, chunk, overlap)
-        if chunk < WHOLE:
-            found = stage(found, "counts")
+        if chunk == WHOLE:
+            found = _chunks(docs, name, chunk, overlap).select("doc_id", "hash", "n_bytes", F.col("n").alias("n_tokens"))
+        else:
+            found = _counted(docs, name, chunk, overlap)
         done = found.where("n_tokens IS NOT NULL")
         out = done if out is None else out.union(done)
         if chunk == WHOLE or (lost := found.where("n_tokens IS NULL")).isEmpty():
@@ -181,108 +424,25 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 # --- token files ----------------------------------------------------------------------------------
 
-#: White space other than spaces and line feeds, and a space between two other characters.
-_ODD = re.compile(r"[^\S \n]")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: A word, perhaps a stop or comma, and the same on the next line.
-_PLAIN = re.compile(r"([^\W\d_]+)([.,]?)(\n)([^\W\d_]+)([.,]?)")
-
-
-def _shown() -> dict[int, str]:
-    """The characters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return {b: chr(b if b in plain else next(others)) for b in range(256)}
-
-
-class Pieces:
-    """Encodes texts piece by piece and keeps the pieces' ids, as little-endian unsigned 32-bit integers.
-
-    New pieces that are plain Latin words are given to the library's model as the pretokens that they
-    are, the others to the whole tokenizer.
-    """
-
-    def __init__(self, name: str):
-        self.name, self.kept, self.tails, self.shown = name, {}, {}, _shown()
-        self.space = self.shown[ord(" ")]
-        self.model = tokenizer(name).model if byte_level(name) else None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [x for lo, hi in _batched(texts) for x in self._encode(texts[lo:hi])]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        if not byte_level(self.name):
-            return [self._ids([t])[0] for t in texts]
-        odd = (_ODD.search(t) or "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " for t in texts)
-        cuts = [_CUT.split(t) if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
-        firsts = self._ids([c[0] for c in cuts])
-        get = self.kept.get
-        found = [list(map(get, c)) for c in cuts]
-        for c, f in zip(cuts, found, strict=True):
-            f[0] = b""
-        new = {p for c, f in zip(cuts, found, strict=True) for p, x in zip(c, f, strict=True) if x is None}
-        self._learn(new)
-        get = self.kept.__getitem__
-        for c, f in zip(cuts, found, strict=True):
-            if None in f:
-                f[:] = [get(p) if x is None else x for p, x in zip(c, f, strict=True)]
-        return [first + b"".join(f) for first, f in zip(firsts, found, strict=True)]
-
-    def _learn(self, new: set[str]) -> None:
-        rest, kept, run, tail = [], self.kept, self._run, self._tail
-        for p in new:
-            if not p.isascii() and max(p, default="") >= "\u0250":
-                rest.append(p)
-            elif p.isalpha():
-                kept[p] = run(" " + p)
-            elif p[-1:] in (".", ",") and p[:-1].isalpha():
-                kept[p] = run(" " + p[:-1]) + tail(p[-1])
-            elif (m := _PLAIN.fullmatch(p)) and m[1].isalpha() and m[4].isalpha():
-                kept[p] = run(" " + m[1]) + (tail(m[2]) if m[2] else b"") + tail("\n") + run(m[4]) + (tail(m[5]) if m[5] else b"")
-            else:
-                rest.append(p)
-        kept.update(zip(rest, self._ids([" " + p for p in rest]), strict=True))
-
-    def _tail(self, run: str) -> bytes:
-        if run not in self.tails:
-            self.tails[run] = self._run(run)
-        return self.tails[run]
-
-    def _run(self, run: str) -> bytes:
-        """The ids of one pretoken."""
-        if run.isascii() and run[:1] == " ":
-            run = self.space + run[1:]
-        else:
-            run = run.encode("utf-8").decode("latin-1").translate(self.shown)
-        return array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        t = tokenizer(self.name)
-        if self.name.endswith(".model"):
-            return [np.array(t.encode(x, num_threads=1), "<u4").tobytes() for x in texts]
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-@functools.lru_cache(maxsize=2)
-def pieces(name: str) -> Pieces:
-    return Pieces(name)
-
-
 def dictionary(docs: DataFrame, name: str = BYTE_BPE, size: int = DICTIONARY) -> bytes:
-    """A zstandard dictionary trained on the serialized ids of those of about SAMPLE_DOCS documents, chosen by a hash of
-    doc_id, that are short.
+    """A zstandard dictionary trained on the serialized ids of the beginnings of at most SAMPLE_DOCS documents.
 
-    Too little text to train on gives an empty dictionary, with which frames are plain.
+    The documents are those of least hash of doc_id and text, so that repeated and null doc_ids don't
+    widen the sample. Only this sample is cut; a dictionary that the sample is too small for is made
+    smaller, and one of fewer than 16 samples or 4 KB of ids is empty, with which frames are plain.
     """
-    some = F.pmod(F.xxhash64("doc_id"), F.lit(max(docs.count(), 1))) < SAMPLE_DOCS
-    short = docs.where(some & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)).select("text")
-    texts = [r.text for r in short.collect()]
+    n = docs.count()
+    near = F.col("h") < F.lit(2**63 * (4 * SAMPLE_DOCS / max(n, 4 * SAMPLE_DOCS) * 2 - 1)).cast("long")
+    some = docs.where(F.length("text") > 0).select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    texts = [r.text for r in some.where(near).orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
     samples = pieces(name).encode(texts)
-    if len(samples) < 16 or sum(map(len, samples)) < 8 * size:
+    size = min(size, sum(map(len, samples)) // 8)
+    if len(samples) < 16 or size < 512:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:  # nothing in the samples repeats
         return b""
-    return zstandard.train_dictionary(size, samples).as_bytes()
 
 
 def _hash_of(trained: bytes) -> str:
