@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes other than these ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Bytes of text that one Arrow batch may carry to Python.
-BATCH_BYTES = 16 << 20
+#: Rows of one Arrow batch where the session has Spark's own number: texts are large rows, and a batch is held on both sides.
+BATCH_ROWS = 1_024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends BATCH_ROWS rows to Python at once from now on, unless it was given a number of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def word_count(text: Column) -> Column:
