@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthframe.llm.common import fresh, table
+from hearthframe.llm.common import fresh, small_batches, table
 
 #: Length of a profile.
 RANKS = 300
-#: Documents of each language, chosen by a hash, that its profile is learned from, about.
+#: Distinct texts of each language, chosen by a hash, that its profile is learned from, about.
 TRAIN = 4_000
 #: Characters, and documents, that are counted at once.
-AT_ONCE, MANY = 1 << 19, 4_096
+AT_ONCE, MANY = 1 << 18, 1_024
 NONE = "und"
 
 
@@ -108,13 +108,12 @@ def counted(texts: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, rank, n-gram) of the RANKS most frequent n-grams of each of at most MANY texts; ties by hash."""
     keys, counts = counted(texts, np.arange(len(texts)))
-    most = np.uint64((1 << 20) - 1)
-    rare = most - np.minimum(counts.astype(np.uint64), most)
-    order = np.sort((keys >> np.uint64(32)) << np.uint64(52) | rare << np.uint64(32) | (keys & np.uint64(0xFFFFFFFF)))
-    own = (order >> np.uint64(52)).astype(np.int64)
+    own = (keys >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((-counts, own))  # stable: keys of a text are in n-gram order
+    own = own[order]
     rank = np.arange(len(own)) - np.searchsorted(own, own)
     top = rank < RANKS
-    return own[top], rank[top], (order & np.uint64(0xFFFFFFFF))[top].astype(np.int64)
+    return own[top], rank[top], (keys[order] & np.uint64(0xFFFFFFFF))[top].astype(np.int64)
 
 
 def _slices(texts: list[str | None]) -> Iterator[list[str]]:
@@ -158,13 +157,18 @@ class Profiles:
 
 
 def learn(labelled: DataFrame) -> Profiles:
-    """Profiles from labelled (doc_id, text, lang), of about TRAIN rows of each language, chosen by a hash of doc_id."""
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    n = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Profiles from labelled (doc_id, text, lang), of about TRAIN distinct texts of each language, chosen by a hash of the text.
+
+    Copies of a text are chosen or not together and count once, so neither they nor null or repeated
+    doc_ids widen the sample. Null texts and languages teach nothing.
+    """
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    n = {r.lang: r.n for r in counts.collect()}
     if not n:
         return Profiles([])
     each = F.element_at(F.create_map(*(F.lit(x) for pair in n.items() for x in pair)), F.col("lang"))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), each) < TRAIN)
+    sample = labelled.where(F.pmod(F.xxhash64("text"), each) < TRAIN).dropDuplicates(["text", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,9 +193,10 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     score is 1 less the mean distance of an n-gram against the largest possible. A null text, or one
     without a letter, gives und and 0, as do empty profiles; ties go to the first language by name.
-    Columns of these names in docs are replaced.
+    Texts of any length are counted whole, in parts, without a cap on counts; repeated rows stay and get
+    the same; an empty table gives an empty one. Columns of these names in docs are replaced.
     """
-    text = fresh("_text", docs.columns)
+    text = fresh("_text", small_batches(docs).columns)
     model = docs.sparkSession.sparkContext.broadcast(profiles)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
 
