@@ -14,6 +14,7 @@ its documents by a hash of its own. All draws follow from the seed, so reruns ag
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +24,8 @@ from pyspark.sql import functions as F
 
 from hearthframe.llm.common import table, word_count
 from hearthframe.operators.joins import small_side
-from hearthframe.staging import stage
+from hearthframe.staging import stage, tidy
 
-#: Rows up to which a table of sources, blocks or picks is broadcast.
-SMALL = 50_000
 #: Drawn blocks for each output shard, and output shards at least.
 PER_SHARD, FEWEST = 8, 16
 #: A source of n documents has sqrt(n) / SHARE blocks.
@@ -51,17 +50,29 @@ class Mix:
 def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """(shards, sources) block quotas: the tree from all blocks at the root to one shard at each leaf."""
     out = np.zeros((shards, len(quotas)), np.int64)
-    nodes: list[tuple[int, int, np.ndarray]] = [(0, shards, np.asarray(quotas, np.int64))]
+    every = np.arange(len(quotas))
+    for lo, _, source, n, _ in nodes_of(0, shards, every, np.asarray(quotas, np.int64), np.zeros(len(quotas), np.int64), 1, seed):
+        out[lo, source] = n
+    return out
+
+
+def nodes_of(lo: int, hi: int, source: np.ndarray, n: np.ndarray, begin: np.ndarray, width: int, seed: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The nodes (first shard, end, sources, quotas, first blocks) of at most width shards below the node of shards lo to hi.
+
+    A node knows only the sources that it has blocks of, and draws by its own seed.
+    """
+    nodes = [(lo, hi, source, n, begin)]
     while nodes:
-        lo, hi, here = nodes.pop()
-        if hi - lo == 1:
-            out[lo] = here
+        lo, hi, source, n, begin = nodes.pop()
+        if hi - lo <= width:
+            yield lo, hi, source, n, begin
             continue
         mid = (lo + hi) // 2
         rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(here, int(here.sum()) * (mid - lo) // (hi - lo), method="marginals")
-        nodes += [(lo, mid, left), (mid, hi, here - left)]
-    return out
+        left = rng.multivariate_hypergeometric(n, int(n.sum()) * (mid - lo) // (hi - lo), method="marginals")
+        for x, y, part, at in ((lo, mid, left, begin), (mid, hi, n - left, begin + left)):
+            some = part > 0
+            nodes.append((x, y, source[some], part[some], at[some]))
 
 
 def targets(sources: DataFrame, how: Mix) -> DataFrame:
@@ -86,7 +97,7 @@ def targets(sources: DataFrame, how: Mix) -> DataFrame:
 
 
 def _block(how: Mix) -> Column:
-    return F.pmod(F.xxhash64(F.lit(how.seed), "doc_id"), "n_blocks")
+    return F.pmod(F.xxhash64(F.lit(how.seed), F.col("doc_id").cast("long")), "n_blocks")
 
 
 def fitted(sizes: list[int], room: float) -> np.ndarray:
@@ -126,7 +137,7 @@ def plan(sizes: DataFrame, how: Mix) -> Plan:
     """sizes (doc_id, source, size), a written table -> which blocks and edge documents the mix draws, and where to."""
     found = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     found = found.withColumn("n_blocks", F.ceil(F.sqrt("n") / SHARE).cast("long")).drop("n")
-    sources = small_side(stage(targets(found, how), "sources"), SMALL)
+    sources = small_side(targets(found, how))
     numbered = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).select("source_no", _block(how).alias("block"), "doc_id", "size")
     blocks = numbered.groupBy("source_no", "block").agg(F.sum("size").alias("words"))
 
@@ -146,15 +157,24 @@ def plan(sizes: DataFrame, how: Mix) -> Plan:
 
     shards = how.shards or max(FEWEST, drawn.count() // PER_SHARD)
 
-    def tree(key, quotas):
-        quotas = quotas.sort_values("source_no")
-        parts = split(quotas["n"].to_numpy(), shards, how.seed)
-        ends = np.cumsum(parts, axis=0)
-        shard, source = np.nonzero(parts)
-        return pd.DataFrame({"source_no": quotas["source_no"].to_numpy()[source], "shard": shard.astype(np.int32), "begin": (ends - parts)[shard, source], "end": ends[shard, source]})
+    # the upper half of the tree, then each of its leaves by itself: no task holds all shards' quotas
+    upper = 1 << (max(shards - 1, 1).bit_length() + 1) // 2
+    columns = "lo int, hi int, source_no int, n long, begin long"
+
+    def grown(width: int):
+        def tree(key, rows):
+            rows = rows.sort_values("source_no")
+            lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
+            made = nodes_of(lo, hi, *(rows[c].to_numpy(np.int64) for c in ("source_no", "n", "begin")), width, how.seed)
+            parts = [pd.DataFrame({"lo": x, "hi": y, "source_no": s, "n": n, "begin": at}) for x, y, s, n, at in made if len(s)]
+            return pd.concat(parts).astype({"lo": np.int32, "hi": np.int32, "source_no": np.int32})
+
+        return tree
 
     quotas = drawn.groupBy("source_no").agg(F.count("*").alias("n"))
-    dealt = quotas.groupBy(F.lit("all")).applyInPandas(tree, "source_no int, shard int, begin long, end long")
+    root = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "source_no", "n", F.lit(0).cast("long").alias("begin"))
+    dealt = root.groupBy("lo").applyInPandas(grown(upper), columns).groupBy("lo").applyInPandas(grown(1), columns)
+    dealt = dealt.select("source_no", F.col("lo").alias("shard"), "begin", (F.col("begin") + F.col("n")).alias("end"))
     dealt = dealt.select("source_no", "shard", F.explode(F.sequence("begin", F.col("end") - 1)).alias("at"))
     draws = drawn.join(dealt, ["source_no", "at"]).groupBy("source_no", "block")
     draws = draws.agg(F.collect_list(F.struct("shard", "pass", "edge")).alias("drawn"))
@@ -163,17 +183,17 @@ def plan(sizes: DataFrame, how: Mix) -> Plan:
         docs = docs.sort_values(["order", "doc_id"])
         return docs[fitted(docs["size"].tolist(), docs["room"].iloc[0])][["source_no", "doc_id"]].astype({"doc_id": "Int64"})
 
-    edges = small_side(drawn.where("edge").select("source_no", "block", "room"), SMALL)
+    edges = small_side(drawn.where("edge").select("source_no", "block", "room"))
     near = numbered.join(edges, ["source_no", "block"]).groupBy("source_no", "doc_id").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
     near = near.withColumn("order", F.xxhash64(F.lit(how.seed + 3), "doc_id"))
     picks = near.groupBy("source_no").applyInPandas(fit, "source_no int, doc_id long")
-    return Plan(sources, small_side(stage(draws, "draws"), SMALL), small_side(stage(picks, "picks"), SMALL), shards)
+    return Plan(sources, small_side(draws), small_side(picks), shards)
 
 
 def drawn(rows: DataFrame, made: Plan, how: Mix) -> DataFrame:
     """rows (doc_id, source, ...) -> with source_size, target and mixed, an array of (shard, pass) for each time it is drawn."""
     s, d, p = made.sources, made.draws, made.picks.withColumn("picked", F.lit(True))
-    held = rows.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
+    held = rows.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").alias("_source"))
     held = held.join(s, held._source.eqNullSafe(s.source)).select("row", "_id", "source_no", "source_size", "target", F.pmod(F.xxhash64(F.lit(how.seed), "_id"), "n_blocks").alias("block"))
     held = held.join(d, ["source_no", "block"], "left")
     held = held.join(p.select(F.col("source_no").alias("_no"), F.col("doc_id").alias("_pick"), "picked"), F.expr("source_no = _no AND _id <=> _pick"), "left")
@@ -185,20 +205,23 @@ def sizes_of(docs: DataFrame) -> DataFrame:
     return stage(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), "sizes")
 
 
+@tidy
 def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     """The mixed documents: the columns of docs, one row for each time a row is drawn, shard by shard in shuffled order.
 
-    Rows of one doc_id in one source are drawn together. Null texts have no words and null sources are
-    one source; sources without words have target 0 and give no rows beyond whole passes; an empty
-    table gives an empty one.
+    Rows of one doc_id in one source are drawn together, those without a doc_id in one block as well.
+    Null texts have no words and null sources are one source; sources without words have target 0 and
+    give no rows beyond whole passes; long texts are documents like any other; an empty table gives an
+    empty one. Whole-number doc_ids of any type draw the same; all columns stay, whatever their names.
     """
     made = plan(sizes_of(docs), how)
     out = drawn(docs, made, how).select("row", F.explode("mixed").alias("at"))
-    out = out.withColumn("order", F.xxhash64(F.lit(how.seed + 4), "at.shard", "row.doc_id", "at.pass"))
+    out = out.withColumn("order", F.xxhash64(F.lit(how.seed + 4), "at.shard", F.col("row.doc_id").cast("long"), "at.pass"))
     out = out.repartitionByRange(made.shards, F.col("at.shard")).sortWithinPartitions(F.col("at.shard"), "order")
     return out.select("row.*")
 
 
+@tidy
 def op1(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for each document."""
     how = Mix()
