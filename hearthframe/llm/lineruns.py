@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthframe.llm.common import fresh, table
-from hearthframe.staging import stage
+from hearthframe.llm.common import fresh, small_batches, table
+from hearthframe.operators.joins import join_hot
+from hearthframe.staging import stage, tidy
 
 #: Words of a run at least.
 MIN_WORDS = 50
@@ -66,7 +67,7 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
                     rows, held = [], 0
             yield from _joined(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, _LINES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, _LINES)
 
 
 def _joined(rows: list[list[pa.Array]]) -> Iterator[pa.RecordBatch]:
@@ -94,10 +95,15 @@ def doubled(ranks: DataFrame, depth: int) -> DataFrame:
     """Ranks by 2 * depth lines from those by depth lines, of the suffixes whose first 2 * depth lines occur twice."""
     after = ranks.select(*PLACE, (F.col("seq") - depth).alias("seq"), F.col("rank").alias("next"))
     pairs = _beside(ranks, after, "seq")
-    counts = pairs.groupBy("rank", "next").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("rank").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("deeper", F.col("rank") + F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 1")
-    return pairs.join(counts.drop("n"), ["rank", "next"]).select(*PLACE, "seq", F.col("deeper").alias("rank"))
+    counts = stage(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).withColumn("cell", F.shiftright("next", 16)), "followers")
+    # sums in two steps, as one line may have very many followers: over cells of ranks, and inside each cell
+    before = Window.partitionBy("rank").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.groupBy("rank", "cell").agg(F.sum("n").alias("size"))
+    cells = cells.select("rank", "cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    before = Window.partitionBy("rank", "cell").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 1").join(cells, ["rank", "cell"])
+    counts = counts.select("rank", "next", (F.col("rank") + F.col("start") + F.col("inside")).alias("deeper"))
+    return pairs.join(counts, ["rank", "next"]).select(*PLACE, "seq", F.col("deeper").alias("rank"))
 
 
 def _beside(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
@@ -134,7 +140,8 @@ def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     found = stage(found, "stretches")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", "begin")
     first = found.groupBy("n", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
-    return found.join(first, ["n", "head", "tail"]).where(place > F.col("first")).select(*PLACE, "begin", "n")
+    joined = join_hot(found, stage(first, "first"), ["n", "head", "tail"], "times")
+    return joined.where(place > F.col("first")).select(*PLACE, "begin", "n")
 
 
 def _cut(text: bytes | None, begins: list[int] | None, counts: list[int] | None) -> tuple[bytes | None, int, int]:
@@ -150,6 +157,7 @@ def _cut(text: bytes | None, begins: list[int] | None, counts: list[int] | None)
     return b"\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)
 
 
+@tidy
 def without_repeats(docs: DataFrame, least: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) with the later copies of repeated line runs taken out of text; counts adds n_lines and n_removed.
 
@@ -169,16 +177,18 @@ def without_repeats(docs: DataFrame, least: int = MIN_WORDS, counts: bool = Fals
     def name(texts: pa.Array) -> pa.Array:
         return pa.array([None if x is None else xxhash.xxh3_64_intdigest(x) - 2**63 for x in texts.to_pylist()], pa.int64())
 
-    row, doc, out = (fresh(c, docs.columns) for c in ("row", "doc", "out"))
+    taken = list(docs.columns)
+    doc, out, own_id, own_doc, begins, sizes = (taken.append(c) or c for c in map(lambda c: fresh(c, taken), ("doc", "out", "own_id", "own_doc", "begins", "sizes")))
     text = F.col("text").cast("binary")
     held = docs.select("*", F.arrow_udf(name, "long")(text).alias(doc))
-    spans = spans.select(F.col("doc_id").alias(f"{row}_id"), F.col("doc").alias(f"{row}_doc"), F.col("begins").alias(f"{row}_begins"), F.col("counts").alias(f"{row}_counts"))
-    same = F.col("doc_id").eqNullSafe(F.col(f"{row}_id")) & (F.col(doc) == F.col(f"{row}_doc"))
-    held = held.join(spans, same, "left").withColumn(out, F.arrow_udf(cut, "text string, n_lines long, n_removed long")(text, f"{row}_begins", f"{row}_counts"))
+    spans = spans.select(F.col("doc_id").alias(own_id), F.col("doc").alias(own_doc), F.col("begins").alias(begins), F.col("counts").alias(sizes))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(doc) == F.col(own_doc))
+    held = held.join(spans, same, "left").withColumn(out, F.arrow_udf(cut, "text string, n_lines long, n_removed long")(text, begins, sizes))
     kept = [F.col(f"{out}.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return held.select(*kept, *([F.col(f"{out}.n_lines"), F.col(f"{out}.n_removed")] if counts else []))
 
 
+@tidy
 def op8(spark, sf_dir: str) -> DataFrame:
     """doc_id, text, n_lines, n_removed: one row for each document."""
     return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
