@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthframe.llm.common import table
+from hearthframe.llm.common import small_batches, table
 
 WINDOW, STEPS, RUN, WINS = 64, 1_000, 64, 16
 #: Steps of entropy outside of which a window is no feature.
 LOW, HIGH = 100, 990
 #: Bits and features of a filter, and bits set for a feature.
 BITS, FULL, EACH = 2_048, 160, 5
-#: Bytes that are scanned at once.
-AT_ONCE = 1 << 17
+#: Bytes that are scanned, and filters that are compared with all others of a text, at once.
+AT_ONCE, AT_A_TIME = 1 << 17, 64
 #: Bits for a place among so many windows and a run.
 PLACE = 18
 #: Bytes of documents in one range of doc_ids, about, and ranges at most: beyond, ranges grow, which are streamed.
@@ -158,11 +158,14 @@ class Filters:
         a, b = (self, other) if len(self.rows) <= len(other.rows) else (other, self)
         if not len(a.rows):
             return float(not len(b.rows))
-        common = a.rows.astype(np.float32) @ b.rows.T.astype(np.float32)
-        most = np.minimum(a.ones[:, None], b.ones[None, :])
-        chance = np.minimum(a.ones[:, None] * b.ones[None, :] / BITS, most - 0.5)
-        score = np.clip((common - chance) / (most - chance), 0, 1)
-        return float(score.max(axis=1).mean())
+        other, best = b.rows.T.astype(np.float32), np.zeros(len(a.rows))
+        for lo in range(0, len(a.rows), AT_A_TIME):
+            ones = a.ones[lo : lo + AT_A_TIME, None]
+            common = a.rows[lo : lo + AT_A_TIME].astype(np.float32) @ other
+            most = np.minimum(ones, b.ones[None, :])
+            chance = np.minimum(ones * b.ones[None, :] / BITS, most - 0.5)
+            best[lo : lo + AT_A_TIME] = np.clip((common - chance) / (most - chance), 0, 1).max(axis=1)
+        return float(best.mean())
 
 
 def fingerprint(text: bytes, rank: np.ndarray) -> Filters:
@@ -281,7 +284,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     WINDOW bytes have a hash for a fingerprint and are alike only if equal. An empty table gives an
     empty one. Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     rank = docs.sparkSession.sparkContext.broadcast(learn_ranks(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
