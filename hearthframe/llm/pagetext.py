@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthframe.llm.common import fresh, table
+from hearthframe.llm.common import fresh, small_batches, table
 
 #: Buckets and sizes of the path and word vectors; measures of a block; units in each direction.
 PATHS, PATH_DIM, WORDS, WORD_DIM, MEASURES, UNITS = 4_096, 16, 512, 4, 5, 16
@@ -35,13 +35,15 @@ AT_ONCE = 16_384
 #: HTML elements, from the standard.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html head title legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul button label iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe".split())
 #: What the start of an element closes if it is open, up to the nearest of the second kind.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _NO_P = BLOCK - {"body", "html", "head", "title", "option", "button", "label", "legend", "summary", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "dt", "dd", "iframe"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Attributes: a quote opens a value only after an equals sign; other values end at white space or the tag's end.
+_ATTRS = r"(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))*+"
+_RAW = "script|style|noscript|template|textarea|svg|iframe"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|<[!?][^>]*>", re.S | re.I)
+_ATTR = re.compile(r"(?<![^\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|\d+")
 
 
@@ -187,8 +189,8 @@ class Labeller:
         for d in ("f", "b"):
             self.w |= {f"{d}x": draw(wide, 4 * UNITS), f"{d}h": draw(UNITS, 4 * UNITS), f"{d}c": np.repeat(np.array([0, 1, 0, 0], np.float32), UNITS)}
 
-    def _lstm(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """x (pages, blocks, inputs) -> outputs, and what the way back needs."""
+    def _lstm(self, x: np.ndarray, d: str, learns: bool) -> tuple[np.ndarray, list]:
+        """x (pages, blocks, inputs) -> outputs, and if it learns what the way back needs."""
         pages, n, _ = x.shape
         h, c, out, kept = np.zeros((pages, UNITS), np.float32), np.zeros((pages, UNITS), np.float32), np.empty((pages, n, UNITS), np.float32), []
         given = x @ self.w[f"{d}x"] + self.w[f"{d}c"]
@@ -196,7 +198,8 @@ class Labeller:
             z = given[:, t] + h @ self.w[f"{d}h"]
             i, f, o, g = _sigmoid(z[:, :UNITS]), _sigmoid(z[:, UNITS : 2 * UNITS]), _sigmoid(z[:, 2 * UNITS : 3 * UNITS]), np.tanh(z[:, 3 * UNITS :])
             before, c = c, f * c + i * g
-            kept.append((h, before, c, i, f, o, g))
+            if learns:
+                kept.append((h, before, c, i, f, o, g))
             h = o * np.tanh(c)
             out[:, t] = h
         return out, kept
@@ -231,8 +234,8 @@ class Labeller:
         shape = (len(given.sizes), int(given.sizes.max(initial=0)), flat.shape[1])
         front, back = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
         front[page, at], back[page, turned] = flat, flat
-        hf, kf = self._lstm(front, "f")
-        hb, kb = self._lstm(back, "b")
+        hf, kf = self._lstm(front, "f", labels is not None)
+        hb, kb = self._lstm(back, "b", labels is not None)
         seen = np.concatenate([hf[page, at], hb[page, turned], flat], 1)
         p = _sigmoid(seen @ self.w["out"] + self.w["bias"])[:, 0]
         if labels is None:
@@ -319,6 +322,13 @@ class _Layout:
         tag, names = self.rng.choice([("footer", ["", "", "site-footer"]), ("div", ["footer", "copyright", "bottom", "legal", "site-footer"])])
         self.tag(tag, names, lambda: (self.parts.append(f"&copy; {self.words(1, 20)}"), self.labels.append(False)) if self.rng.random() < 0.7 else self.links(1, 5))
 
+    def bare(self) -> None:
+        """A story in one block, or in nameless ones, its paragraphs parted by line breaks."""
+        if self.rng.random() < 0.5:
+            self.leaf("h1", self.words(2, 14), True)
+        for _ in range(self.rng.choice([1, 1, 2, 4])):
+            self.leaf(self.rng.choice(["div", "div", "p"]), "<br><br>".join(self.words(20, 90) for _ in range(self.rng.randint(1, 4))), True)
+
     def story(self) -> None:
         if self.rng.random() < 0.8:
             self.leaf(self.rng.choice(["h1", "h1", "h2"]), self.words(2, 14), True)
@@ -335,14 +345,22 @@ class _Layout:
                 for _ in range(self.rng.randint(1, 4)):
                     self.leaf("li", self.words(2, 20), True)
                 self.parts.append("</ul>")
-            elif kind < 0.93:
+            elif kind < 0.92:
                 self.leaf("p", f'{self.words(2, 20)} <a href="/x">{self.words(1, 4)}</a>', True)
+            elif kind < 0.93:
+                self.leaf("p", f'<a href="/x">{self.words(6, 30)}</a>', True)
             elif kind < 0.96:
                 self.advert()
             else:
                 self.rng.choice([self.form, self.notice, self.side])()
 
     def main(self) -> None:
+        if self.rng.random() < 0.12:
+            if self.rng.random() < 0.5:
+                self.bare()
+            else:
+                self.tag(self.rng.choice(["div", "article", "main"]), ["", "", "content"], self.bare)
+            return
         tag, names = self.rng.choice([("article", ["", "", "post"]), ("article", ["", "story"]), ("main", ["", "content"]), ("div", ["content", "post-body", "entry-content", "article-body", "main-content", "story"]), ("section", ["content", "article", "entry"])])
         if self.rng.random() < 0.3:
             self.tag(self.rng.choice(["main", "div"]), ["", "content", "main", "container", "wrapper", "page"], lambda: self.tag(tag, names, self.story))
@@ -426,7 +444,7 @@ def page_texts(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     rows stay; an empty table gives an empty one.
     """
     model = pages.sparkSession.sparkContext.broadcast(model or trained())
-    found = fresh("found", pages.columns)
+    found = fresh("found", small_batches(pages).columns)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
