@@ -11,8 +11,8 @@ spanning star of the links it found instead of the pairs.
 
 one_of_similar asks for a Jaccard similarity of word runs instead. Fingerprints of such texts can be 17
 bits and more apart, which no bounded budget covers, so the trie's links and stars around shared rare
-runs come first, and what they left apart meets under the rare runs that similar texts must share. Every
-link is confirmed by the runs themselves.
+runs come first, and what they left apart meets under the rare runs that similar texts must share. Pairs
+that bitmaps of the runs don't rule out are confirmed by the runs themselves.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthframe.llm.common import fresh, table
+from hearthframe.llm.common import BATCH_ROWS, small_batches, table
 from hearthframe.llm.components import components
-from hearthframe.staging import drop_stage, stage
+from hearthframe.llm.decontam import rolling, rolling_at, word_hashes
+from hearthframe.operators.joins import join_hot, small_side
+from hearthframe.staging import drop_stage, stage, tidy
 
 BITS = 64
 SEED = 42
@@ -77,14 +79,15 @@ def _folded(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, fp): the fingerprint's 64 bits as a signed long, one row for each row."""
+    """docs (doc_id, text) -> (doc_id, raw, fp), one row for each row: a hash of the text, and the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((simhash(x.as_py(), words) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((simhash(x.as_py(), words) for x in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "raw", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, raw long, fp long")
 
 
 def _masks(width: int, budget: int) -> list[int]:
@@ -204,42 +207,97 @@ def links(leaves: DataFrame, budget: int = 2) -> DataFrame:
     return out
 
 
+def _classes(rows: DataFrame, budget: int) -> DataFrame:
+    """rows (doc_id, raw, fp) -> (fp, n, root, least), one row for each fingerprint: its rows, its component's name, and
+    the component's first row as a struct of none (no doc_id), doc_id and raw."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
+    leaves = stage(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(order).alias("first")), "leaves")
+    linked = components(stage(links(leaves.select("fp"), budget), "links"))
+    leaves = leaves.join(linked, leaves.fp == linked.node, "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("root"))
+    leaves = stage(leaves, "leaves")
+    least = leaves.groupBy("root").agg(F.min("first").alias("least"))
+    return leaves.join(least, "root").select("fp", "n", "root", "least")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, fingerprint, component_id), one row for each row.
 
     Texts whose fingerprints differ in at most budget bits are linked; component_id is the smallest
     doc_id that links reach. Null and empty texts have fingerprint 0 and are linked like any other; a
-    null doc_id gets its component but names none; repeated rows stay; an empty table gives an empty one.
-    Other columns are ignored.
+    null doc_id gets its component but names none; repeated rows stay; long texts are read whole; an
+    empty table gives an empty one. Other columns are ignored.
     """
     rows = stage(fingerprints(docs, words), "fingerprints")
-    leaves = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "leaves")
-    linked = components(stage(links(leaves.select("fp"), budget), "links"))
-    linked = leaves.join(linked, leaves.fp == linked.node).select("fp", "component", "first")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    linked = linked.join(least, "component").select("fp", "least")
-    leaves = leaves.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(leaves, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    leaves = stage(_classes(rows, budget).select("fp", "n", F.col("least.doc_id").alias("component_id")), "leaves")
+    found = join_hot(rows.select("doc_id", "fp"), leaves, "fp", "n")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@tidy
 def one_of_each(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, one row for each such doc_id."""
-    found = stage(near_duplicates(docs, words, budget), "components")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of docs for each group of texts that links connect: the first by doc_id, null last, then by a hash of the text.
+
+    Of rows alike in doc_id and text one stays.
+    """
+    rows = stage(fingerprints(docs, words), "fingerprints")
+    first = _classes(rows, budget).select("least.*").distinct()
+    keep = small_side(first.select(F.col("doc_id").alias("_keep"), F.col("raw").alias("_raw")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (F.xxhash64("text") == F.col("_raw"))
+    kept = docs.join(keep, same, "left_semi")
+    repeated = rows.groupBy("doc_id", "raw").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+_COLUMNS = "doc_id long, raw long, key long, fp long, n long, bits binary, rare array<long>"
+
+
+def runs_of(raw: bytes | None, words: int) -> np.ndarray:
+    """64-bit hashes of the runs of so many words, lower-case A-Z, of one text; a shorter text is one run."""
+    hashes = word_hashes(raw.translate(_LOWER)) if raw else np.zeros(0, np.uint64)
+    runs = rolling_at(hashes, np.zeros(1, np.int64), len(hashes)) if 0 < len(hashes) < words else rolling(hashes, words)
+    runs = (runs ^ (runs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return runs ^ (runs >> np.uint64(32))
+
+
+def _key(own: np.ndarray) -> int:
+    """A hash of a set of word runs; 0 if it is empty."""
+    return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64).view(np.int64)[0]) if len(own) else 0
+
+
+def _bits(own: np.ndarray) -> bytes:
+    """A bitmap of a set of runs, of the least power of two of bits that is twice their number."""
+    size = max(64, 1 << (2 * len(own) - 1).bit_length())
+    out = np.zeros(size, np.uint8)
+    out[(own & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _least_shared(n: int, m: int, similarity: float) -> int:
+    """Runs that sets of n and m runs share if their Jaccard similarity is so much."""
+    return math.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+
+
+def _may_be_similar(n: int, a: bytes, m: int, b: bytes, similarity: float) -> bool:
+    """False only if the bitmaps show that too few runs are shared: a run whose bit the other lacks is not in the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    least = _least_shared(n, m, similarity)
+    return n - int(np.bitwise_count(x & ~y).sum()) >= least and m - int(np.bitwise_count(y & ~x).sum()) >= least
 
 
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word runs that several of a sample of texts hold, in order, and how many hold each."""
+    """Word runs that several of a sample of texts hold, in order, and how many hold each. They only order runs."""
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     parts = texts.count() // COMMON_DOCS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0):
-                found = np.unique(shingles(x.as_py(), words))
+                found = np.unique(runs_of(x.as_py(), words))
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
 
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
@@ -250,136 +308,203 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return runs[by], n[by]
 
 
-def _key(own: np.ndarray) -> int:
-    """A hash of a set of word runs; 0 if it is empty."""
-    return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64).view(np.int64)[0]) if len(own) else 0
-
-
 def _marked(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, key, fp, n, rare): the key, fingerprint, size and rarest runs of each text's set.
+    """docs (doc_id, text) -> a row for each row: hashes of the text and of its set of runs, its fingerprint, and the
+    set's size, bitmap and rarest runs.
 
     Of the runs in any one order, two sets of this similarity share one of the first
     n - ceil(similarity * n) + 1 of each.
     """
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
+    common = docs.sparkSession.sparkContext.broadcast(_common(small_batches(docs), words))
 
-    def one(raw: bytes | None) -> tuple[int, int, int, np.ndarray]:
+    def one(raw: bytes | None) -> tuple[int, int, int, bytes, np.ndarray]:
         runs, n = common.value
-        hashes = shingles(raw, words)
+        hashes = runs_of(raw, words)
         own = np.unique(hashes)
         if not len(own):
-            return 0, 0, 0, own.view(np.int64)
+            return 0, 0, 0, b"", own.view(np.int64)
         often = np.zeros(len(own), np.int64)
         if len(runs):
             at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
             often = np.where(runs[at] == own, n[at], 0)
         first = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
-        rare = own[np.lexsort((own, often))[:first]]
-        return _key(own), int(np.array([_folded(hashes)], np.uint64).view(np.int64)[0]), len(own), rare.view(np.int64)
+        rare = own[np.argsort(often, kind="stable")[:first]]
+        return _key(own), int(np.array([_folded(hashes)], np.uint64).view(np.int64)[0]), len(own), _bits(own), rare.view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        for b in batches:
+            for lo in range(0, b.num_rows, BATCH_ROWS):
+                part = b.slice(lo, BATCH_ROWS)
+                more = [pa.array(list(x), k) for x, k in zip(zip(*(one(x.as_py()) for x in part.column(2)), strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *more], [x.split()[0] for x in _COLUMNS.split(", ")])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, _COLUMNS)
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of keys that neither the sizes nor the bitmaps of sets (key, n, bits) rule out."""
+    x = sets.select(F.col("key").alias("u"), F.col("n").alias("un"), F.col("bits").alias("ub"))
+    y = sets.select(F.col("key").alias("v"), F.col("n").alias("vn"), F.col("bits").alias("vb"))
+    both = pairs.join(x, "u").join(y, "v").where(F.least("un", "vn") >= similarity * F.greatest("un", "vn") - 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for b in batches:
-            made = zip(*(one(x.as_py()) for x in b.column(1)), strict=True) if b.num_rows else [[], [], [], []]
-            more = [pa.array(list(x), k) for x, k in zip(made, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *more], ["doc_id", "key", "fp", "n", "rare"])
+            rows = zip(*(b.column(c).to_pylist() for c in ("un", "ub", "vn", "vb")), strict=True)
+            yield b.select(["u", "v"]).filter(pa.array([_may_be_similar(*r, similarity) for r in rows], pa.bool_()))
+
+    return both.select("u", "v", "un", "ub", "vn", "vb").mapInArrow(run, "u long, v long")
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """hashes (at) -> a bitmap of 2^SLOTS bits of their low bits, made slice by slice on the executors."""
+    wide = SLOTS - 5
+    at = hashes.select(F.col("at").bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("at")).distinct().withColumn("slice", F.shiftright("at", wide))
+
+    def fill(key, group):
+        own = np.zeros(1 << wide, np.uint8)
+        own[group["at"].to_numpy() & ((1 << wide) - 1)] = 1
+        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+    out = np.zeros(1 << SLOTS - 3, np.uint8)
+    for r in at.groupBy("slice").applyInPandas(fill, "slice long, bits binary").collect():
+        lo = r.slice << wide - 3
+        out[lo : lo + (1 << wide - 3)] = np.frombuffer(r.bits, np.uint8)
+    return out
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long, n long, rare array<long>")
 
+def _packed(own: np.ndarray) -> bytes:
+    """A sorted set of runs, 40 bits of each."""
+    low = (own >> np.uint64(24)).astype("<u8")
+    return low.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of keys whose texts have sets of word runs of this similarity.
 
-    Texts are never shuffled: a bitmap of a fixed size says which of them may be in a pair.
+    Only the sets of texts in pairs are shuffled, by 40 bits of each run; a bitmap of a fixed size says
+    which texts these may be.
     """
-    nodes = stage(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), "nodes")
-    at = nodes.select(F.col("key").bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)
-    bitmap = np.zeros(1 << SLOTS - 3, np.uint8)
-    np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    pairs = stage(_possible(pairs, sets, similarity), "possible")
+    nodes = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    bitmap = _bitmap(sets.join(nodes, "key", "left_semi").select(F.col("raw").alias("at")))
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, owns = set(), [], []
+
+        def row() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owns, pa.binary())], ["key", "own"])
+            keys.clear(), owns.clear()
+            return out
+
         for b in batches:
-            for x in b.column(0):
-                own = np.unique(shingles(x.as_py(), words))
-                key = _key(own)
-                slot = key & (1 << SLOTS) - 1
-                if len(own) and held.value[slot >> 3] >> (slot & 7) & 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], ["key", "own"])
-
-    found = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, own array<long>")
-    sets = stage(found.join(nodes, "key", "left_semi").dropDuplicates(["key"]), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("own").alias("a")), "u")
-    both = both.join(sets.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    out = stage(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), "links")
-    drop_stage(sets)
+            slot = b.column(0).to_numpy() & ((1 << SLOTS) - 1)
+            for k in np.flatnonzero(held.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).tolist():
+                raw = b.column(0)[k].as_py()
+                if raw in seen:
+                    continue
+                seen.add(raw)
+                own = np.unique(runs_of(b.column(1)[k].as_py(), words))
+                keys.append(_key(own))
+                owns.append(_packed(own))
+                if len(keys) == 64:
+                    yield row()
+        yield row()
+
+    found = docs.select(F.xxhash64("text").alias("raw"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, own binary")
+    owns = found.groupBy("key").agg(F.first("own").alias("own"))
+    both = pairs.join(owns.select(F.col("key").alias("u"), F.col("own").alias("a")), "u")
+    both = both.join(owns.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                x, y = _unpacked(x), _unpacked(y)
+                ok.append(len(np.intersect1d(x, y, assume_unique=True)) >= _least_shared(len(x), len(y), similarity))
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    out = stage(both.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long"), "links")
+    drop_stage(pairs)
     return out
 
 
 def similar(docs: DataFrame, marked: DataFrame, words: int, similarity: float) -> DataFrame:
     """docs (text) and marked, of _marked -> (node, component): keys that links of this similarity connect."""
-    near = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
     some = marked.where("n > 0")
-
-    leaves = stage(some.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("least")), "leaves")
-    u, v = leaves.select(F.col("fp").alias("u"), F.col("least").alias("x")), leaves.select(F.col("fp").alias("v"), F.col("least").alias("y"))
-    trie = links(leaves.select("fp")).join(u, "u").join(v, "v").select("x", "y")
-    trie = trie.union(some.select("fp", F.struct("key", "n").alias("x")).join(leaves, "fp").select("x", F.col("least").alias("y")))
-    rows = some.select("key", F.explode("rare").alias("shingle"))
-    met = rows.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").select("shingle")
-    rows = rows.join(met, "shingle", "left_semi").distinct()
-    rows = stage(rows.join(some.select("key", "n").distinct(), "key").select("shingle", "key", "n"), "rows")
-    pivots = rows.groupBy("shingle").agg(F.min(F.struct("key", "n")).alias("y"), F.max("key").alias("most")).where("y.key < most")
-    stars = rows.join(pivots, "shingle").select(F.struct("key", "n").alias("x"), "y")
+    sets = stage(some.groupBy("key").agg(F.min("raw").alias("raw"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
 
     def pairs(found: DataFrame) -> DataFrame:
-        found = found.where((F.col("x.key") != F.col("y.key")) & near(F.col("x.n"), F.col("y.n")))
-        return found.select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
+        return found.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
-    first = stage(pairs(trie.union(stars)), "pairs")
-    sure = _confirmed(first, docs, words, similarity)
+    leaves = stage(sets.groupBy("fp").agg(F.min("key").alias("least")), "leaves")
+    u, v = leaves.select(F.col("fp").alias("u"), F.col("least").alias("x")), leaves.select(F.col("fp").alias("v"), F.col("least").alias("y"))
+    trie = links(leaves.select("fp")).join(u, "u").join(v, "v").select("x", "y")
+    trie = trie.union(sets.select("fp", F.col("key").alias("x")).join(leaves, "fp").select("x", F.col("least").alias("y")))
+    # runs that different sets hold, each with the least of these
+    rows = some.select("key", "n", F.explode("rare").alias("shingle"))
+    met = rows.groupBy("shingle").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").drop("most")
+    hits = stage(rows.join(met, "shingle").distinct(), "hits")
+    first = stage(pairs(trie.union(hits.select(F.col("key").alias("x"), F.col("least").alias("y")))), "pairs")
+    sure = _confirmed(first, sets, docs, words, similarity)
     joined = stage(components(sure), "components")
-    rows = rows.join(joined, rows.key == joined.node, "left").select("shingle", F.struct("key", "n").alias("x"), F.coalesce("component", "key").alias("at"))
-    # Only runs under which several components meet.
+    # runs under which several components still meet; sets there meet those of like size only
+    rows = hits.join(joined, hits.key == joined.node, "left").select("shingle", "key", F.floor(F.log("n") / math.log(1 / similarity) + 1e-9).alias("size"), F.coalesce("component", "key").alias("at"))
     apart = rows.groupBy("shingle").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("shingle")
     rows = stage(rows.join(apart, "shingle", "left_semi"), "rows")
-    other = rows.select("shingle", F.col("x").alias("y"), F.col("at").alias("there"))
-    across = stage(pairs(rows.join(other, "shingle").where("at < there")).join(first, ["u", "v"], "left_anti"), "pairs")
-    return components(sure.union(_confirmed(across, docs, words, similarity)))
+    other = rows.select("shingle", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"), F.col("key").alias("y"), F.col("at").alias("there"))
+    across = stage(pairs(rows.withColumnRenamed("key", "x").join(other, ["shingle", "size"]).where("at < there").select("x", "y")).join(first, ["u", "v"], "left_anti"), "across")
+    for done in (hits, first, joined, rows):
+        drop_stage(done)
+    found = sure.union(_confirmed(across, sets, docs, words, similarity))
+    return components(found)
 
 
+@tidy
 def one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each group of texts that links of this Jaccard similarity connect: the smallest doc_id's.
 
     Sets of runs of so many words are compared, of lower-case words as in simhash. Texts of equal sets are
-    one group, texts without a word another. A null doc_id comes after all others; rows that are alike in
-    doc_id are ordered by the set's hash, and one of those that are alike in both stays.
+    one group, null texts and those without a word another. A null doc_id comes after all others; rows
+    that are alike in doc_id are ordered by the set's hash, and one of those that are alike in both stays.
+    Long texts are compared whole; an empty table gives an empty one; all columns stay, whatever their names.
     """
     marked = stage(_marked(docs, words, similarity), "marked")
     joined = stage(similar(docs, marked, words, similarity), "components")
-    rows = marked.select("doc_id", "key").join(joined, F.col("key") == joined.node, "left")
+    rows = stage(marked.select("doc_id", "key").join(joined, F.col("key") == joined.node, "left").select("doc_id", "key", F.coalesce("component", "key").alias("at")), "rows")
+    drop_stage(marked)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    least = rows.groupBy(F.coalesce("component", "key").alias("at")).agg(F.min(order).alias("x"))
-    names = [fresh("key", docs.columns)]
-    names.append(fresh("text_bytes", [*docs.columns, *names]))
-    key, raw = names
-    least = stage(least.select("x.doc_id", F.col("x.key").alias(key)), "least")
+    least = stage(rows.groupBy("at").agg(F.min(order).alias("x")).select("x.doc_id", "x.key"), "least")
+    # doc_ids that name one row tell which rows go; of the others the sets are looked at again
+    named = rows.groupBy("doc_id").agg(F.count("*").alias("times"))
+    unsure = small_side(named.where("times > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_unsure")))
+    gone = rows.join(least, rows.doc_id.eqNullSafe(least.doc_id) & (rows.key == least.key), "left_anti")
+    gone = small_side(gone.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
+    at = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"))
+    kept = at.join(unsure, F.col("_id").eqNullSafe(F.col("_unsure")), "left_anti").join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
+    if unsure.isEmpty():
+        return kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = pa.array([_key(np.unique(shingles(x.as_py(), words))) for x in b.column(raw)], pa.int64())
-            own = [c for c in b.schema.names if c != raw]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), keys], [*own, key])
+            keys = pa.array([_key(np.unique(runs_of(x.as_py(), words))) for x in b.column("_text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("_id"), keys], ["row", "_id", "_key"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())])
-    keyed = docs.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
-    kept = keyed.join(least, (keyed[key] == least[key]) & keyed.doc_id.eqNullSafe(least.doc_id), "left_semi")
-    alike = marked.groupBy("doc_id", "key").count().where("count > 1")
-    kept = kept if alike.isEmpty() else kept.dropDuplicates(["doc_id", key])
-    return kept.select(*docs.columns)
+    row = T.StructField("row", T.StructType(docs.schema.fields))
+    again = at.join(unsure, F.col("_id").eqNullSafe(F.col("_unsure")), "left_semi").withColumn("_text", F.col("row.text").cast("binary"))
+    again = again.mapInArrow(run, T.StructType([row, T.StructField("_id", T.LongType()), T.StructField("_key", T.LongType())]))
+    again = again.join(least, F.col("_id").eqNullSafe(least.doc_id) & (F.col("_key") == least.key), "left_semi").dropDuplicates(["_id", "_key"])
+    return kept.union(again.select("row.*"))
 
 
+@tidy
 def op2(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

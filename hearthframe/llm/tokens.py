@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from hearthframe.llm.common import table
+from hearthframe.llm.common import small_batches, table
 from hearthframe.operators.joins import small_side
-from hearthframe.staging import drop_stage, stage, stage_path
+from hearthframe.staging import drop_stage, stage, stage_path, tidy
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Characters of a chunk of a huge text, and of the overlap of neighbouring chunks to begin with.
@@ -398,7 +398,7 @@ def token_counts(docs: DataFrame, name: str = BYTE_BPE, limit: int = 512, chunk:
     empty and has no tokens; a null doc_id and repeated rows stay; an empty table gives an empty one.
     Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     if not byte_level(name):
         chunk, overlap = WHOLE, 0
     out = None
@@ -418,6 +418,7 @@ def token_counts(docs: DataFrame, name: str = BYTE_BPE, limit: int = 512, chunk:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+@tidy
 def op4(spark, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -460,7 +461,7 @@ def write_tokens(docs: DataFrame, path: str, name: str = BYTE_BPE, end_id: int |
     SHA-256 of the dictionary, and one zstandard frame for each document, with the offset of each frame
     and of the end. Shards and their segments ascend in doc_id. Any document can be read by itself.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     trained = dictionary(docs, name)
     meta = [(_hash_of(trained), trained, name, end_id)]
     spark.createDataFrame(meta, "hash string, dictionary binary, tokenizer string, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -548,7 +549,7 @@ def token_index(spark, path: str) -> DataFrame:
     shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
     before = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("shard", "segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("segment_start"))
-    starts = small_side(stage(sizes.join(shards, "shard"), "starts"), 50_000)
+    starts = small_side(sizes.join(shards, "shard"))
     rows = _frames(segments, path, None, "shard int, segment int, place int, doc_id long, n_tokens long, ids_crc32 long", lambda s, k, raw: (s["shard"], s["segment"], k, s["doc_ids"][k], len(raw) // 4, zlib.crc32(raw)))
     own = Window.partitionBy("shard", "segment").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
@@ -556,6 +557,7 @@ def token_index(spark, path: str) -> DataFrame:
     return rows.join(starts, ["shard", "segment"]).select("doc_id", start, "n_tokens", "ids_crc32")
 
 
+@tidy
 def encoded(docs: DataFrame, name: str = BYTE_BPE, end_id: int | None = 2) -> DataFrame:
     """Writes docs as a token file in the shared folder and returns its token_index().
 
