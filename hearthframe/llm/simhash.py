@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,8 @@ FRONTIER = 1 << 18
 FINISH = 24
 #: Distinct texts, about, from which common word runs are learned, and runs kept; they order runs and exclude none.
 COMMON_DOCS, COMMON = 16_384, 200_000
+#: Rounds of stars after the first.
+STARS = 1
 #: Bits of the places in the bitmap of texts that may be in a pair.
 SLOTS = 25
 
@@ -449,23 +451,59 @@ def similar(docs: DataFrame, marked: DataFrame, words: int, similarity: float) -
     u, v = leaves.select(F.col("fp").alias("u"), F.col("least").alias("x")), leaves.select(F.col("fp").alias("v"), F.col("least").alias("y"))
     trie = links(leaves.select("fp")).join(u, "u").join(v, "v").select("x", "y")
     trie = trie.union(sets.select("fp", F.col("key").alias("x")).join(leaves, "fp").select("x", F.col("least").alias("y")))
-    # runs that different sets hold, each with the least of these
-    rows = some.select("key", "n", F.explode("rare").alias("shingle"))
-    met = rows.groupBy("shingle").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").drop("most")
-    hits = stage(rows.join(met, "shingle").distinct(), "hits")
-    first = stage(pairs(trie.union(hits.select(F.col("key").alias("x"), F.col("least").alias("y")))), "pairs")
-    sure = _confirmed(first, sets, docs, words, similarity)
-    joined = stage(components(sure), "components")
-    # runs under which several components still meet; sets there meet those of like size only
-    rows = hits.join(joined, hits.key == joined.node, "left").select("shingle", "key", F.floor(F.log("n") / math.log(1 / similarity) + 1e-9).alias("size"), F.coalesce("component", "key").alias("at"))
-    apart = rows.groupBy("shingle").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("shingle")
-    rows = stage(rows.join(apart, "shingle", "left_semi"), "rows")
-    other = rows.select("shingle", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"), F.col("key").alias("y"), F.col("at").alias("there"))
-    across = stage(pairs(rows.withColumnRenamed("key", "x").join(other, ["shingle", "size"]).where("at < there").select("x", "y")).join(first, ["u", "v"], "left_anti"), "across")
-    for done in (hits, first, joined, rows):
-        drop_stage(done)
-    found = sure.union(_confirmed(across, sets, docs, words, similarity))
-    return components(found)
+    # runs that different sets hold
+    rows = some.select("key", "n", F.posexplode("rare").alias("pos", "shingle"))
+    met = rows.groupBy("shingle").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("shingle")
+    hits = rows.join(met, "shingle").distinct()
+    # a text that others were made from shares its rarest runs, and they hold rare ones of their own: it comes first
+    hits = stage(hits, "hits")
+    alone = hits.groupBy("key").agg((F.max("pos") + 1 - F.count("*")).alias("alone"))
+    ranked = stage(hits.join(alone, "key").withColumn("alone", F.floor(1_000 * F.col("alone") / F.col("n"))), "ranked")
+    drop_stage(hits)
+
+    def first_shared(x: str, y: str) -> Column:
+        """Whether two sets of these sizes can be similar if the run at these places is the first that they share."""
+        xn, xp, yn, yp = (F.col(f"{k}.{c}") for k in (x, y) for c in ("n", "pos"))
+        share = F.lit(similarity / (1 + similarity)) * (xn + yn) - 1e-9
+        return (F.least(xn - xp, yn - yp) >= share) & (F.least(xn, yn) >= similarity * F.greatest(xn, yn) - 1e-9)
+
+    def stars(of: DataFrame) -> DataFrame:
+        """Pairs of each set (shingle, key, n, pos, alone, at) with the first one of another component under its runs."""
+        cell = F.struct("alone", "key", "n", "pos", "at")
+        lead = of.groupBy("shingle").agg(F.min(cell).alias("lead"), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("shingle", "lead")
+        both = of.select("shingle", cell.alias("x")).join(lead, "shingle").where((F.col("x.at") != F.col("lead.at")) & first_shared("x", "lead"))
+        return pairs(both.select(F.col("x.key").alias("x"), F.col("lead.key").alias("y")))
+
+    def placed(of: DataFrame, sure: DataFrame) -> DataFrame:
+        """of with the component of each set, only the runs under which several components meet."""
+        joined = stage(components(sure), "components")
+        found = of.drop("at").join(joined, F.col("key") == joined.node, "left").withColumn("at", F.coalesce("component", "key")).drop("node", "component")
+        apart = found.groupBy("shingle").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("shingle")
+        out = stage(found.join(apart, "shingle", "left_semi"), "apart")
+        drop_stage(joined)
+        return out
+
+    tried = stage(pairs(trie).union(stars(ranked.withColumn("at", F.col("key")))).distinct(), "pairs")
+    sure = _confirmed(tried, sets, docs, words, similarity)
+    left = placed(ranked, sure)
+    drop_stage(ranked)
+    for _ in range(STARS):
+        more = stage(stars(left).join(tried, ["u", "v"], "left_anti"), "pairs")
+        if more.isEmpty():
+            break
+        sure, tried = sure.union(_confirmed(more, sets, docs, words, similarity)), tried.union(more)
+        later = placed(left, sure)
+        drop_stage(left)
+        left = later
+    # what is left apart meets one by one, sets of like size only, where the run may be the first that they share
+    cell = F.struct("key", "n", "pos", "at")
+    size = F.floor(F.log("n") / math.log(1 / similarity) + 1e-9)
+    x = left.select("shingle", size.alias("size"), cell.alias("x"))
+    y = left.select("shingle", F.explode(F.sequence(size - 1, size + 1)).alias("size"), cell.alias("y"))
+    across = x.join(y, ["shingle", "size"]).where((F.col("x.at") < F.col("y.at")) & first_shared("x", "y"))
+    across = stage(pairs(across.select(F.col("x.key").alias("x"), F.col("y.key").alias("y"))).join(tried, ["u", "v"], "left_anti"), "across")
+    drop_stage(left)
+    return components(sure.union(_confirmed(across, sets, docs, words, similarity)))
 
 
 @tidy
