@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hearthframe.functions import text as X
@@ -34,14 +34,17 @@ def is_valid_price(price: Column, low: int = PRICES[0], high: int = PRICES[1]) -
     return F.coalesce(price.rlike(r"^[0-9]+\z") & price.try_cast("bigint").between(low, high), F.lit(False))
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list, null_exempt: bool = False) -> DataFrame:
-    """The first row of each key by order. With null_exempt, rows with a null or empty key all stay; else nulls are one key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    if not null_exempt:
-        return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    empty = X.any_of([F.coalesce(F.col(k).cast("string"), F.lit("")) == "" for k in keys])
-    keyed = df.where(~empty).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return keyed.unionByName(df.where(empty))
+def keep_first(df: DataFrame, keys: list[str], order: list[str], null_exempt: bool = False) -> DataFrame:
+    """The first row of each key by the order columns, ascending with nulls first.
+
+    With null_exempt, rows with a null or empty key all stay; else nulls are one key. Firsts are picked
+    before rows are shuffled, so a key with very many rows is no burden.
+    """
+    if null_exempt:
+        empty = X.any_of([F.coalesce(F.col(k).cast("string"), F.lit("")) == "" for k in keys])
+        return keep_first(df.where(~empty), keys, order).unionByName(df.where(empty))
+    first = df.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def first_labels(listings: DataFrame) -> DataFrame:
@@ -56,6 +59,21 @@ def cleaned(listings: DataFrame, mode: str = "compat") -> DataFrame:
     return keep_first(kept, ["Portal", "URL"], ["seq", "page_no", "card_no"])
 
 
+def cleaned_and_counted(listings: DataFrame, mode: str = "compat") -> tuple[DataFrame, Observation, Observation]:
+    """cleaned(), with the rows before and after, which are counted as they pass when the result is computed: no second pass.
+
+    removed(before, after) reads them then.
+    """
+    before, after = Observation(), Observation()
+    kept = cleaned(listings.observe(before, F.count("*").alias("rows")), mode)
+    return kept.observe(after, F.count("*").alias("rows")), before, after
+
+
+def removed(before: Observation, after: Observation) -> int:
+    """Rows that cleaning took out; waits for the first action on its result."""
+    return before.get["rows"] - after.get["rows"]
+
+
 def ordered(df: DataFrame, drop: tuple[str, ...] = ("Ubicacion", "seq", "page_no", "card_no")) -> DataFrame:
     """The core columns that df has, in their order, then the others by name."""
     core = [c for c in CORE if c in df.columns]

@@ -37,6 +37,23 @@ def filled(df: DataFrame, address: str, dimension: DataFrame) -> DataFrame:
     return df.where(known).unionByName(geocoded(df.where(~known).drop("lat", "lon"), address, dimension))
 
 
+def filled_durably(df: DataFrame, address: str, dimension: DataFrame, path: str, batches: int = 8) -> DataFrame:
+    """filled(), looking addresses up in batches that are appended to a table at path as they are done.
+
+    What is found or known to be missing stays there, so a rerun after a failure goes on where the last
+    one stopped and asks for no address twice.
+    """
+    spark, kinds = df.sparkSession, "full_address string, lat double, lon double"
+    spark.createDataFrame([], kinds).write.mode("append").parquet(path)
+    wanted = df.where("lat IS NULL OR lon IS NULL").select(X.full_address(F.col(address)).alias("full_address")).where("full_address IS NOT NULL").distinct()
+    known = dimension.groupBy("full_address").agg(F.min(F.struct("lat", "lon")).alias("_at"))
+    for k in range(batches):
+        done = spark.read.schema(kinds).parquet(path).select("full_address")
+        batch = wanted.where(F.pmod(F.xxhash64("full_address"), F.lit(batches)) == k).join(done, "full_address", "left_anti")
+        batch.join(known, "full_address", "left").select("full_address", "_at.lat", "_at.lon").write.mode("append").parquet(path)
+    return filled(df, address, spark.read.schema(kinds).parquet(path))
+
+
 def located(df: DataFrame) -> DataFrame:
     return df.where("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthframe.functions import text as X
+from hearthframe.operators.spatial import unproject
 
 #: Layers, green-space classes, price bands and their colours, and the tooltip's fields.
 LAYERS = ["gym", "subte", "parque", "plaza"]
@@ -80,8 +81,22 @@ def tooltip(df: DataFrame) -> Column:
     return F.array(*(F.struct(X.label(F.lit(c)).alias("label"), F.col(c).cast("string").alias("value")) for c in TOOLTIP if c in df.columns))
 
 
-def for_map(df: DataFrame) -> DataFrame:
-    """Dates as yyyy-MM-dd texts and numbers as doubles; other columns as they are."""
+def for_map(df: DataFrame, metres: tuple[str, str] | None = None) -> DataFrame:
+    """Dates as yyyy-MM-dd texts and numbers as doubles; other columns as they are.
+
+    Of columns of one name the first stays. With metres, the names of projected coordinates, these
+    become lon and lat in degrees.
+    """
+    seen, first = set(), []
+    for k, name in enumerate(df.columns):
+        if name not in seen:
+            seen.add(name)
+            first.append(k)
+    if len(first) < len(df.columns):
+        df = df.toDF(*(str(k) for k in range(len(df.columns)))).select(*(F.col(str(k)).alias(df.columns[k]) for k in first))
+    if metres:
+        lon, lat = unproject(*map(F.col, metres))
+        df = df.withColumns({"lon": lon, "lat": lat}).drop(*metres)
     cols = []
     for name, kind in df.dtypes:
         if kind.startswith(("timestamp", "date")):
@@ -91,3 +106,26 @@ def for_map(df: DataFrame) -> DataFrame:
         else:
             cols.append(F.col(name))
     return df.select(*cols)
+
+
+def map_layers(districts: DataFrame, greens: DataFrame, lines: DataFrame, stations: DataFrame, gyms: DataFrame, listings: DataFrame) -> dict[str, DataFrame]:
+    """The six layers of the map in their order, each with its style, and popups or tooltips where it has them.
+
+    districts and greens (cat, nombre) are areas, lines (color_map) lines, the others points with lon and
+    lat: stations (color_map), gyms (color_map, cadena, nombre) and listings (costo_total).
+    """
+    field = lambda label, c: F.struct(F.lit(label).alias("label"), F.col(c).cast("string").alias("value"))
+    return {
+        "Barrios": districts.withColumn("style", district_style()),
+        "Espacios Verdes": greens.withColumns({"style": green_style(F.col("cat")), "tooltip": F.array(field("Nombre:", "nombre"), field("Tipo:", "cat"))}),
+        "Líneas Subte": lines.withColumn("style", line_style(F.col("color_map"))),
+        "Estaciones de Subte": stations.withColumn("style", marker_style("station", F.col("color_map"))),
+        "Gimnasios": gyms.withColumns({"style": marker_style("gym", F.col("color_map")), "popup": gym_popup(F.col("cadena"), F.col("nombre"))}),
+        "Departamentos": listings.withColumns({"style": marker_style("listing", band(F.col("costo_total"))), "tooltip": tooltip(listings)}),
+    }
+
+
+def write_layers(layers: dict[str, DataFrame], path: str) -> None:
+    """Each layer as a Parquet table below path, numbered in the map's order."""
+    for k, (name, df) in enumerate(layers.items()):
+        df.withColumn("layer", F.lit(name)).write.mode("overwrite").parquet(f"{path}/{k}")

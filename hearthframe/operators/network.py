@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthframe.operators.joins import small_side
 from hearthframe.staging import drop_stage, stage
 
+#: Written rounds of found distances that are merged into one.
+ROUNDS = 8
+
 
 def graph(lines: DataFrame, parts: str = "parts") -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, x, y) and links (src, dst, w) of lines in metres.
@@ -26,18 +32,29 @@ def graph(lines: DataFrame, parts: str = "parts") -> tuple[DataFrame, DataFrame]
 def reach(origins: DataFrame, links: DataFrame, cutoff: float) -> DataFrame:
     """(origin, node, d): shortest distances up to cutoff, included, from each distinct origin (node) along links (src, dst, w).
 
-    Each round extends only the distances that the last one found or made shorter; weights are not
-    negative. Rounds are as many as the links of the longest shortest path. Tables are written after
-    each round, so plans stay short.
+    Each round extends only the distances that the last one found or made shorter, compares them with
+    the known ones of the same places, and writes those that are better; what was written before is not
+    written again until ROUNDS rounds are merged. Weights are not negative. Rounds are as many as the
+    links of the longest shortest path.
     """
-    first = origins.select(F.col("node").alias("origin"), "node").where("node IS NOT NULL").distinct().select("origin", "node", F.lit(0.0).alias("d"), F.lit(True).alias("new"))
-    best, links = stage(first, "reach"), stage(links.where(F.col("w") <= cutoff).select("src", "dst", F.col("w").cast("double")), "links")
-    while not best.where("new").isEmpty():
-        step = best.where("new").join(links, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"))
-        known = best.select("origin", "node", "d", F.col("d").alias("old"))
-        every = known.unionByName(step.where(F.col("d") <= cutoff).withColumn("old", F.lit(None).cast("double")))
-        after = every.groupBy("origin", "node").agg(F.min("d").alias("d"), F.min("old").alias("old"))
-        later = stage(after.select("origin", "node", "d", F.coalesce(F.col("d") < F.col("old"), F.lit(True)).alias("new")), "reach")
-        drop_stage(best)
-        best = later
-    return best.select("origin", "node", "d")
+    first = origins.select(F.col("node").alias("origin"), "node").where("node IS NOT NULL").distinct().select("origin", "node", F.lit(0.0).alias("d"))
+    links = stage(links.where(F.col("w") <= cutoff).select(F.col("src").alias("node"), "dst", F.col("w").cast("double")), "links")
+    found = [stage(first, "reach")]
+
+    def best(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.union, tables).groupBy("origin", "node").agg(F.min("d").alias("d"))
+
+    while not found[-1].isEmpty():
+        step = found[-1].join(links, "node").select("origin", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d")).where(F.col("d") <= cutoff)
+        step = stage(step.groupBy("origin", "node").agg(F.min("d").alias("d")), "step")
+        places = small_side(step.select("origin", "node"), written=True)
+        known = best([t.join(places, ["origin", "node"], "left_semi") for t in found]).withColumnRenamed("d", "old")
+        found.append(stage(step.join(known, ["origin", "node"], "left").where("old IS NULL OR d < old").select("origin", "node", "d"), "reach"))
+        drop_stage(step)
+        if len(found) > ROUNDS:
+            merged = stage(best(found[:-1]), "reach")
+            for t in found[:-1]:
+                drop_stage(t)
+            found = [merged, found[-1]]
+    drop_stage(links)
+    return best(found)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from hearthframe.operators.joins import small_side
 from hearthframe.staging import stage
 
+#: Nodes of a cell in the mean, and keys that the points of one cell are spread over.
+FEW, SALTS = 4, 4
 #: POSGAR 94 / Argentina zone 5 (EPSG:22185) on the WGS 84 ellipsoid.
 SEMI_MAJOR, FLATTENING, LON0, LAT0, EASTING, NORTHING = 6378137.0, 1 / 298.257223563, -60.0, -90.0, 5_500_000.0, 0.0
 
@@ -76,17 +78,32 @@ def edges(polygons: DataFrame, pid: str, rings: str = "rings") -> DataFrame:
     return ring.select(pid, F.inline(pairs)).where("NOT (x1 <=> x2 AND y1 <=> y2)")
 
 
+def project_parts(parts: Column, to=None) -> Column:
+    """Lines or rings (arrays of parts of (x, y) in degrees) in metres; with to=unproject the other way round."""
+
+    def point(p: Column) -> Column:
+        x, y = (to or project)(p.x, p.y)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(parts, lambda part: F.transform(part, point))
+
+
 def within(points: DataFrame, polygons: DataFrame, pid: str, band: float, x: str = "x", y: str = "y", rings: str = "rings") -> DataFrame:
     """points x polygons that contain them, by the even-odd rule, so holes and many parts need nothing more.
 
-    points must have a column id. Points on a side are outside. Points and sides meet in bands of equal
-    height; a point in two polygons is there twice.
+    points must have a column id. Points on a side are outside. A point in two polygons is there twice.
+    Sides fall into bands of equal height. The stretch of a band between a polygon's westernmost and
+    easternmost side in it is cut into cells as wide as they are high; a point meets the polygons of its
+    cell, and of these the sides in its band, wherever on the map the others are.
     """
     sides = edges(polygons, pid, rings)
     low, high = F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band)
-    sides = sides.select("*", F.explode(F.sequence(low, high)).alias("_band"))
-    at = points.select("id", F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(y) / band).alias("_band"))
-    met = at.join(small_side(sides), "_band")
+    sides = stage(sides.select("*", F.explode(F.sequence(low, high)).alias("_band")), "sides")
+    spans = sides.groupBy(pid, "_band").agg(F.min(F.least("x1", "x2")).alias("_west"), F.max(F.greatest("x1", "x2")).alias("_east"))
+    cells = spans.select(pid, "_band", "_west", "_east", F.explode(F.sequence(F.floor(F.col("_west") / band), F.floor(F.col("_east") / band))).alias("_cell"))
+    at = points.select("id", F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(y) / band).alias("_band"), F.floor(F.col(x) / band).alias("_cell"))
+    near = at.join(small_side(cells), ["_band", "_cell"]).where("_x BETWEEN _west AND _east").select("id", "_x", "_y", "_band", pid)
+    met = near.join(small_side(sides, written=True), [pid, "_band"])
     straddles = (F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y"))
     cross = F.try_divide((F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
     hit = straddles & (F.col("_x") < cross)
@@ -96,25 +113,38 @@ def within(points: DataFrame, polygons: DataFrame, pid: str, band: float, x: str
     return points.join(inside.where("_hits % 2 = 1 AND NOT _on").select("id", pid), "id")
 
 
+def _fine(nodes: DataFrame, cell: float) -> float:
+    """cell, or the half, quarter, ... of it at which a cell that has nodes has FEW of them in the mean, from one pass."""
+    widths = [cell / 2**k for k in range(12)]
+    at = [F.approx_count_distinct(F.struct(F.floor(F.col("x") / w), F.floor(F.col("y") / w))).alias(f"c{k}") for k, w in enumerate(widths)]
+    found = nodes.agg(F.count("*").alias("n"), *at).first()
+    return next((w for k, w in enumerate(widths) if found["n"] <= FEW * found[f"c{k}"]), widths[-1])
+
+
 def nearest(points: DataFrame, nodes: DataFrame, cell: float, grow: int = 4) -> DataFrame:
     """(id, node_id, d): the nearest node (node_id, x, y) of each point (id, x, y), the smallest node_id on ties.
 
     A node within one cell's width lies in the nine cells around a point, so nearer matches are final.
-    Points without one meet coarser cells, until one cell is wider than all points and nodes. Points and
+    Cells begin at a width that fits how densely the nodes lie, at most cell, so that a point meets few
+    nodes; points without a match meet coarser cells, until one cell is wider than all points and nodes.
+    Points that share a cell are spread over SALTS keys, each of which holds the cell's nodes. Points and
     nodes without coordinates match nothing.
     """
     has = "x IS NOT NULL AND y IS NOT NULL"
     left, nodes, done = points.where(has).select("id", "x", "y"), stage(nodes.where(has).select("node_id", "x", "y"), "nodes"), None
     extent = nodes.select("x", "y").union(left.select("x", "y")).agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
     width = max(extent.w or 0.0, extent.h or 0.0)
+    cell = _fine(nodes, cell)
     while True:
         last = cell > 2 * width
         cells = F.struct(F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
         around = F.explode(F.array(*(F.struct((F.floor(F.col("x") / cell) + a).alias("cx"), (F.floor(F.col("y") / cell) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-        here = left.select("id", "x", "y", around.alias("c")).select("id", "x", "y", "c.*")
-        there = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), cells.alias("c")).select("node_id", "nx", "ny", "c.*")
+        # nodes go to the cells around them, so points, which are more, are not multiplied
+        there = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), around.alias("c"))
+        there = there.select("node_id", "nx", "ny", "c.*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        here = left.select("id", "x", "y", cells.alias("c"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt")).select("id", "x", "y", "c.*", "salt")
         d = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
-        best = here.join(there, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("b"))
+        best = here.join(there, ["cx", "cy", "salt"]).groupBy("id").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("b"))
         found = best.select("id", "b.node_id", "b.d")
         if not last:
             found = found.where(F.col("d") <= cell)

@@ -16,6 +16,7 @@ from hearthframe.functions import text as X
 from hearthframe.operators import clean, geocode, metrics, network, spatial, unify
 from hearthframe.plans import urls
 from hearthframe.sources import files, html
+from hearthframe.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,12 +110,12 @@ def q07_recode_title(spark, sf):
 SELECT doc_id FROM (
   SELECT doc_id, rooms, t, replace(t, ' ', '') AS c FROM (
     SELECT doc_id, CAST(doc_id % 4 AS VARCHAR) AS rooms,
-      lower(coalesce(substr(text, 1, 60), 'nan') || ' ' || CASE WHEN doc_id % 5 = 0 THEN 'nan' ELSE coalesce(substr(text, 61, 60), 'nan') END || ' ' || CAST(doc_id % 4 AS VARCHAR)) AS t FROM documents))
+      lower(coalesce(source, 'nan') || ' ' || CASE WHEN doc_id % 5 = 0 THEN 'nan' ELSE coalesce(text, 'nan') END || ' ' || CAST(doc_id % 4 AS VARCHAR)) AS t FROM documents))
 WHERE NOT (contains(t, 'on the') OR contains(c, 'onthe') OR contains(t, 'en de') OR contains(c, 'ende') OR contains(t, '1 amb') OR contains(c, '1amb') OR rooms = '1')
 """)
 def q08_exclusion_filter(spark, sf):
-    info = F.when(F.col("doc_id") % 5 != 0, F.substring("text", 61, 60))
-    out = clean.is_excluded(F.substring("text", 1, 60), info, (F.col("doc_id") % 4).cast("string"), ["on the", "en de", "1 amb"])
+    info = F.when(F.col("doc_id") % 5 != 0, F.col("text"))
+    out = clean.is_excluded(F.col("source"), info, (F.col("doc_id") % 4).cast("string"), ["on the", "en de", "1 amb"])
     return table(spark, sf, "documents").where(~out).select("doc_id")
 
 
@@ -545,5 +546,56 @@ def q38_gym_layer(spark, sf):
     return geocode.gyms(chains, dimension).select("cadena", "nombre", "plan", "color_map", "lat")
 
 
+@query("""
+SELECT s_suppkey AS id, 'Gimnasios' AS layer, CAST(6 AS INTEGER) AS radius, 'black' AS edge, CASE s_suppkey % 3 WHEN 0 THEN '#003366' WHEN 1 THEN '#ff6600' ELSE '#cc0000' END AS fill,
+  CASE s_suppkey % 3 WHEN 0 THEN 'SportClub' WHEN 1 THEN 'Megatlon' ELSE 'Smartfit' END || ': ' || s_name AS popup FROM supplier
+UNION ALL SELECT c_custkey, 'Estaciones de Subte', 4, 'white', CASE c_custkey % 3 WHEN 0 THEN '#00AEEF' WHEN 1 THEN '#ED1C24' END, NULL FROM customer
+""")
+def q39_map_layers(spark, sf):
+    """Gyms and stations of the assembled map with their markers and popups; the other layers are in tests."""
+    pick = lambda key, names: F.element_at(F.array(*(F.lit(n) for n in names)), (F.col(key) % 3 + 1).cast("int"))
+    chain = pick("s_suppkey", ["SportClub", "Megatlon", "Smartfit"])
+    gyms = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), chain.alias("cadena"), F.col("s_name").alias("nombre"), X.lookup(chain, geocode.GYM_COLORS).alias("color_map"))
+    stations = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), X.lookup(pick("c_custkey", ["A", "B", "Z"]), geocode.LINE_COLORS).alias("color_map"))
+    none = spark.createDataFrame([], "nombre string, cat string, color_map string, costo_total long")
+    layers = metrics.map_layers(none, none, none, stations, gyms, none)
+    shown = [layers[n].withColumn("layer", F.lit(n)) for n in ("Gimnasios", "Estaciones de Subte")]
+    both = unify.union_all(shown)
+    return both.select("id", "layer", "style.radius", F.col("style.color").alias("edge"), F.col("style.fillColor").alias("fill"), "popup")
+
+
+@query("""
+WITH p AS (SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_custkey % 2 WHEN 0 THEN 'a' ELSE 'b' END AS portal, CAST(floor(abs(c_acctbal) * 90) AS BIGINT) AS price FROM customer)
+SELECT CAST(count(*) AS BIGINT) AS before, CAST(count(CASE WHEN price BETWEEN 10000 AND 999999 THEN 1 END) AS BIGINT) AS after, CAST(count(CASE WHEN price BETWEEN 10000 AND 999999 THEN NULL ELSE 1 END) AS BIGINT) AS removed FROM p
+""")
+def q40_removed_rows(spark, sf):
+    """Rows that cleaning took out, counted on the way through."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(
+        F.when(k % 2 == 0, F.lit("a")).otherwise(F.lit("b")).alias("Portal"), k.cast("string").alias("URL"), F.floor(F.abs("c_acctbal") * 90).cast("string").alias("Precio"), F.lit("casa").alias("Titulo"),
+        F.lit("3").alias("Ambientes"), F.lit("linda").alias("Descripcion_Breve"), k.alias("seq"), F.lit(1).alias("page_no"), F.lit(1).alias("card_no"),
+    )
+    kept, before, after = clean.cleaned_and_counted(rows)
+    kept.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(before.get["rows"], after.get["rows"], clean.removed(before, after))], "before long, after long, removed long")
+
+
+_METRES = """
+WITH l AS (SELECT c_custkey AS k, CAST(-58.6 AS DOUBLE) + c_custkey % 100 / CAST(500 AS DOUBLE) AS lon, CAST(-34.8 AS DOUBLE) + c_custkey * 7 % 100 / CAST(500 AS DOUBLE) AS lat FROM customer)
+SELECT k AS id, round(lon, 7) AS lon, round(lat, 7) AS lat, CAST(2 AS BIGINT) AS parts FROM l
+"""
+
+
+@query(_METRES)
+def q41_project_parts(spark, sf):
+    """Lines to metres and back to degrees; the first point of each comes out where it was."""
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    line = F.array(F.array(at(F.col("lon"), F.col("lat")), at(F.col("lon") + 0.01, F.col("lat"))), F.array(at(F.col("lon"), F.col("lat")), at(F.col("lon"), F.col("lat") + 0.01)))
+    metres = _lonlat(spark, sf).select("id", spatial.project_parts(line).alias("parts"))
+    back = stage(metres, "lines").select("id", spatial.project_parts(F.col("parts"), spatial.unproject).alias("parts"))
+    first = F.col("parts")[0][0]
+    return back.select("id", F.round(first["x"], 7).alias("lon"), F.round(first["y"], 7).alias("lat"), F.size("parts").cast("long").alias("parts"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q28_listing_metrics(spark, sf_dir)

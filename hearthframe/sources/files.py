@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,45 @@ def write_snapshot(df: DataFrame, path: str) -> bool:
     return True
 
 
+def _one_file(spark: SparkSession, folder: str, path: str) -> None:
+    """Puts the single part file of a written folder at path, in place of what is there."""
+    jvm = spark.sparkContext._jvm
+    at, to = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")]
+    fs.delete(to, True)
+    fs.rename(part, to)
+    fs.delete(at, True)
+
+
+def write_dated(df: DataFrame, base: str, portal: str, day: str) -> str | None:
+    """A portal's snapshot as the one file <base>/<portal>/<portal>_<day>.csv, in place of the same day's; its path, or None for no rows.
+
+    A portal's crawl of one day is one file by contract; write_snapshot keeps as many files as df has partitions.
+    """
+    path = f"{base.rstrip('/')}/{portal}/{portal}_{day}.csv"
+    if not write_snapshot(df.coalesce(1), f"{path}._parts"):
+        return None
+    _one_file(df.sparkSession, f"{path}._parts", path)
+    return path
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """The consolidated table as Parquet below path/parquet and, semicolon-separated, below path/csv."""
+    df.write.mode("overwrite").parquet(f"{path}/parquet")
+    df.write.mode("overwrite").option("sep", ";").option("header", True).csv(f"{path}/csv")
+
+
+def read_chain(spark: SparkSession, path: str) -> DataFrame:
+    """A gym chain's file: a GeoJSON layer of points with lat and lon, a Parquet table, or a CSV file with a header."""
+    if path.endswith(".geojson"):
+        rows = spark.read.schema(_FEATURES).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+        names = sorted({k for r in rows.select(F.explode(F.map_keys("f.properties")).alias("k")).distinct().collect() for k in r})
+        point = F.from_json("f.geometry.coordinates", _POINT)
+        return rows.select(*(F.col("f.properties")[n].alias(n) for n in names), point[1].alias("lat"), point[0].alias("lon"))
+    return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
+
+
 def read_snapshot(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A snapshot as texts, under these column names."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -71,3 +113,22 @@ def feature(properties: list[str], lon: str = "lon", lat: str = "lat") -> Column
 def write_geojson_lines(df: DataFrame, path: str, lon: str = "lon", lat: str = "lat") -> None:
     """One feature a line (newline-delimited GeoJSON), in as many files as df has partitions."""
     df.select(feature([c for c in df.columns if c not in (lon, lat)], lon, lat).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_geojson(df: DataFrame, path: str, lon: str = "lon", lat: str = "lat") -> None:
+    """One FeatureCollection in one file, as map programs read it; large layers are better off as lines."""
+    lines = df.select(feature([c for c in df.columns if c not in (lon, lat)], lon, lat).alias("value")).repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        yield pa.RecordBatch.from_pydict({"value": ['{"type":"FeatureCollection","features":[']})
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([x if first and not k else f",{x}" for k, x in enumerate(rows)], pa.string())], ["value"])
+            first = first and not rows
+        yield pa.RecordBatch.from_pydict({"value": ["]}"]})
+
+    empty = df.sparkSession.createDataFrame([('{"type":"FeatureCollection","features":[]}',)], "value string").coalesce(1)
+    made = empty if df.isEmpty() else lines.mapInArrow(run, "value string")
+    made.write.mode("overwrite").text(f"{path}._parts")
+    _one_file(df.sparkSession, f"{path}._parts", path)

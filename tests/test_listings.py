@@ -67,7 +67,7 @@ def test_dedup_clean_and_files(spark, tmp_path):
     assert out.columns[:2] == ["Portal", "Barrio"] and out.count() == 1
     for portal, cols in PORTAL_COLUMNS.items():
         for day in ("2024-01-01", "2024-02-01"):
-            assert files.write_snapshot(out.limit(1 if day > "2024-01" or True else 0).select(*cols), f"{tmp_path}/{portal}/{portal}_{day}.csv")
+            assert files.write_snapshot(out.limit(1).select(*cols), f"{tmp_path}/{portal}/{portal}_{day}.csv")
     assert files.write_snapshot(out.limit(0), f"{tmp_path}/none") is False
     part = next(p for p in (tmp_path / "zonaprop" / "zonaprop_2024-01-01.csv").iterdir() if p.suffix == ".csv")
     assert part.read_bytes().startswith(b"\xef\xbb\xbfPortal;")
@@ -107,3 +107,21 @@ def test_legacy_rules(spark):
     assert (r.Precio, r.Metros, r.Baños, r.Titulo) == ("$ 1 + 2", "40 m²", "1 baño", "")
     r = read("cabaprop", '<div class="cards"><span class="lc-price-small">Expensas: $ 9</span><div class="tc_content"><h4>T</h4><p>Depto<br> Calle 2 </p></div><div class="details"><a href="/y">v</a></div><ul class="prop_details"><li><b>2</b> Ambientes</li><li>50 m² total</li></ul></div>')
     assert (r.Precio, r.Expensas, r.Direccion, r.URL, r.Ambientes, r.Metros, r.Titulo) == ("Consultar", "$ 9", "Calle 2", "https://cabaprop.com.ar/y", "2  Ambientes", "", "T")
+
+
+def test_dated_file_is_replaced(spark, tmp_path):
+    df = spark.createDataFrame([("zonaprop", "1"), ("zonaprop", "2")], "Portal string, Precio string")
+    path = files.write_dated(df, str(tmp_path), "zonaprop", "2024-03-01")
+    assert path == f"{tmp_path}/zonaprop/zonaprop_2024-03-01.csv"
+    assert files.write_dated(df.limit(1), str(tmp_path), "zonaprop", "2024-03-01") == path
+    assert open(path, encoding="utf-8-sig").read().splitlines() == ["Portal;Precio", "zonaprop;1"]
+    assert files.latest_path(spark, f"{tmp_path}/zonaprop").endswith("2024-03-01.csv")
+    assert files.write_dated(df.limit(0), str(tmp_path), "zonaprop", "2024-03-02") is None
+    files.write_table(df, f"{tmp_path}/all")
+    assert spark.read.parquet(f"{tmp_path}/all/parquet").count() == 2
+
+
+def test_removed_rows_are_counted(spark):
+    pages = [("zonaprop", "b", "ph", 1, s, ZONA.format(price=p, href=h, place="Calle 1")) for s, p, h in [(1, "$ 50.000", "/a"), (2, "$ 60.000", "/a"), (3, "$ 5", "/b")]]
+    kept, before, after = clean.cleaned_and_counted(html.raw_listings(spark.createDataFrame(pages, PAGES)))
+    assert kept.count() == 1 and clean.removed(before, after) == 2

@@ -135,3 +135,71 @@ def test_search_plan(spark):
     assert got["villa-urquiza", "departamento", "argenprop"].endswith("?*-300000-expensas&con-ambiente-balcon&solo-ver-pesos")
     assert "villa_urquiza" in got["villa-urquiza", "ph", "cabaprop"]
     assert sorted(map(str, urls.flat_plan(urls.nested_plan(plan)).collect())) == sorted(map(str, plan.collect()))
+
+
+def test_within_meets_near_polygons_only(spark):
+    shapes = [(f"p{k}", [[(x + 20.0 * k, y) for x, y in SQUARE]]) for k in range(6)]
+    rng = random.Random(8)
+    rows = [(k, rng.uniform(-5, 125), rng.uniform(-2, 12)) for k in range(300)]
+    want = sorted((k, f"p{int(x // 20)}") for k, x, y in rows if 0 <= x <= 120 and x % 20 < 10 and 0 < y < 10)
+    got = spatial.within(spark.createDataFrame(rows, "id int, x double, y double"), polygons(spark, *shapes), "name", 3.0)
+    assert sorted((r.id, r.name) for r in got.collect()) == want
+
+
+def test_parts_there_and_back(spark):
+    lines = polygons(spark, ("l", [[(-58.4, -34.6), (-58.39, -34.61)], [(-58.5, -34.7), (-58.5, -34.71)]]))
+    metres = lines.select("name", spatial.project_parts(F.col("rings")).alias("rings"))
+    nodes, links = network.graph(metres, "rings")
+    assert nodes.count() == 4 and 1_000 < max(r.w for r in links.collect()) < 2_000
+    back = metres.select(spatial.project_parts(F.col("rings"), spatial.unproject).alias("r")).first().r
+    assert abs(back[0][1].x + 58.39) < 1e-9 and abs(back[1][0].y + 34.7) < 1e-9
+
+
+def test_real_layers_end_to_end(spark, tmp_path):
+    """Streets in degrees to metres, graph, snapped listings and centroids, distances by layer, on GeoJSON."""
+    street = lambda *at: {"type": "Feature", "properties": {"id": "s"}, "geometry": {"type": "LineString", "coordinates": [list(p) for p in at]}}
+    lon, lat, step = -58.40, -34.60, 0.003
+    grid = [street((lon + step * i, lat), (lon + step * (i + 1), lat)) for i in range(3)]
+    park = {"type": "Feature", "properties": {"id": "p"}, "geometry": {"type": "Polygon", "coordinates": [[[lon + 2 * step - 0.0002, lat], [lon + 2 * step + 0.0002, lat], [lon + 2 * step, lat + 0.0004]]]}}
+    for name, features in (("streets", grid), ("parks", [park])):
+        (tmp_path / f"{name}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    streets, parks = (files.read_geojson(spark, f"{tmp_path}/{n}.geojson", ["id"]).withColumn("parts", spatial.project_parts(F.col("parts"))) for n in ("streets", "parks"))
+    nodes, links = network.graph(streets)
+    cx, cy = spatial.centroid(F.col("parts"))
+    targets = spatial.nearest(parks.select("id", cx.alias("x"), cy.alias("y")), nodes, 50.0).select(F.lit("parque").alias("layer"), F.col("node_id").alias("node"))
+    x, y = spatial.project(F.col("lon"), F.col("lat"))
+    home = spark.createDataFrame([("h", lon + 0.0001, lat)], "id string, lon double, lat double").select("id", x.alias("x"), y.alias("y"))
+    homes = spatial.nearest(home, nodes, 50.0).select("id", F.col("node_id").alias("node"))
+    row = metrics.by_layer(homes, network.reach(homes, links, metrics.CUTOFF), targets).first()
+    assert 540 < row.distancia_m_parque < 560 and row.cant_parque == 1 and row.distancia_m_gym is None
+
+
+def test_map_layers_and_collection(spark, tmp_path):
+    area = spark.createDataFrame([("n", "parque")], "nombre string, cat string")
+    point = spark.createDataFrame([("SportClub", "Centro", "#003366", -58.4, -34.6, 350_000)], "cadena string, nombre string, color_map string, lon double, lat double, costo_total long")
+    layers = metrics.map_layers(area, area, point, point, point, point)
+    rows = {k: df.first() for k, df in layers.items()}
+    assert list(rows) == ["Barrios", "Espacios Verdes", "Líneas Subte", "Estaciones de Subte", "Gimnasios", "Departamentos"]
+    assert rows["Barrios"].style.color == "black" and rows["Espacios Verdes"].style.fillColor == "#2ca25f" and rows["Líneas Subte"].style.color == "#003366"
+    assert rows["Estaciones de Subte"].style.radius == 4 and rows["Gimnasios"].popup == "SportClub: Centro" and rows["Departamentos"].style.fillColor == "#91cf60"
+    metrics.write_layers(layers, f"{tmp_path}/map")
+    assert spark.read.parquet(f"{tmp_path}/map/5").first().layer == "Departamentos"
+    files.write_geojson(point, f"{tmp_path}/gyms.geojson")
+    made = json.loads((tmp_path / "gyms.geojson").read_text())
+    assert made["type"] == "FeatureCollection" and made["features"][0]["geometry"]["coordinates"] == [-58.4, -34.6]
+    assert files.read_chain(spark, f"{tmp_path}/gyms.geojson").first().lat == -34.6
+    files.write_geojson(point.limit(0), f"{tmp_path}/none.geojson")
+    assert json.loads((tmp_path / "none.geojson").read_text())["features"] == []
+    twice = point.select("nombre", "costo_total", "nombre", *(c.alias(n) for c, n in zip(spatial.project(F.col("lon"), F.col("lat")), "xy", strict=True)))
+    shown = metrics.for_map(twice, ("x", "y"))
+    assert shown.columns == ["nombre", "costo_total", "lon", "lat"] and abs(shown.first().lon + 58.4) < 1e-9
+
+
+def test_geocoding_goes_on_where_it_stopped(spark, tmp_path):
+    full = lambda k: f"Calle {k}, Ciudad Autónoma de Buenos Aires, Argentina"
+    dim = spark.createDataFrame([(full(k), float(k), -float(k)) for k in range(6)], "full_address string, lat double, lon double")
+    rows = spark.createDataFrame([(k, f"Calle {k}", None, None) for k in range(8)], "id int, Direccion string, lat double, lon double")
+    first = geocode.filled_durably(rows.where("id < 3"), "Direccion", dim, f"{tmp_path}/known", 2)
+    assert {r.id: r.lat for r in first.collect()} == {0: 0.0, 1: 1.0, 2: 2.0}
+    again = geocode.filled_durably(rows, "Direccion", dim.where("lat > 2"), f"{tmp_path}/known", 2)
+    assert {r.id: r.lat for r in again.collect()} == {**{k: float(k) for k in range(6)}, 6: None, 7: None}
