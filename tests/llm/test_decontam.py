@@ -88,3 +88,12 @@ def test_query_against_brute_force(spark):
                     want[d].append(i)
     assert {r.doc_id: r.item_ids for r in decontam.op9(spark, sf).collect()} == {d: sorted(x) for d, x in want.items()}
     assert any(want.values())
+
+
+def test_short_shared_pieces_and_equal_words():
+    """Items cut into runs of three and four words are found; a long text of one word is tiled in bounded memory."""
+    item = "a1 a2 a3 a4 b1 b2 b3 b4 c1 c2 c3 c4 d1 d2 d3 d4"
+    bench = decontam.Benchmark([(1, item), (2, "word " * 40 + "then others follow")])
+    edited = " x ".join([item[:11], item[12:23], item[24:35], item[36:47]])
+    assert [h["item_id"] for h in bench.hits(edited)] == [1] and bench.hits("a1 a2 a3 q b1 b2") == []
+    assert [(h["item_id"], h["coverage"]) for h in bench.hits("word " * 300_000)] == [(2, 40 / 43)]

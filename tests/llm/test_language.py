@@ -63,3 +63,38 @@ def test_edge_cases(spark):
     assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
     assert sorted((r.doc_id or 0, r.lang_pred) for r in out.collect()) == [(0, "en"), (1, "de"), (1, "de"), (3, "und"), (4, "und"), (5, "en")]
     assert language.identify(df.limit(0), language.learn(df.limit(0))).count() == 0
+
+
+def test_counts_have_no_cap():
+    """Beyond a million occurrences n-grams still stand in the order of their counts."""
+    text = "z " * 1_300_000 + "a " * 1_200_000
+    _, rank, gram = language.ranked([text])
+    z, a = (language.ranked([c])[2][0] for c in "za")
+    order = list(gram)
+    assert order.index(z) < order.index(a)
+
+
+def test_guess_against_a_plain_computation():
+    """Predictions by dictionaries: n-grams, ranks by falling count and hash, out-of-place distance."""
+    texts = {"en": "the cat and the dog are in the house", "de": "die katze und der hund sind in dem haus", "fr": "le chat et le chien sont dans la maison"}
+
+    def profile(text):
+        grams = {}
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            padded = f" {word} "
+            for n in (1, 2, 3):
+                for k in range(len(padded) - n + 1):
+                    g = padded[k : k + n]
+                    if g.strip():
+                        grams[g] = grams.get(g, 0) + 1
+        code = lambda g: (sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g)) * 0x9E3779B97F4A7C15 % 2**64) >> 32
+        return {code(g): k for k, (g, _) in enumerate(sorted(grams.items(), key=lambda x: (-x[1], code(x[0])))[: language.RANKS])}
+
+    learned = {n: profile(t) for n, t in texts.items()}
+    model = language.Profiles([(n, g, r) for n, p in learned.items() for g, r in p.items()])
+    for text in ["the dog is in the garden", "der hund und die katze", "le chien dans le jardin, et la maison"]:
+        own = profile(text)
+        far = {n: sum(abs(p[g] - r) if g in p else language.RANKS for g, r in own.items()) for n, p in learned.items()}
+        best = min(sorted(far), key=far.get)
+        langs, scores = model.guess([text])
+        assert langs == [best] and abs(scores[0] - (1 - far[best] / (language.RANKS * len(own)))) < 1e-9

@@ -67,3 +67,12 @@ def test_query_against_brute_force(spark):
     want = cut(docs, brute(docs, 50))
     assert {r.doc_id: r.text for r in lineruns.op8(spark, "/root/testdata/sf0.001").collect()} == want
     assert want != docs
+
+
+def test_helper_columns_do_not_clash(spark):
+    line = " ".join(f"w{k}" for k in range(60))
+    names = ["row", "row_id", "row_doc", "row_begins", "row_counts", "doc", "own_id", "own_doc", "begins", "sizes", "out", "times", "n"]
+    df = spark.createDataFrame([(1, f"{line}\nown one", *names), (2, f"{line}\nown two", *names)], "doc_id int, text string, " + ", ".join(f"{n} string" for n in names))
+    out = lineruns.without_repeats(df)
+    assert out.columns == df.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {1: f"{line}\nown one", 2: "own two"}

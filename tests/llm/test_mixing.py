@@ -70,3 +70,20 @@ def test_edge_cases(spark):
         n[r.doc_id] = n.get(r.doc_id, 0) + 1
     assert n[1] in (2, 4) and max(v for k, v in n.items() if k != 1) <= 2
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_ids_of_any_whole_type_draw_the_same(spark):
+    rows = [(k, " ".join(["w"] * (k % 9 + 1)), f"s{k % 3}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = lambda d: sorted(r.doc_id for r in mixing.mix(d).collect())
+    assert drawn(df) == drawn(df.withColumn("doc_id", df.doc_id.cast("int")))
+
+
+def test_many_sources_split_by_what_they_have():
+    quotas = np.random.default_rng(1).integers(0, 4, 3_000)
+    leaves = list(mixing.nodes_of(0, 512, np.flatnonzero(quotas), quotas[quotas > 0], np.zeros((quotas > 0).sum(), np.int64), 1, 5))
+    total = np.zeros(3_000, np.int64)
+    for _, _, source, n, begin in sorted(leaves, key=lambda x: x[0]):
+        assert (begin == total[source]).all() and (n > 0).all()
+        total[source] += n
+    assert (total == quotas).all() and sum(len(x[2]) for x in leaves) <= quotas.sum()

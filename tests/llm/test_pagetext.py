@@ -1,3 +1,5 @@
+import html.parser
+
 import numpy as np
 import pytest
 
@@ -25,6 +27,60 @@ def test_blocks():
     assert path.path == ("div", "div.main", "div.post", ".main", ".post", "div.x", ".x", "p") and path.linked == 4
 
 
+def test_malformed_attributes():
+    assert texts("<article><p data-x=it's>Hello there</p><p>I don't know</p><p>Third</p></article>") == ["Hello there", "I don't know", "Third"]
+    assert texts('<p title=a">Hello') == ["Hello"] and texts('<p title="a>b" class=\'x>y\'>z') == ["z"]
+    assert texts("<p>Let <math><mi>x</mi></math> be a number") == ["Let x be a number"]
+    assert texts('<p title="never closed>one</p><p>two') == ["one", "two"]
+
+
+class Leaves(html.parser.HTMLParser):
+    """Text of an article by the standard library: leaf blocks inside <article>, in page order."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.raw, self.out, self.now = 0, 0, [], []
+        self.feed(page)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        self.out += [text] if text else []
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in pagetext.BLOCK:
+            self.cut()
+        self.inside += tag == "article"
+        self.raw += tag in ("script", "style")
+        self.now += [" "] if tag == "br" else []
+
+    def handle_endtag(self, tag):
+        if tag in pagetext.BLOCK:
+            self.cut()
+        self.inside -= tag == "article"
+        self.raw -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.raw:
+            self.now.append(data)
+
+
+def test_query_against_the_standard_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = {r.page_id: r.text for r in pagetext.op5(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {r.page_id: "\n\n".join(Leaves(r.html or "").out) for r in rows}
+
+
+def test_stories_without_names_and_linked_paragraphs(model):
+    bare = '<html><body><div class="menu"><a href=/>Home</a></div><div>First paragraph of the story which is long enough to matter.<br><br>Second paragraph of the story, with some more words.</div><div class="footer">c</div></body></html>'
+    linked = '<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Title here</h1><p>Some text in the first paragraph of it.</p><p><a href="/x">This paragraph is wholly a link to another story</a></p><p>End of the story comes here.</p></article></body></html>'
+    one, two = pagetext.extract([bare, linked], model)
+    assert one == "First paragraph of the story which is long enough to matter. Second paragraph of the story, with some more words."
+    assert two.split("\n\n") == ["Title here", "Some text in the first paragraph of it.", "This paragraph is wholly a link to another story", "End of the story comes here."]
+
+
 def test_gradients():
     small = pagetext.Labeller(3)
     small.w = {k: v.astype(np.float64) for k, v in small.w.items()}

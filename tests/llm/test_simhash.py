@@ -95,3 +95,19 @@ def test_query_against_all_pairs(spark):
     want = brute_components(pairs, ids)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op2(spark, "/root/testdata/sf0.01").collect()}
     assert got == {i: (f"{prints[i]:016x}", want[i]) for i in ids}
+
+
+def test_different_texts_of_one_id_stay(spark):
+    rows = [(None, "the first text has no id at all"), (None, "and the second is about something else"), (7, "seven is shared by two rows of text"), (7, "which have no word in common but these")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in simhash.one_of_each(df).collect()) == sorted(t for _, t in rows)
+
+
+def test_bitmaps_rule_out_no_similar_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        both, own, other = (rng.integers(0, 2**63, int(k), dtype=np.uint64) for k in (rng.integers(1, 300), *rng.integers(0, 60, 2)))
+        a, b = np.unique(np.concatenate([both, own])), np.unique(np.concatenate([both, other]))
+        similar = 5 * len(both) >= 4 * (len(both) + len(own) + len(other))
+        assert simhash._may_be_similar(len(a), simhash._bits(a), len(b), simhash._bits(b), 0.8) or not similar
+        assert (simhash._unpacked(simhash._packed(a)) == a >> np.uint64(24)).all()

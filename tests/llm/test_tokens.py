@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -78,3 +79,13 @@ def test_token_file(spark, tmp_path, monkeypatch):
     assert sorted((r.doc_id, r.ids) for r in some) == sorted((d, [*ids(t), 2]) for d, t, _ in rows if d in (7, 33))
     assert tokens.encoded(df.limit(0)).count() == 0
     assert sorted(r.start for r in tokens.encoded(df.where("doc_id IS NULL OR doc_id < 10")).collect())[0] == 0
+
+
+def test_chunks_of_a_huge_text_are_dealt_out(spark):
+    text = "It's one of many words, 123 of them.\n" * 60_000
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    chunks = tokens._chunks(df, tokens.BYTE_BPE, 32_768, 1_024).where("text IS NOT NULL")
+    spread = chunks.repartition(8, "row", "part").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert chunks.count() == -(-(len(text) - 32_768) // 31_744) + 1 and spread > 4
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(df).collect()}
+    assert got == {1: len(ids(text)), 2: len(ids("short"))}
