@@ -17,9 +17,11 @@ from hearthframe.staging import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null, or without a letter); a null lang becomes the predicted one.
+    """Drops documents without a language (null or empty texts, or without a letter); a null lang becomes the predicted one.
 
-    The profiles are learned from the labelled documents, a bounded number of each language.
+    The profiles are learned from the labelled documents, a bounded number of distinct texts of each
+    language. Long texts are counted whole; ties go to the first language by name; repeated rows and null
+    doc_ids stay; columns of any name are handed on; an empty table gives an empty one.
     """
     columns = docs.columns
     pred = "lang_pred"
@@ -28,22 +30,41 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group that 5-word Jaccard links of 0.8 or more connect."""
+    """Keeps the document of the smallest doc_id of each group that 5-word Jaccard links of 0.8 or more connect.
+
+    Null doc_ids come last, and rows alike in doc_id are ordered by a hash of their words; of repeated rows
+    one stays, of different texts of one doc_id all that are not linked. Texts without a word are one
+    group. Long texts are compared whole; columns of any name are handed on; an empty table gives an empty one.
+    """
     return simhash.one_of_similar(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.
+
+    Null and empty texts and items match nothing; repeated rows and null doc_ids stay or go alike; long
+    texts are compared whole; columns of any name are handed on; an empty table gives an empty one.
+    """
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws each source to its target; a document drawn twice is there twice."""
+    """Draws each source to its target; a document drawn twice is there twice.
+
+    A null source is a source, a null or empty text has no words, and rows of one doc_id in one source are
+    drawn together. Ties in the permuted order go by block and doc_id. A long text is a document like any
+    other; columns of any name are handed on; an empty table gives an empty one.
+    """
     return mixing.mix(docs)
 
 
 def write_token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token file and returns its index: doc_id, start, n_tokens, ids_crc32."""
+    """Writes the token file and returns its index: doc_id, start, n_tokens, ids_crc32.
+
+    A null text is empty and has the end id only; null doc_ids come first; rows of one doc_id follow each
+    other in any order; long texts are encoded whole; other columns are left out; an empty table gives an
+    empty one.
+    """
     return tokens.encoded(docs)
 
 
