@@ -42,9 +42,9 @@ CHUNK, OVERLAP = 32_768, 1_024
 #: More than the characters that the pattern looks at beyond a beginning ('ll is the longest).
 LOOKS = 8
 #: Characters that are encoded at once.
-AT_ONCE = 1 << 19
-#: Pretokens that a worker keeps, of about 40 bytes each.
-KEPT = 4_000_000
+AT_ONCE = 1 << 18
+#: Pretokens that a worker keeps, of about 40 bytes each and as much again while they are sorted.
+KEPT = 1_000_000
 #: Bytes of compressed tokens, and documents, of a segment of a token file.
 SEGMENT_BYTES, SEGMENT_DOCS = 4 << 20, 4_096
 #: Documents at most, and characters of each, that a dictionary is trained on, and its bytes.
@@ -162,7 +162,8 @@ class Pieces:
     """Encodes texts pretoken by pretoken and keeps the ids of each distinct one.
 
     Pretokens are found in many texts at once and named by two 64-bit hashes; new ones are given to the
-    library's model. What is kept are sorted arrays, a large one and one of the latest, not objects.
+    library's model. What is kept are sorted arrays, a large one and one of the latest, not objects; once
+    there are KEPT pretokens, those that were met again since the last time stay and the others go.
     Texts with other characters than the Latin ones, or with a special token's string, are cut at spaces
     and their pieces given to the whole tokenizer.
     """
@@ -177,6 +178,27 @@ class Pieces:
     def _forget(self) -> None:
         none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.tiers, self.begin, self.flat, self.n, self.size = [none, none], np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 0
+        self.again = np.zeros(1 << 16, bool)
+
+    def _forget_rare(self) -> None:
+        """Keeps the pretokens that were met again since the last time; none if they are too many."""
+        stay = np.flatnonzero(self.again[: self.n])
+        if len(stay) > KEPT // 2:
+            self._forget()
+            return
+        sizes = self.begin[stay + 1] - self.begin[stay]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        flat = self.flat[np.repeat(self.begin[stay] - upto[:-1], sizes) + np.arange(upto[-1])]
+        number = np.full(self.n, -1, np.int64)
+        number[stay] = np.arange(len(stay))
+        keys, checks, old = self._merged(*self.tiers)
+        held = number[old] >= 0
+        self._forget()
+        self.tiers[0] = keys[held], checks[held], number[old[held]]
+        self.n, self.size = len(stay), int(upto[-1])
+        self.begin = np.concatenate((upto, np.zeros(1 << 16, np.int64)))
+        self.flat = np.concatenate((flat, np.zeros(1 << 18, np.uint32)))
+        self.again = np.zeros(len(self.begin), bool)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, as little-endian unsigned 32-bit integers."""
@@ -258,7 +280,7 @@ class Pieces:
     def _places(self, keys: np.ndarray, checks: np.ndarray, spans: list[tuple[int, int]], text: str) -> np.ndarray:
         """The numbers of kept pretokens by their names; new ones are learned."""
         if self.n > KEPT:
-            self._forget()
+            self._forget_rare()
         out = np.full(len(keys), -1, np.int64)
         for known, check, number in self.tiers:
             if len(known):
@@ -266,12 +288,14 @@ class Pieces:
                 hit = (known[at] == keys) & (check[at] == checks)
                 out[hit] = number[at[hit]]
         new = np.flatnonzero(out < 0)
+        self.again[out[out >= 0]] = True
         if len(new):
             made = [self._run(text[b:e]) for b, e in (spans[k] for k in new.tolist())]
             sizes = np.fromiter(map(len, made), np.int64, len(made))
             n, size = self.n + len(made), self.size + int(sizes.sum())
             while n + 1 > len(self.begin):
                 self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
+                self.again = np.concatenate((self.again, np.zeros_like(self.again)))
             while size > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
             self.flat[self.size : size] = np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))
@@ -469,6 +493,7 @@ def write_tokens(docs: DataFrame, path: str, name: str = BYTE_BPE, end_id: int |
     held, mark = spark.sparkContext.broadcast(trained), _hash_of(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what the worker's earlier stages left
         shard, segment = TaskContext.get().partitionId(), 0
         shared = zstandard.ZstdCompressionDict(held.value) if held.value else None
         press = zstandard.ZstdCompressor(level=1, dict_data=shared, write_content_size=True)
