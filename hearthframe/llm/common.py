@@ -10,14 +10,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of one Arrow batch where the session has Spark's own number: texts are large rows, and a batch is held on both sides.
 BATCH_ROWS = 1_024
+#: Bytes of an Arrow batch, about, where the session sets none: a few very long texts don't make a batch large.
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df; its session sends BATCH_ROWS rows to Python at once from now on, unless it was given a number of its own."""
+    """df; its session sends BATCH_ROWS rows or BATCH_BYTES to Python at once from now on, unless it was given numbers of its own."""
     conf = df.sparkSession.conf
     if conf.get(_BATCH) == "10000":
         conf.set(_BATCH, str(BATCH_ROWS))
+    if conf.get(_BYTES, None) is None:
+        conf.set(_BYTES, str(BATCH_BYTES))
     return df
 
 
