@@ -89,3 +89,14 @@ def test_chunks_of_a_huge_text_are_dealt_out(spark):
     assert chunks.count() == -(-(len(text) - 32_768) // 31_744) + 1 and spread > 4
     got = {r.doc_id: r.n_tokens for r in tokens.token_counts(df).collect()}
     assert got == {1: len(ids(text)), 2: len(ids("short"))}
+
+
+def test_forgetting_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    held = tokens.Pieces(tokens.BYTE_BPE)
+    sizes = []
+    for k in range(40):
+        text = " ".join(["the", "same", "words", *(f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(20))])
+        assert np.frombuffer(held.encode([text])[0], "<u4").tolist() == ids(text)
+        sizes.append(held.n)
+    assert max(sizes) < 100 and any(b < a for a, b in zip(sizes, sizes[1:], strict=False))
