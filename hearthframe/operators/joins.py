@@ -25,13 +25,14 @@ def small_side(df: DataFrame, rows: int = ROWS, size: int = BYTES, written: bool
     return F.broadcast(df) if found.size <= size else df
 
 
-def join_hot(rows: DataFrame, side: DataFrame, key: str | list[str], times: str) -> DataFrame:
-    """rows joined with side, a written table of distinct non-null keys that tells how many rows have each.
+def join_hot(rows: DataFrame, side: DataFrame, key: str | list[str], times: str, least: float | None = None) -> DataFrame:
+    """rows joined with side, a table of distinct non-null keys that tells how many rows have each.
 
-    The few keys with more than HOT of all rows are broadcast with their cells of side, so that none of
-    them is one task; the others are shuffled.
+    The few keys with more than least rows (HOT of all, if it is not known) are broadcast with their
+    cells of side, so that none of them is one task; the others are shuffled. Of an unknown least, side
+    should be a written table.
     """
-    least = (side.agg(F.sum(times)).first()[0] or 0) * HOT
+    least = (side.agg(F.sum(times)).first()[0] or 0) * HOT if least is None else least
     hot = F.broadcast(side.where(F.col(times) > least))
     keys = [key] if isinstance(key, str) else key
     rest = rows.join(F.broadcast(side.where(F.col(times) > least).select(*keys)), keys, "left_anti")
