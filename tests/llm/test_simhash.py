@@ -73,6 +73,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_with_hubs(spark):
+    """Nodes that hold most links, below, among and above their neighbours, beside pairs and a chain."""
+    rng = np.random.default_rng(9)
+    links = [(h, h + k) for h in (10_000, 30_000, 50_000) for k in rng.choice(np.arange(-4_000, 4_000), 900, replace=False).tolist() if k]
+    links += [(70_000, 70_000 - k) for k in range(1, 400)] + [(80_000 + 2 * k, 80_001 + 2 * k) for k in range(1_500)] + [(-k, -k - 1) for k in range(1, 30)]
+    links += [(13_999, 26_001), (10_000, 13_999), (30_000, 26_001)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == brute_components(links, {x for pair in links for x in pair})
+
+
 def test_near_duplicates_edge_cases(spark):
     long = " ".join(f"w{k}" for k in range(30_000))
     rows = [(5, long, "x"), (3, long + " more", "x"), (9, None, None), (8, "", "x"), (7, " \n", "x"), (2, "Solo", "x"), (2, "Solo", "x"), (None, "SOLO", "x")]
