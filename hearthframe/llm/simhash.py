@@ -45,8 +45,8 @@ DEEPER = 4
 FRONTIER = 1 << 18
 #: Node pairs with so few leaf pairs are finished by comparing these.
 FINISH = 24
-#: Distinct texts, about, from which common word runs are learned, and runs kept; they order runs and exclude none.
-COMMON_DOCS, COMMON = 16_384, 200_000
+#: One of so many distinct texts tells which word runs are common, whatever the corpus' size, and most runs kept; they order runs and exclude none.
+SHARE, COMMON = 8, 1_000_000
 #: Rounds of stars after the first.
 STARS = 1
 #: Bits of the places in the bitmap of texts that may be in a pair.
@@ -292,9 +292,11 @@ def _may_be_similar(n: int, a: bytes, m: int, b: bytes, similarity: float) -> bo
 
 
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word runs that several of a sample of texts hold, in order, and how many hold each. They only order runs."""
+    """Word runs that several of each SHARE distinct texts hold, in order, and how many hold each. They only order runs.
+
+    If they are more than COMMON, those that the most texts hold are kept, all of the same number or none.
+    """
     texts = docs.select(F.col("text").cast("binary").alias("text"))
-    parts = texts.count() // COMMON_DOCS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,10 +304,17 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 found = np.unique(runs_of(x.as_py(), words))
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
 
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
-    met = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
-    top = met.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
-    runs, n = np.array([r.shingle for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0).distinct()
+    met = stage(sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    least, held = 2, 0
+    for r in met.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():
+        held += r["count"]
+        if held > COMMON:
+            least = r.n + 1
+            break
+    top = met.where(F.col("n") >= least).toArrow()
+    drop_stage(met)
+    runs, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
     by = np.argsort(runs)
     return runs[by], n[by]
 
@@ -453,13 +462,20 @@ def similar(docs: DataFrame, marked: DataFrame, words: int, similarity: float) -
     trie = trie.union(sets.select("fp", F.col("key").alias("x")).join(leaves, "fp").select("x", F.col("least").alias("y")))
     # runs that different sets hold
     rows = some.select("key", "n", F.posexplode("rare").alias("pos", "shingle"))
-    met = rows.groupBy("shingle").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("shingle")
-    hits = rows.join(met, "shingle").distinct()
+    met = rows.groupBy("shingle").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("times"))
+    met = stage(met.where("least < most").select("shingle", "times"), "met")
+    hits = join_hot(rows, met, "shingle", "times").select("key", "n", "pos", "shingle").distinct()
     # a text that others were made from shares its rarest runs, and they hold rare ones of their own: it comes first
     hits = stage(hits, "hits")
     alone = hits.groupBy("key").agg((F.max("pos") + 1 - F.count("*")).alias("alone"))
-    ranked = stage(hits.join(alone, "key").withColumn("alone", F.floor(1_000 * F.col("alone") / F.col("n"))), "ranked")
+    # runs that the very same sets hold, as those of one passage, are one: the first of them, so pairs don't meet under each
+    names = hits.groupBy("shingle").agg(F.count("*").alias("times"), F.bit_xor(F.xxhash64("key")).alias("a"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b"))
+    names = stage(names.select("shingle", "times", F.xxhash64("times", "a", "b").alias("same")), "names")
+    once = join_hot(hits, names, "shingle", "times").groupBy("same", "key", "n").agg(F.min("pos").alias("pos"))
+    ranked = once.withColumnRenamed("same", "shingle").join(alone, "key").withColumn("alone", F.floor(1_000 * F.col("alone") / F.col("n")))
+    ranked = stage(ranked.select("key", "shingle", "n", "pos", "alone"), "ranked")
     drop_stage(hits)
+    drop_stage(names)
 
     def first_shared(x: str, y: str) -> Column:
         """Whether two sets of these sizes can be similar if the run at these places is the first that they share."""
@@ -470,17 +486,21 @@ def similar(docs: DataFrame, marked: DataFrame, words: int, similarity: float) -
     def stars(of: DataFrame) -> DataFrame:
         """Pairs of each set (shingle, key, n, pos, alone, at) with the first one of another component under its runs."""
         cell = F.struct("alone", "key", "n", "pos", "at")
-        lead = of.groupBy("shingle").agg(F.min(cell).alias("lead"), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("shingle", "lead")
-        both = of.select("shingle", cell.alias("x")).join(lead, "shingle").where((F.col("x.at") != F.col("lead.at")) & first_shared("x", "lead"))
+        lead = of.groupBy("shingle").agg(F.min(cell).alias("lead"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("times"))
+        lead = stage(lead.where("lo < hi").select("shingle", "lead", "times"), "leads")
+        both = join_hot(of.select("shingle", cell.alias("x")), lead, "shingle", "times").where((F.col("x.at") != F.col("lead.at")) & first_shared("x", "lead"))
         return pairs(both.select(F.col("x.key").alias("x"), F.col("lead.key").alias("y")))
 
     def placed(of: DataFrame, sure: DataFrame) -> DataFrame:
         """of with the component of each set, only the runs under which several components meet."""
         joined = stage(components(sure), "components")
         found = of.drop("at").join(joined, F.col("key") == joined.node, "left").withColumn("at", F.coalesce("component", "key")).drop("node", "component")
-        apart = found.groupBy("shingle").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("shingle")
-        out = stage(found.join(apart, "shingle", "left_semi"), "apart")
-        drop_stage(joined)
+        found = stage(found, "found")
+        apart = found.groupBy("shingle").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("times"))
+        apart = stage(apart.where("lo < hi").select("shingle", "times"), "shingles")
+        out = stage(join_hot(found, apart, "shingle", "times").select(found.columns), "apart")
+        for used in (joined, found, apart):
+            drop_stage(used)
         return out
 
     tried = stage(pairs(trie).union(stars(ranked.withColumn("at", F.col("key")))).distinct(), "pairs")
