@@ -188,8 +188,13 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """docs -> with lang_pred and score, from the whole text alone.
+def has_letter(text: Column) -> Column:
+    """Whether a text holds a letter; not so if it is null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def identify(docs: DataFrame, profiles: Profiles, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs -> with lang_pred and score (or what pred and score call them), from the whole text alone.
 
     score is 1 less the mean distance of an n-gram against the largest possible. A null text, or one
     without a letter, gives und and 0, as do empty profiles; ties go to the first language by name.
@@ -198,7 +203,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """
     text = fresh("_text", small_batches(docs).columns)
     model = docs.sparkSession.sparkContext.broadcast(profiles)
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
 
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
@@ -208,7 +213,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     # not deterministic for the planner, or a filter on the guess would make it guess twice
     guessed = F.arrow_udf(guess, "lang_pred string, score double").asNondeterministic()
     out = docs.select(*kept, guessed("text").alias(text))
-    return out.select(*kept, f"{text}.lang_pred", f"{text}.score")
+    return out.select(*kept, F.col(f"{text}.lang_pred").alias(pred), F.col(f"{text}.score").alias(score))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

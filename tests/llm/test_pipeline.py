@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
+from hearthframe import staging
 from hearthframe.llm import decontam, mixing, tokens
 from hearthframe.staging import stage
 
@@ -77,8 +78,28 @@ def test_stages_on_nulls_repeats_and_clashing_columns(spark):
     docs = spark.createDataFrame([(*r, len(r[1] or ""), *cols) for r in rows], schema)
     for name, step in corpus_pipeline.STAGES:
         docs = stage(step(spark, docs, SF))
+        if name != "token_file":
+            assert {tuple(r)[5:] for r in docs.collect()} == {tuple(cols)}
         if name == "simhash_dedup":
             assert sorted(r.text for r in docs.collect()) == sorted([rows[0][1], rows[1][1], rows[2][1], rows[3][1], huge])
         if name != "token_file":
             assert docs.columns == [x.split()[0] for x in schema.split(", ")]
         assert docs.count() > 0
+
+
+def test_language_stage_keeps_columns_and_unlabelled_documents(spark):
+    """A column lang_pred or score of the documents stays as it is, and without labels only texts without a letter go."""
+    rows = [(1, "the cat sat on the mat", "en", "mine", 7.5), (2, "el gato come pescado", None, None, None), (3, "12 34 !", "en", "mine", 1.0), (4, None, "en", "mine", 2.0)]
+    kinds = "doc_id long, text string, lang string, lang_pred string, score double"
+    docs = spark.createDataFrame(rows, kinds)
+    out = corpus_pipeline.identify_language(spark, docs, SF)
+    assert sorted(map(tuple, out.collect())) == [rows[0], (2, rows[1][1], "en", None, None)]
+    none = spark.createDataFrame([(*r[:2], None, *r[3:]) for r in rows], kinds)
+    assert sorted(map(tuple, corpus_pipeline.identify_language(spark, none, SF).collect())) == [(*r[:2], None, *r[3:]) for r in rows[:2]]
+
+
+def test_run_leaves_the_token_file_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "LOCAL_CHECKPOINTS", str(tmp_path))
+    out = corpus_pipeline.run(spark, SF)
+    assert {p.name.rsplit("-", 1)[0] for p in (tmp_path / "staged").iterdir()} <= {"tokens", "side"}
+    assert out.count() > 100
