@@ -12,21 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthframe.llm import decontam, language, mixing, simhash, tokens
-from hearthframe.llm.common import table
-from hearthframe.staging import stage
+from hearthframe.llm.common import fresh, table
+from hearthframe.staging import drop_stage, stage, tidy
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null or empty texts, or without a letter); a null lang becomes the predicted one.
+    """Drops documents without a letter (null and empty texts too); a null lang becomes the predicted one, if any was learned.
 
     The profiles are learned from the labelled documents, a bounded number of distinct texts of each
     language. Long texts are counted whole; ties go to the first language by name; repeated rows and null
-    doc_ids stay; columns of any name are handed on; an empty table gives an empty one.
+    doc_ids stay; columns of any name are handed on as they are; without any label nothing is learned, and lang
+    stays null; an empty table gives an empty one.
     """
     columns = docs.columns
-    pred = "lang_pred"
-    found = language.identify(docs, language.learn(docs)).where(F.col(pred) != language.NONE)
-    return found.withColumn("lang", F.coalesce("lang", pred)).select(*columns)
+    pred, score = fresh("lang_pred", columns), fresh("score", columns)
+    found = language.identify(docs, language.learn(docs), pred, score).where(language.has_letter(F.col("text")))
+    return found.withColumn("lang", F.coalesce("lang", F.nullif(F.col(pred), F.lit(language.NONE)))).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,8 +81,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the token file. All stages run when this is called; each one's table goes as soon as the next one
+    is written, and only the token file that the result reads stays."""
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+    for k, (name, step) in enumerate(STAGES[:-1]):
+        after = stage(step(spark, docs, sf_dir), name)
+        if k:
+            drop_stage(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
