@@ -1,3 +1,4 @@
+import pathlib
 import zlib
 from collections import Counter
 
@@ -98,8 +99,9 @@ def test_language_stage_keeps_columns_and_unlabelled_documents(spark):
     assert sorted(map(tuple, corpus_pipeline.identify_language(spark, none, SF).collect())) == [(*r[:2], None, *r[3:]) for r in rows[:2]]
 
 
-def test_run_leaves_the_token_file_only(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(staging, "LOCAL_CHECKPOINTS", str(tmp_path))
+def test_run_leaves_the_token_file_only(spark):
+    folder = pathlib.Path(staging.shared_dir(spark).removeprefix("file:"), "staged")
+    before = set(folder.iterdir()) if folder.exists() else set()
     out = corpus_pipeline.run(spark, SF)
-    assert {p.name.rsplit("-", 1)[0] for p in (tmp_path / "staged").iterdir()} <= {"tokens", "side"}
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} <= {"tokens", "side"}
     assert out.count() > 100
