@@ -42,9 +42,11 @@ _NO_P = BLOCK - {"body", "html", "head", "title", "option", "button", "label", "
 #: Attributes: a quote opens a value only after an equals sign; other values end at white space or the tag's end.
 _ATTRS = r"(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))*+"
 _RAW = "script|style|noscript|template|textarea|svg|iframe"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|<[!?][^>]*>", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|<[!?][^>]*>|<(?P<open>[!?]|/?[a-zA-Z])", re.S | re.I)
 _ATTR = re.compile(r"(?<![^\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|\d+")
+#: Outermost, and innermost, open elements that a path names, and names of one element, at most.
+NEAR, NAMES = 32, 32
 
 
 @dataclass
@@ -54,9 +56,43 @@ class Block:
     linked: int
 
 
+class _Open:
+    """The open elements, with the places of each tag's and of the block-level ones, so nothing is searched for."""
+
+    def __init__(self) -> None:
+        self.all: list[tuple[str, tuple[str, ...]]] = []
+        self.of: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.of.setdefault(tag, []).append(len(self.all))
+        if tag in BLOCK:
+            self.blocks.append(len(self.all))
+        self.all.append((tag, names))
+
+    def last(self, tags) -> int:
+        """The place of the innermost of these tags, or -1."""
+        return max((self.of[t][-1] for t in tags if self.of.get(t)), default=-1)
+
+    def pop(self, k: int) -> None:
+        """Closes all from place k on."""
+        while len(self.all) > k:
+            tag, _ = self.all.pop()
+            self.of[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def path(self) -> tuple[str, ...]:
+        own = self.all if len(self.all) <= 2 * NEAR else self.all[:NEAR] + self.all[-NEAR:]
+        return tuple(chain.from_iterable(names for _, names in own))
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order: white space made one space, character references decoded, empty ones left out."""
-    out, open_, path, parts, linked, links, at = [], [], None, [], 0, 0, 0
+    """The leaf blocks of a page in order: white space made one space, character references decoded, empty ones left out.
+
+    The page is gone through once. From a tag on that never ends, all is text.
+    """
+    out, open_, path, parts, linked, at = [], _Open(), None, [], 0, 0
 
     def close() -> None:
         nonlocal linked, path
@@ -66,11 +102,6 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         path, linked = None, 0
 
-    def pop(k: int) -> None:
-        nonlocal links
-        links -= sum(tag == "a" for tag, _ in open_[k:])
-        del open_[k:]
-
     def said(text: str) -> None:
         nonlocal path, linked
         if not text:
@@ -78,13 +109,15 @@ def blocks(page: str) -> list[Block]:
         text = html.unescape(text) if "&" in text else text
         if not text.isspace():
             if path is None:
-                path = tuple(chain.from_iterable(names for _, names in open_))
-            linked += links > 0 and len(text)
+                path = open_.path()
+            linked += bool(open_.of.get("a")) and len(text)
         parts.append(text)
 
     for m in _TOKEN.finditer(page):
         said(page[at : m.start()])
-        at = m.end()
+        at = m.start() if m["open"] else m.end()
+        if m["open"]:
+            break
         tag = m["tag"]
         if not tag:
             if m["raw"] and m["raw"].lower() in BLOCK:
@@ -92,11 +125,11 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m["end"]:
-            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), -1)
+            k = open_.last((tag,))
             if tag in BLOCK:
                 close()
-            if k >= 0 and (tag in BLOCK or not any(t in BLOCK for t, _ in open_[k:])):
-                pop(k)
+            if k >= 0 and (tag in BLOCK or k > (open_.blocks[-1] if open_.blocks else -1)):
+                open_.pop(k)
             continue
         if tag in BLOCK:
             close()
@@ -104,25 +137,20 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] in stops:
-                    break
-                if open_[k][0] in ends:
-                    pop(k)
-                    break
-        elif tag in _NO_P:
-            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == "p"), -1)
-            if k >= 0:
-                pop(k)
+            k = open_.last(ends)
+            if k > open_.last(stops):
+                open_.pop(k)
+        elif tag in _NO_P and (k := open_.last(("p",))) >= 0:
+            open_.pop(k)
         if tag in VOID:
             continue
         names = [tag]
         if m["attrs"]:
             for a in _ATTR.finditer(m["attrs"]):
-                names += (f"{tag}.{x}" for x in _PART.findall((a[2] or a[3] or a[4] or "").lower()))
-                names += (f".{x}" for x in _PART.findall((a[2] or a[3] or a[4] or "").lower()))
-        open_.append((tag, tuple(names)))
-        links += tag == "a"
+                found = _PART.findall((a[2] or a[3] or a[4] or "").lower())
+                names += (f"{tag}.{x}" for x in found)
+                names += (f".{x}" for x in found)
+        open_.push(tag, tuple(names[:NAMES]))
     said(page[at:])
     close()
     return out

@@ -1,4 +1,5 @@
 import html.parser
+import time
 
 import numpy as np
 import pytest
@@ -34,6 +35,19 @@ def test_malformed_attributes():
     assert texts('<p title="never closed>one</p><p>two') == ["one", "two"]
 
 
+def test_malformed_pages_take_linear_time():
+    """1 MB of tags that never end, of unclosed and of deeply nested elements, and of ends that close nothing."""
+    size = 1_000_000
+    shapes = ["<script x=<", "<p class=x ", "<div>", "<div>x", "<a b='>' ", "<! ", "<i>", "</b>", "<li><ul><b>", "<option></option>", '<p class="a" ', "<b><div><i></b>", "&#1", '<div class="' + "word " * 50 + '">x']
+    for shape in shapes:
+        page = f"<b>begin <i>of</i> it <ul><li>{shape * (size // len(shape))}"
+        began = time.process_time()
+        found = pagetext.blocks(page)
+        assert time.process_time() - began < 15, shape
+        assert found[0].text.startswith("begin of it")
+    assert texts("<p>one</p><p two <b") == ["one", "<p two <b"]
+
+
 class Leaves(html.parser.HTMLParser):
     """Text of an article by the standard library: leaf blocks inside <article>, in page order."""
 
