@@ -11,6 +11,8 @@ from hearthframe.staging import stage
 ROWS, BYTES = 500_000, 16 << 20
 #: Keys with more than this share of all rows are joined by broadcasting, so there are no more of these than its inverse.
 HOT = 1 / 500
+#: Rows of one key, at least, that are split over several tasks.
+MANY = 50_000
 
 
 def small_side(df: DataFrame, rows: int = ROWS, size: int = BYTES, written: bool = False) -> DataFrame:
@@ -37,3 +39,24 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str | list[str], times: str,
     keys = [key] if isinstance(key, str) else key
     rest = rows.join(F.broadcast(side.where(F.col(times) > least).select(*keys)), keys, "left_anti")
     return rows.join(hot, keys).drop(times).union(rest.join(side.where(F.col(times) <= least), keys).drop(times))
+
+
+def join_split(rows: DataFrame, side: DataFrame, keys: list[str], by: str, many: int = MANY) -> DataFrame:
+    """rows joined with side on keys, of which either may hold one several times.
+
+    A key of more than many rows, and more than HOT of all, is dealt out over as many tasks as it has that number of
+    rows, by a hash of by, and side's rows of it go to each; there are too few of such keys to be large.
+    """
+    counts = stage(rows.groupBy(*keys).agg(F.count("*").alias("times")), "counts")
+    most = max(many, int((counts.agg(F.sum("times")).first()[0] or 0) * HOT))
+    hot = counts.where(F.col("times") > most).select(*keys, F.ceil(F.col("times") / most).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts)).drop("_salts")
+    right = side.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))).drop("_salts")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def join_cells(rows: DataFrame, side: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """rows joined on keys with side, a written table: broadcast if it is small, else with crowded keys split."""
+    small = small_side(side, written=True)
+    return join_split(rows, side, keys, by) if small is side else rows.join(small, keys)

@@ -11,11 +11,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthframe.operators.joins import small_side
+from hearthframe.operators.joins import join_cells
 from hearthframe.staging import stage
 
-#: Nodes of a cell in the mean, and keys that the points of one cell are spread over.
-FEW, SALTS = 4, 4
+#: Nodes of a cell in the mean.
+FEW = 4
 #: POSGAR 94 / Argentina zone 5 (EPSG:22185) on the WGS 84 ellipsoid.
 SEMI_MAJOR, FLATTENING, LON0, LAT0, EASTING, NORTHING = 6378137.0, 1 / 298.257223563, -60.0, -90.0, 5_500_000.0, 0.0
 
@@ -102,8 +102,8 @@ def within(points: DataFrame, polygons: DataFrame, pid: str, band: float, x: str
     spans = sides.groupBy(pid, "_band").agg(F.min(F.least("x1", "x2")).alias("_west"), F.max(F.greatest("x1", "x2")).alias("_east"))
     cells = spans.select(pid, "_band", "_west", "_east", F.explode(F.sequence(F.floor(F.col("_west") / band), F.floor(F.col("_east") / band))).alias("_cell"))
     at = points.select("id", F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(y) / band).alias("_band"), F.floor(F.col(x) / band).alias("_cell"))
-    near = at.join(small_side(cells), ["_band", "_cell"]).where("_x BETWEEN _west AND _east").select("id", "_x", "_y", "_band", pid)
-    met = near.join(small_side(sides, written=True), [pid, "_band"])
+    near = join_cells(at, stage(cells, "cells"), ["_band", "_cell"], "id").where("_x BETWEEN _west AND _east").select("id", "_x", "_y", "_band", pid)
+    met = join_cells(near, sides, [pid, "_band"], "id")
     straddles = (F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y"))
     cross = F.try_divide((F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
     hit = straddles & (F.col("_x") < cross)
@@ -127,11 +127,11 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float, grow: int = 4) ->
     A node within one cell's width lies in the nine cells around a point, so nearer matches are final.
     Cells begin at a width that fits how densely the nodes lie, at most cell, so that a point meets few
     nodes; points without a match meet coarser cells, until one cell is wider than all points and nodes.
-    Points that share a cell are spread over SALTS keys, each of which holds the cell's nodes. Points and
-    nodes without coordinates match nothing.
+    Few nodes are broadcast; else the points of a crowded cell are spread over as many tasks as they ask for. Of nodes
+    with the same coordinates only the smallest node_id is looked at. Points and nodes without coordinates match nothing.
     """
     has = "x IS NOT NULL AND y IS NOT NULL"
-    left, nodes, done = points.where(has).select("id", "x", "y"), stage(nodes.where(has).select("node_id", "x", "y"), "nodes"), None
+    left, nodes, done = points.where(has).select("id", "x", "y"), stage(nodes.where(has).groupBy("x", "y").agg(F.min("node_id").alias("node_id")), "nodes"), None
     extent = nodes.select("x", "y").union(left.select("x", "y")).agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
     width = max(extent.w or 0.0, extent.h or 0.0)
     cell = _fine(nodes, cell)
@@ -141,10 +141,10 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float, grow: int = 4) ->
         around = F.explode(F.array(*(F.struct((F.floor(F.col("x") / cell) + a).alias("cx"), (F.floor(F.col("y") / cell) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
         # nodes go to the cells around them, so points, which are more, are not multiplied
         there = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), around.alias("c"))
-        there = there.select("node_id", "nx", "ny", "c.*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        here = left.select("id", "x", "y", cells.alias("c"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt")).select("id", "x", "y", "c.*", "salt")
+        there = stage(there.select("node_id", "nx", "ny", "c.*"), "around")
+        here = left.select("id", "x", "y", cells.alias("c")).select("id", "x", "y", "c.*")
         d = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
-        best = here.join(there, ["cx", "cy", "salt"]).groupBy("id").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("b"))
+        best = join_cells(here, there, ["cx", "cy"], "id").groupBy("id").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("b"))
         found = best.select("id", "b.node_id", "b.d")
         if not last:
             found = found.where(F.col("d") <= cell)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthframe.functions import text as X
-from hearthframe.operators import clean, geocode, metrics, network, spatial, unify
+from hearthframe.operators import clean, cover, geocode, metrics, network, spatial, unify
 from hearthframe.plans import urls
 from hearthframe.sources import files, html
 from hearthframe.staging import stage
@@ -597,5 +597,27 @@ def q41_project_parts(spark, sf):
     return back.select("id", F.round(first["x"], 7).alias("lon"), F.round(first["y"], 7).alias("lat"), F.size("parts").cast("long").alias("parts"))
 
 
+# --- many polygons, long ways ----------------------------------------------------------------------
+
+#: Corners of a district around a supplier, in parts of its radius.
+_CORNERS = [(-1.0, -1.0), (1.0, -0.5), (0.25, 0.0), (1.0, 1.0), (0.0, 0.25), (-1.0, 1.0)]
+
+
+def _districts(spark, sf) -> DataFrame:
+    r = 3 + F.col("node_id") % 5
+    corner = lambda dx, dy: F.struct((F.col("x") + r * dx).alias("x"), (F.col("y") + r * dy).alias("y"))
+    return _supplier_nodes(spark, sf).select(F.col("node_id").alias("district"), F.array(F.array(*(corner(*c) for c in _CORNERS))).alias("rings"))
+
+
+_DISTRICT_SIDES = f"""(SELECT node_id AS district, x + r * ax AS x1, y + r * ay AS y1, x + r * bx AS x2, y + r * by_ AS y2 FROM (SELECT *, 3 + node_id % 5 AS r FROM {_SUPPLIER_NODES}),
+  (SELECT CAST(a AS DOUBLE) AS ax, CAST(b AS DOUBLE) AS ay, CAST(c AS DOUBLE) AS bx, CAST(d AS DOUBLE) AS by_ FROM (VALUES {", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], strict=True))}) v(a, b, c, d)))"""
+
+
+@query(f"SELECT id, district FROM {_CUSTOMER_POINTS} p JOIN {_DISTRICT_SIDES} s ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY id, district HAVING count(*) % 2 = 1")
+def q43_polygon_cover(spark, sf):
+    """Customers in the overlapping districts of all suppliers, by quadtree covers."""
+    return cover.within(_customer_points(spark, sf), _districts(spark, sf), "district").select("id", "district")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q28_listing_metrics(spark, sf_dir)
