@@ -599,6 +599,25 @@ def q41_project_parts(spark, sf):
 
 # --- many polygons, long ways ----------------------------------------------------------------------
 
+_LONG_CUTOFF = 30.0
+_LONG_WAYS = """
+RECURSIVE one AS (SELECT a.c_custkey AS src, b.c_custkey AS dst, CAST(CASE WHEN b.c_custkey = a.c_custkey + 1 THEN 1 + a.c_custkey * 7 % 3 ELSE 20 + a.c_custkey % 5 END AS DOUBLE) AS w FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 OR b.c_custkey = a.c_custkey + 40),
+links AS (SELECT src, dst, w FROM one UNION ALL SELECT dst, src, w FROM one),
+walk AS (SELECT c_custkey AS origin, c_custkey AS node, CAST(0 AS DOUBLE) AS d FROM customer UNION SELECT origin, dst, d + w FROM walk JOIN links ON node = src WHERE d + w <= 30)
+"""
+
+
+@query(f"WITH {_LONG_WAYS} SELECT origin, node, min(d) AS d FROM walk GROUP BY origin, node")
+def q42_cell_reach(spark, sf):
+    """Shortest ways along a road through all customers, with some short cuts, by graph cells."""
+    k = F.col("c_custkey")
+    customers = table(spark, sf, "customer")
+    nodes = customers.select(k.alias("node_id"), k.cast("double").alias("x"), (k % 2).cast("double").alias("y"))
+    ways = customers.select(k.alias("src"), F.explode(F.array(F.struct((k + 1).alias("dst"), (1 + k * 7 % 3).alias("w")), F.struct((k + 40).alias("dst"), (20 + k % 5).alias("w")))).alias("to")).select("src", "to.dst", F.col("to.w").cast("double").alias("w"))
+    ways = ways.join(customers.select(k.alias("dst")), "dst").select("src", "dst", "w")
+    return network.reach_by_cells(nodes.select(F.col("node_id").alias("node")), ways.union(ways.select("dst", "src", "w")), nodes, _LONG_CUTOFF)
+
+
 #: Corners of a district around a supplier, in parts of its radius.
 _CORNERS = [(-1.0, -1.0), (1.0, -0.5), (0.25, 0.0), (1.0, 1.0), (0.0, 0.25), (-1.0, 1.0)]
 
