@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from hearthframe.functions import text as X
 from hearthframe.operators import clean, cover, geocode, metrics, network, spatial, unify
 from hearthframe.plans import urls
-from hearthframe.sources import files, html
-from hearthframe.staging import stage
+from hearthframe.sources import files, html, layers
+from hearthframe.staging import stage, stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -638,5 +638,22 @@ def q43_polygon_cover(spark, sf):
     return cover.within(_customer_points(spark, sf), _districts(spark, sf), "district").select("id", "district")
 
 
+# --- files and layers -------------------------------------------------------------------------------
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN CAST(-58 AS DOUBLE) - c_custkey % 64 / 64.0 END AS x, CASE WHEN c_custkey % 4 <> 0 THEN CAST(-34 AS DOUBLE) - c_custkey % 32 / 32.0 END AS y FROM customer
+WHERE c_custkey % 4 <> 0 AND CAST(-58 AS DOUBLE) - c_custkey % 64 / 64.0 >= -58.5
+""")
+def q44_layer_scan(spark, sf):
+    """A layer of all customers, written as one FeatureCollection by many tasks and scanned by many, those in the east of it."""
+    k = F.col("c_custkey")
+    at = lambda base, n: F.when(k % 4 != 0, base - k % n / n)
+    layer = table(spark, sf, "customer").select(k.alias("id"), F.col("c_name").alias("name"), at(F.lit(-58.0), 64).alias("lon"), at(F.lit(-34.0), 32).alias("lat"))
+    path = f"{stage_path(spark, 'layer')}/customers.geojson"
+    files.write_geojson(layer, path)
+    return layers.read_layer(spark, path, ["id", "name"], bbox=(-58.5, -90.0, 180.0, 90.0), split=1 << 16).select("id", "name", "x", "y")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q28_listing_metrics(spark, sf_dir)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthframe.operators.unify import latest, typed, union_all
 from hearthframe.schema import PORTAL_COLUMNS
+from hearthframe.sources.storage import write_joined, written_bytes
 
 BOM = "\ufeff"
 _FEATURES = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
@@ -26,27 +24,20 @@ def write_snapshot(df: DataFrame, path: str) -> bool:
     return True
 
 
-def _one_file(spark: SparkSession, folder: str, path: str) -> None:
-    """Puts the single part file of a written folder at path, in place of what is there."""
-    jvm = spark.sparkContext._jvm
-    at, to = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    (part,) = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")]
-    fs.delete(to, True)
-    fs.rename(part, to)
-    fs.delete(at, True)
-
-
 def write_dated(df: DataFrame, base: str, portal: str, day: str) -> str | None:
     """A portal's snapshot as the one file <base>/<portal>/<portal>_<day>.csv, in place of the same day's; its path, or None for no rows.
 
-    A portal's crawl of one day is one file by contract; write_snapshot keeps as many files as df has partitions.
+    A portal's crawl of one day is one file by contract. Its rows are written by all tasks of df and come in the order of
+    its partitions; write_snapshot keeps as many files as df has partitions.
     """
-    path = f"{base.rstrip('/')}/{portal}/{portal}_{day}.csv"
-    if not write_snapshot(df.coalesce(1), f"{path}._parts"):
-        return None
-    _one_file(df.sparkSession, f"{path}._parts", path)
-    return path
+    spark, path = df.sparkSession, f"{base.rstrip('/')}/{portal}/{portal}_{day}.csv"
+
+    def write(rows: DataFrame, folder: str) -> None:
+        rows.write.mode("overwrite").option("sep", ";").csv(folder)
+
+    names = spark.createDataFrame([tuple(df.columns)], ", ".join(f"c{k} string" for k in range(len(df.columns))))
+    head = BOM.encode() + written_bytes(names, f"{path}._names", write)
+    return path if write_joined(lambda folder: write(df, folder), spark, path, head) else None
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -116,19 +107,13 @@ def write_geojson_lines(df: DataFrame, path: str, lon: str = "lon", lat: str = "
 
 
 def write_geojson(df: DataFrame, path: str, lon: str = "lon", lat: str = "lat") -> None:
-    """One FeatureCollection in one file, as map programs read it; large layers are better off as lines."""
-    lines = df.select(feature([c for c in df.columns if c not in (lon, lat)], lon, lat).alias("value")).repartition(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = True
-        yield pa.RecordBatch.from_pydict({"value": ['{"type":"FeatureCollection","features":[']})
-        for b in batches:
-            rows = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([x if first and not k else f",{x}" for k, x in enumerate(rows)], pa.string())], ["value"])
-            first = first and not rows
-        yield pa.RecordBatch.from_pydict({"value": ["]}"]})
-
-    empty = df.sparkSession.createDataFrame([('{"type":"FeatureCollection","features":[]}',)], "value string").coalesce(1)
-    made = empty if df.isEmpty() else lines.mapInArrow(run, "value string")
-    made.write.mode("overwrite").text(f"{path}._parts")
-    _one_file(df.sparkSession, f"{path}._parts", path)
+    """One FeatureCollection in one file, as map programs read it, written by all tasks of df; rows come in the order of its partitions."""
+    spark, head, tail = df.sparkSession, b'{"type":"FeatureCollection","features":[', b"]}\n"
+    lines = df.select(F.concat(F.lit(","), feature([c for c in df.columns if c not in (lon, lat)], lon, lat)).alias("value"))
+
+    def write(folder: str) -> None:
+        lines.write.mode("overwrite").text(folder)
+
+    if not write_joined(write, spark, path, head + b"\n", tail, skip=1):
+        nothing = spark.createDataFrame([((head + tail).decode().strip(),)], "value string").coalesce(1)
+        write_joined(lambda folder: nothing.write.mode("overwrite").text(folder), spark, path)
