@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hearthframe.functions import text as X
 from hearthframe.operators import clean, cover, geocode, metrics, network, spatial, unify
 from hearthframe.plans import urls
-from hearthframe.sources import files, html, layers
+from hearthframe.sources import files, html, layers, workbook
 from hearthframe.staging import stage, stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -655,5 +655,18 @@ def q44_layer_scan(spark, sf):
     return layers.read_layer(spark, path, ["id", "name"], bbox=(-58.5, -90.0, 180.0, 90.0), split=1 << 16).select("id", "name", "x", "y")
 
 
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN o_orderpriority END AS "Baños", CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
+  CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS even FROM orders
+""")
+def q45_workbook(spark, sf):
+    """All orders written as one workbook by many tasks, and read back."""
+    k = F.col("o_custkey")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(k % 7 != 0, F.col("o_orderpriority")).alias("Baños"), F.when(k % 5 != 0, k).alias("o_custkey"), F.col("o_orderdate").cast("date").alias("o_orderdate"), (k % 2 == 0).alias("even"))
+    path = f"{stage_path(spark, 'book')}/orders.xlsx"
+    workbook.write_workbook(rows, path)
+    return workbook.read_workbook(spark, path)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q28_listing_metrics(spark, sf_dir)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from hearthframe.operators.unify import latest, typed, union_all
 from hearthframe.schema import PORTAL_COLUMNS
 from hearthframe.sources.storage import write_joined, written_bytes
+from hearthframe.sources.workbook import read_workbook, write_workbook
 
 BOM = "\ufeff"
 _FEATURES = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
@@ -41,13 +42,16 @@ def write_dated(df: DataFrame, base: str, portal: str, day: str) -> str | None:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """The consolidated table as Parquet below path/parquet and, semicolon-separated, below path/csv."""
+    """The consolidated table as Parquet below path/parquet, semicolon-separated below path/csv, and as the workbook path/table.xlsx."""
     df.write.mode("overwrite").parquet(f"{path}/parquet")
     df.write.mode("overwrite").option("sep", ";").option("header", True).csv(f"{path}/csv")
+    write_workbook(df, f"{path}/table.xlsx")
 
 
 def read_chain(spark: SparkSession, path: str) -> DataFrame:
-    """A gym chain's file: a GeoJSON layer of points with lat and lon, a Parquet table, or a CSV file with a header."""
+    """A gym chain's file: a workbook, a GeoJSON layer of points with lat and lon, a Parquet table, or a CSV file with a header."""
+    if path.endswith(".xlsx"):
+        return read_workbook(spark, path)
     if path.endswith(".geojson"):
         rows = spark.read.schema(_FEATURES).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
         names = sorted({k for r in rows.select(F.explode(F.map_keys("f.properties")).alias("k")).distinct().collect() for k in r})
