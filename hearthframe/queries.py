@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthframe.functions import text as X
-from hearthframe.operators import clean, cover, geocode, metrics, network, spatial, unify
+from hearthframe.operators import clean, cover, geocode, history, metrics, network, spatial, summaries, unify
 from hearthframe.plans import urls
 from hearthframe.sources import files, html, layers, workbook
 from hearthframe.staging import stage, stage_path
@@ -668,5 +668,83 @@ def q45_workbook(spark, sf):
     return workbook.read_workbook(spark, path)
 
 
+# --- beyond the reference: listings along time ---------------------------------------------------------
+
+
+@query("""
+WITH known AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS since, max(o_totalprice) AS rent FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
+SELECT o_orderkey, CAST(k.since AS VARCHAR) AS since, k.rent FROM orders o ASOF LEFT JOIN known k ON o.o_custkey = k.o_custkey AND CAST(o.o_orderdate AS DATE) >= k.since
+""")
+def q46_as_of(spark, sf):
+    """The rent that a customer's last snapshot up to an order's day had."""
+    orders = table(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    known = orders.where("o_orderstatus = 'F'").select("o_custkey", F.col("day").alias("since"), F.col("o_totalprice").alias("rent"))
+    return history.as_of(orders.select("o_orderkey", "o_custkey", "day"), known, ["o_custkey"], "day", "since").select("o_orderkey", F.col("since").cast("string").alias("since"), "rent")
+
+
+_PERIODS = """
+WITH l AS (SELECT o_orderkey AS listing, o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS begins, CASE WHEN o_orderkey % 97 = 0 THEN 2000 ELSE o_orderkey % 40 END AS days FROM orders),
+p AS (SELECT o_orderkey AS price, o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 50 AS since, o_orderkey % 300 AS lasts FROM orders)
+"""
+
+
+@query(f"{_PERIODS} SELECT listing, price FROM l JOIN p ON l.o_custkey = p.o_custkey AND days > 0 AND lasts > 0 AND begins < since + lasts AND since < begins + days")
+def q47_period_overlap(spark, sf):
+    """Listing periods, a few of them years long, with the price periods that they overlap."""
+    k, day = F.col("o_orderkey"), F.unix_date(F.col("o_orderdate").cast("date"))
+    orders = table(spark, sf, "orders")
+    a = orders.select(k.alias("listing"), "o_custkey", day.alias("begins"), (day + F.when(k % 97 == 0, 2000).otherwise(k % 40)).alias("ends"))
+    b = orders.select(k.alias("price"), "o_custkey", (day + k % 50).alias("since"), (day + k % 50 + k % 300).alias("until"))
+    return history.overlaps(a, b, ["o_custkey"], ("begins", "ends"), ("since", "until")).select("listing", "price")
+
+
+@query("""
+SELECT segment, priority, CAST(count(*) AS BIGINT) AS rows, CAST(count(price) AS BIGINT) AS "values", min(price) AS least, max(price) AS largest, true AS distinct_near, true AS median_near FROM (
+  SELECT c_mktsegment AS segment, o_orderpriority AS priority, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS price FROM orders JOIN customer ON o_custkey = c_custkey)
+GROUP BY GROUPING SETS ((segment, priority), (segment), (priority), ())
+""")
+def q48_rolled_up_sketches(spark, sf):
+    """Orders by segment and priority, rolled up from sketches stored by day; whether the estimates are near what the rows say."""
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    by = ["segment", "priority"]
+    rows = rows.select(F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), F.trunc("o_orderdate", "month").alias("day"), "o_custkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("price"))
+    stored = stage(summaries.sketched(rows, [*by, "day"], "o_custkey", "price"), "sketches")
+    sets = [by, ["segment"], ["priority"], []]
+    found = summaries.estimates(summaries.rolled_up(stored, by, sets), [0.5])
+    level = F.concat_ws(",", *(F.when(F.grouping(c) == 0, F.lit(c)) for c in by)).alias("level")
+    cells = [F.countDistinct("o_custkey").alias("exact"), F.percentile_approx("price", [0.45, 0.55], 100_000).alias("around")]
+    exact = rows.groupingSets([[F.col(c) for c in s] for s in sets], *map(F.col, by)).agg(level, *cells)
+    same = F.expr("a.level = b.level AND a.segment <=> b.segment AND a.priority <=> b.priority")
+    both = found.alias("a").join(F.broadcast(exact.alias("b")), same)
+    near = (F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.1 * F.col("exact"))).alias("distinct_near")
+    return both.select("a.segment", "a.priority", "a.rows", "a.values", "a.least", "a.largest", near, F.col("q50").between(F.col("around")[0], F.col("around")[1]).alias("median_near"))
+
+
+_SNAPSHOTS = """
+WITH old AS (SELECT o_orderkey AS k, o_totalprice AS price, o_orderpriority AS kind FROM orders WHERE o_orderkey % 50 <> 1 UNION ALL SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 60 = 2),
+new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 70 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 90 = 3 THEN NULL ELSE o_orderpriority END AS kind FROM orders WHERE o_orderkey % 80 <> 4),
+gone AS (SELECT * FROM old EXCEPT ALL SELECT * FROM new), come AS (SELECT * FROM new EXCEPT ALL SELECT * FROM old),
+pairs AS (SELECT g.k FROM (SELECT k FROM gone GROUP BY k HAVING count(*) = 1) g JOIN (SELECT k FROM come GROUP BY k HAVING count(*) = 1) c ON g.k = c.k)
+"""
+
+
+@query(f"""{_SNAPSHOTS}
+SELECT g.k, 'changed' AS change, concat_ws(',', CASE WHEN g.price IS DISTINCT FROM c.price THEN 'price' END, CASE WHEN g.kind IS DISTINCT FROM c.kind THEN 'kind' END) AS fields, CAST(1 AS BIGINT) AS n FROM gone g JOIN come c ON g.k = c.k WHERE g.k IN (SELECT k FROM pairs)
+UNION ALL SELECT k, 'gone', '', CAST(count(*) AS BIGINT) FROM gone WHERE k NOT IN (SELECT k FROM pairs) GROUP BY k, price, kind
+UNION ALL SELECT k, 'new', '', CAST(count(*) AS BIGINT) FROM come WHERE k NOT IN (SELECT k FROM pairs) GROUP BY k, price, kind
+""")
+def q49_snapshot_changes(spark, sf):
+    """What changed between two kept snapshots of the orders: new, gone and changed rows, repeated ones counted."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf, "orders")
+    plain = lambda df: df.select(k.alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("kind"))
+    old = plain(orders.where(k % 50 != 1)).union(plain(orders.where(k % 60 == 2)))
+    new = orders.where(k % 80 != 4).select(k.alias("k"), F.when(k % 70 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("price"), F.when(k % 90 != 3, F.col("o_orderpriority")).alias("kind"))
+    paths = [stage_path(spark, n) for n in ("old", "new")]
+    for df, path in zip((old, new), paths, strict=True):
+        history.keep_snapshot(df, ["k"], path, ranges=64)
+    return history.snapshot_changes(spark, *paths, ["k"]).select("k", "change", F.array_join("fields", ",").alias("fields"), "n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q28_listing_metrics(spark, sf_dir)
