@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from hearthframe.llm.common import fresh, small_batches, table
 from hearthframe.operators.joins import join_hot
-from hearthframe.staging import stage, tidy
+from hearthframe.staging import drop_stage, stage, tidy
 
 #: Words of a run at least.
 MIN_WORDS = 50
@@ -87,23 +87,26 @@ def first_ranks(lines: DataFrame) -> DataFrame:
     cells = cells.select("cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
     before = Window.partitionBy("cell").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ranks = counts.join(cells, "cell").select("h1", "h2", (F.col("start") + F.col("inside")).alias("rank"))
-    return lines.join(ranks, ["h1", "h2"]).select(*PLACE, "seq", "rank")
+    ranks = stage(counts.join(cells, "cell").select("h1", "h2", (F.col("start") + F.col("inside")).alias("rank"), "n"), "line-ranks")
+    return join_hot(lines, ranks, ["h1", "h2"], "n").select(*PLACE, "seq", "rank")
 
 
 def doubled(ranks: DataFrame, depth: int) -> DataFrame:
-    """Ranks by 2 * depth lines from those by depth lines, of the suffixes whose first 2 * depth lines occur twice."""
+    """Ranks by 2 * depth lines from those by depth lines, written, of the suffixes whose first 2 * depth lines occur twice."""
     after = ranks.select(*PLACE, (F.col("seq") - depth).alias("seq"), F.col("rank").alias("next"))
-    pairs = _beside(ranks, after, "seq")
+    pairs = stage(_beside(ranks, after, "seq"), "pairs")
     counts = stage(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).withColumn("cell", F.shiftright("next", 16)), "followers")
     # sums in two steps, as one line may have very many followers: over cells of ranks, and inside each cell
     before = Window.partitionBy("rank").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = counts.groupBy("rank", "cell").agg(F.sum("n").alias("size"))
     cells = cells.select("rank", "cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
     before = Window.partitionBy("rank", "cell").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 1").join(cells, ["rank", "cell"])
-    counts = counts.select("rank", "next", (F.col("rank") + F.col("start") + F.col("inside")).alias("deeper"))
-    return pairs.join(counts, ["rank", "next"]).select(*PLACE, "seq", F.col("deeper").alias("rank"))
+    deep = counts.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 1").join(cells, ["rank", "cell"])
+    deeper = stage(deep.select("rank", "next", (F.col("rank") + F.col("start") + F.col("inside")).alias("deeper"), "n"), "deeper")
+    found = stage(join_hot(pairs, deeper, ["rank", "next"], "n").select(*PLACE, "seq", F.col("deeper").alias("rank")), "ranks")
+    for used in (pairs, counts, deeper):
+        drop_stage(used)
+    return found
 
 
 def _beside(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
@@ -127,7 +130,7 @@ def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         levels.append(ranks.withColumn("depth", F.lit(depth)))
         if 2 * depth > least:
             break
-        ranks, depth = stage(doubled(ranks, depth), "ranks"), 2 * depth
+        ranks, depth = doubled(ranks, depth), 2 * depth
     ranks = levels[0]
     for level in levels[1:]:
         ranks = ranks.union(level)

@@ -525,8 +525,8 @@ def write_tokens(docs: DataFrame, path: str, name: str = BYTE_BPE, end_id: int |
     rows.mapInArrow(run, _SEGMENT).write.option("compression", "none").parquet(f"{path}/segments")
 
 
-def _frames(segments: DataFrame, path: str, wanted, out: str, each) -> DataFrame:
-    """Opens the frames of segments one by one; each(segment, k, raw) makes a row."""
+def _frames(segments: DataFrame, path: str, wanted: bool, out: str, each) -> DataFrame:
+    """Opens the frames of segments one by one, if wanted only those at their picked places; each(segment, k, raw) makes a row."""
     spark = segments.sparkSession
     meta = spark.read.parquet(f"{path}/dictionary").first()
     trained, held = meta.hash, spark.sparkContext.broadcast(bytes(meta.dictionary))
@@ -540,7 +540,7 @@ def _frames(segments: DataFrame, path: str, wanted, out: str, each) -> DataFrame
             for s in b.to_pylist():
                 if s["dictionary"] != trained:
                     raise ValueError(f"segment {s['shard']}.{s['segment']} was written with dictionary {s['dictionary']}, not {trained}")
-                picked = [k for k, x in enumerate(s["doc_ids"]) if wanted is None or x in wanted]
+                picked = s["picked"] if wanted else range(len(s["doc_ids"]))
                 made = [each(s, k, press.decompress(s["frames"][s["offsets"][k] : s["offsets"][k + 1]])) for k in picked]
                 if made:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, m, strict=True)) for m in made], schema=kinds)
@@ -549,16 +549,22 @@ def _frames(segments: DataFrame, path: str, wanted, out: str, each) -> DataFrame
     return segments.mapInArrow(run, out)
 
 
-def read_tokens(spark, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, ids) of a token file; with doc_ids only theirs: other segments aren't read, other frames not opened."""
-    segments = spark.read.parquet(f"{path}/segments")
-    wanted = None if doc_ids is None else set(doc_ids)
-    if wanted is not None:
-        inside = F.lit(False)
-        for x in wanted:
-            inside = inside | ((F.col("first_doc") <= x) & (F.col("last_doc") >= x))
-        segments = segments.where(inside)
-    return _frames(segments, path, wanted, "doc_id long, ids array<long>", lambda s, k, raw: (s["doc_ids"][k], np.frombuffer(raw, "<u4").tolist()))
+def read_tokens(spark, path: str, doc_ids: list[int | None] | DataFrame | None = None) -> DataFrame:
+    """(doc_id, ids) of a token file; with doc_ids (a list, or a table with a column doc_id) only theirs, None being a doc_id too.
+
+    Of all segments the doc_ids are read then, and joined with the wanted ones; of those that hold one, the frames, and
+    only the wanted frames are opened. Repeated wanted ids count once, documents that share a doc_id are all found.
+    """
+    segments, out = spark.read.parquet(f"{path}/segments"), "doc_id long, ids array<long>"
+    each = lambda s, k, raw: (s["doc_ids"][k], np.frombuffer(raw, "<u4").tolist())
+    if doc_ids is None:
+        return _frames(segments, path, False, out, each)
+    asked = doc_ids if isinstance(doc_ids, DataFrame) else spark.createDataFrame([(x,) for x in doc_ids], "doc_id long")
+    asked = small_side(asked.select(F.col("doc_id").cast("long").alias("asked")).distinct())
+    places = segments.select("shard", "segment", F.posexplode("doc_ids").alias("place", "own"))
+    places = places.join(asked, F.col("own").eqNullSafe(F.col("asked")), "left_semi")
+    picked = small_side(places.groupBy("shard", "segment").agg(F.sort_array(F.collect_list("place")).alias("picked")))
+    return _frames(segments.join(picked, ["shard", "segment"]), path, True, out, each)
 
 
 def token_index(spark, path: str) -> DataFrame:
@@ -575,7 +581,7 @@ def token_index(spark, path: str) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("shard", "segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("segment_start"))
     starts = small_side(sizes.join(shards, "shard"))
-    rows = _frames(segments, path, None, "shard int, segment int, place int, doc_id long, n_tokens long, ids_crc32 long", lambda s, k, raw: (s["shard"], s["segment"], k, s["doc_ids"][k], len(raw) // 4, zlib.crc32(raw)))
+    rows = _frames(segments, path, False, "shard int, segment int, place int, doc_id long, n_tokens long, ids_crc32 long", lambda s, k, raw: (s["shard"], s["segment"], k, s["doc_ids"][k], len(raw) // 4, zlib.crc32(raw)))
     own = Window.partitionBy("shard", "segment").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
     start = (F.col("shard_start") + F.col("segment_start") + F.col("inside")).alias("start")

@@ -76,3 +76,12 @@ def test_helper_columns_do_not_clash(spark):
     out = lineruns.without_repeats(df)
     assert out.columns == df.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: f"{line}\nown one", 2: "own two"}
+
+
+def test_one_line_and_one_run_in_all_documents(spark):
+    """A hot line, and a hot pair of lines, are joined apart from the others, with the results of a search."""
+    head, foot = "every document begins like this", "and ends " + " ".join(f"e{k}" for k in range(50))
+    docs = {k: "\n".join([head, foot] * (1 + k % 2) + [f"own line {k} {j}" for j in range(3)] + [foot]) for k in range(60)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for least in (50, 10):
+        assert {r.doc_id: r.text for r in lineruns.without_repeats(df, least).collect()} == cut(docs, brute(docs, least))

@@ -77,6 +77,11 @@ def test_token_file(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{tmp_path}/t/dictionary").first().dictionary
     some = tokens.read_tokens(spark, f"{tmp_path}/t", [7, 33, 1000]).collect()
     assert sorted((r.doc_id, r.ids) for r in some) == sorted((d, [*ids(t), 2]) for d, t, _ in rows if d in (7, 33))
+    many = tokens.read_tokens(spark, f"{tmp_path}/t", [None, None, 5, *range(200, 100_200)]).collect()
+    assert sorted((r.doc_id or 0, r.ids) for r in many) == sorted((d or 0, [*ids(t), 2]) for d, t, _ in rows if d is None or d == 5 or d >= 200)
+    asked = spark.createDataFrame([(9,), (None,), (9,)], "doc_id int")
+    assert sorted(r.doc_id or 0 for r in tokens.read_tokens(spark, f"{tmp_path}/t", asked).collect()) == [0, 9]
+    assert tokens.read_tokens(spark, f"{tmp_path}/t", []).count() == 0
     assert tokens.encoded(df.limit(0)).count() == 0
     assert sorted(r.start for r in tokens.encoded(df.where("doc_id IS NULL OR doc_id < 10")).collect())[0] == 0
 
