@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -139,3 +139,11 @@ def within(points: DataFrame, polygons: DataFrame, pid: str, x: str = "x", y: st
         return points.join(polygons.select(pid), F.lit(False))
     square = (corner.x, corner.y, max(corner.xx - corner.x, corner.yy - corner.y) * (1 + 1e-6) or 1.0)
     return tried(points, covered(polygons, pid, square, rings), square, x, y).where("inside").select("_point.*", pid)
+
+
+def within_and_counted(points: DataFrame, polygons: DataFrame, pid: str, **named) -> tuple[DataFrame, Observation, Observation]:
+    """within(), with the points before and the pairs after, and the points among these (about), counted as they pass when the
+    result is first computed: rows, and rows and points."""
+    before, after = Observation(), Observation()
+    held = within(points.observe(before, F.count("*").alias("rows")), polygons, pid, **named)
+    return held.observe(after, F.count("*").alias("rows"), F.approx_count_distinct("id", 0.01).alias("points")), before, after

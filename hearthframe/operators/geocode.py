@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearthframe.functions import text as X
 from hearthframe.operators.joins import small_side
 from hearthframe.operators.unify import union_all
+from hearthframe.staging import drop_stage, stage
 
 #: Layer colours.
 LINE_COLORS = {"A": "#00AEEF", "B": "#ED1C24", "C": "#0054A6", "D": "#00802F", "E": "#662D91", "H": "#FFD100"}
@@ -40,17 +41,20 @@ def filled(df: DataFrame, address: str, dimension: DataFrame) -> DataFrame:
 def filled_durably(df: DataFrame, address: str, dimension: DataFrame, path: str, batches: int = 8) -> DataFrame:
     """filled(), looking addresses up in batches that are appended to a table at path as they are done.
 
-    What is found or known to be missing stays there, so a rerun after a failure goes on where the last
-    one stopped and asks for no address twice.
+    What is found stays there, so a rerun after a failure goes on where the last one stopped, and asks again only for
+    addresses that the dimension didn't have; it may have them by then.
     """
     spark, kinds = df.sparkSession, "full_address string, lat double, lon double"
     spark.createDataFrame([], kinds).write.mode("append").parquet(path)
     wanted = df.where("lat IS NULL OR lon IS NULL").select(X.full_address(F.col(address)).alias("full_address")).where("full_address IS NOT NULL").distinct()
-    known = dimension.groupBy("full_address").agg(F.min(F.struct("lat", "lon")).alias("_at"))
+    part = F.pmod(F.xxhash64("full_address"), F.lit(batches)).alias("part")
+    wanted = stage(wanted.join(spark.read.schema(kinds).parquet(path), "full_address", "left_anti").withColumn("part", part), "wanted")
+    known = dimension.where("lat IS NOT NULL AND lon IS NOT NULL").join(wanted, "full_address", "left_semi").groupBy("full_address").agg(F.min(F.struct("lat", "lon")).alias("_at"))
+    known = stage(known.withColumn("part", part), "known")
     for k in range(batches):
-        done = spark.read.schema(kinds).parquet(path).select("full_address")
-        batch = wanted.where(F.pmod(F.xxhash64("full_address"), F.lit(batches)) == k).join(done, "full_address", "left_anti")
-        batch.join(known, "full_address", "left").select("full_address", "_at.lat", "_at.lon").write.mode("append").parquet(path)
+        known.where(F.col("part") == k).select("full_address", "_at.lat", "_at.lon").write.mode("append").parquet(path)
+    drop_stage(wanted)
+    drop_stage(known)
     return filled(df, address, spark.read.schema(kinds).parquet(path))
 
 

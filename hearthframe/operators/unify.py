@@ -11,9 +11,9 @@ from hearthframe.functions import text as X
 from hearthframe.schema import NUMERIC
 
 
-def latest(paths: DataFrame, path: str = "path") -> DataFrame:
-    """The path whose name has the latest date; names without one come before all others."""
-    return paths.agg(F.max_by(path, F.struct(X.file_date(F.col(path)), F.col(path))).alias(path))
+def latest(paths: DataFrame, path: str = "path", by: list[str] | None = None) -> DataFrame:
+    """The path whose name has the latest date, of all or for each group of by; names without one come before all others."""
+    return paths.groupBy(*(by or [])).agg(F.max_by(path, F.struct(X.file_date(F.col(path)), F.col(path))).alias(path))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -197,7 +197,7 @@ def q16_latest_snapshot(spark, sf):
     portal = F.concat(F.lit("p"), (F.col("o_custkey") % 3).cast("string"))
     day = F.when(F.col("o_orderkey") % 9 == 0, F.lit("undated")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     paths = table(spark, sf, "orders").select(portal.alias("portal"), F.concat(F.lit("data/"), portal, F.lit("/p_"), day, F.lit(".csv")).alias("path"))
-    return paths.groupBy("portal").agg(F.max_by("path", F.struct(X.file_date(F.col("path")), F.col("path"))).alias("path"))
+    return unify.latest(paths, by=["portal"])
 
 
 # --- the search plan and output -------------------------------------------------------------------
@@ -668,6 +668,59 @@ def q45_workbook(spark, sf):
     return workbook.read_workbook(spark, path)
 
 
+@query(f"SELECT CAST((SELECT count(*) FROM customer) AS BIGINT) AS before, CAST(count(*) AS BIGINT) AS after FROM (SELECT id, district FROM {_CUSTOMER_POINTS} p JOIN {_DISTRICT_SIDES} s ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY id, district HAVING count(*) % 2 = 1)")
+def q50_join_counts(spark, sf):
+    """Rows before and after the containment join, counted as it runs; the query runs it when it is made."""
+    held, before, after = cover.within_and_counted(_customer_points(spark, sf), _districts(spark, sf), "district")
+    held.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(before.get["rows"], after.get["rows"])], "before long, after long")
+
+
+def _degrees_sql() -> str:
+    """The way back from metres written out: the series, and Newton's steps one by one."""
+    radius, _, beta = spatial._series()
+    e = math.sqrt(spatial.FLATTENING * (2 - spatial.FLATTENING))
+    num = lambda v: f"CAST('{v!r}' AS DOUBLE)"
+    xi = " - ".join(["xi0", *(f"{num(b)} * sin({2 * j} * xi0) * cosh({2 * j} * eta0)" for j, b in enumerate(beta, 1))])
+    eta = " - ".join(["eta0", *(f"{num(b)} * cos({2 * j} * xi0) * sinh({2 * j} * eta0)" for j, b in enumerate(beta, 1))])
+    steps = ", ".join(
+        f"g{k} AS (SELECT id, xi, eta, goal, t, sinh({num(e)} * atanh({num(e)} * t / sqrt(1 + t * t))) AS s FROM n{k}), "
+        f"h{k} AS (SELECT *, t * sqrt(1 + s * s) - s * sqrt(1 + t * t) AS now FROM g{k}), "
+        f"n{k + 1} AS (SELECT id, xi, eta, goal, t + (goal - now) * (1 + {num(1 - e * e)} * t * t) / ({num(1 - e * e)} * sqrt(1 + now * now) * sqrt(1 + t * t)) AS t FROM h{k})"
+        for k in range(3)
+    )
+    return f"""
+WITH p AS (SELECT c_custkey AS id, (c_custkey % 211 * 700 + 5560000 - 5500000) / {num(radius)} AS eta0, (c_custkey % 307 * 900 + 6050000) / {num(radius)} - {num(math.pi / 2)} AS xi0 FROM customer),
+q AS (SELECT id, {xi} AS xi, {eta} AS eta FROM p), n0 AS (SELECT id, xi, eta, sin(xi) / sqrt(sinh(eta) * sinh(eta) + cos(xi) * cos(xi)) AS goal, goal AS t FROM q), {steps}
+SELECT id, round(degrees(atan2(sinh(eta), cos(xi))) - 60, 7) AS lon, round(degrees(atan(t)), 7) AS lat FROM n3"""
+
+
+@query(_degrees_sql())
+def q51_metres_to_degrees(spark, sf):
+    """Points given in metres, in degrees."""
+    k = F.col("c_custkey")
+    lon, lat = spatial.unproject((k % 211 * 700 + 5_560_000).cast("double"), (k % 307 * 900 + 6_050_000).cast("double"))
+    return table(spark, sf, "customer").select(k.alias("id"), F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
+def _line_metres_sql() -> str:
+    """The ends of each customer's two lines, each projected by itself."""
+    ends = "(VALUES (0, 0, 0.0, 0.0), (0, 1, 0.01, 0.0), (1, 0, 0.0, 0.0), (1, 1, 0.0, 0.01)) v(part, place, dx, dy)"
+    plain = _projection_sql().replace("SELECT c_custkey AS id,", "SELECT c_custkey AS id, part, place,").replace("FROM customer),", f"FROM customer, {ends}),")
+    plain = plain.replace("/ CAST(500 AS DOUBLE) AS lon", "/ CAST(500 AS DOUBLE) + CAST(dx AS DOUBLE) AS lon").replace("/ CAST(500 AS DOUBLE) AS lat", "/ CAST(500 AS DOUBLE) + CAST(dy AS DOUBLE) AS lat")
+    return plain.replace("SELECT id, radians(", "SELECT id, part, place, radians(").replace("SELECT id, atan2(", "SELECT id, part, place, atan2(").replace("SELECT id, round(", "SELECT id, part, place, round(")
+
+
+@query(_line_metres_sql())
+def q52_lines_to_metres(spark, sf):
+    """Every vertex of lines of two parts, in metres."""
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    lon, lat = F.col("lon"), F.col("lat")
+    lines = F.array(F.array(at(lon, lat), at(lon + 0.01, lat)), F.array(at(lon, lat), at(lon, lat + 0.01)))
+    parts = _lonlat(spark, sf).select("id", F.posexplode(spatial.project_parts(lines)).alias("part", "line"))
+    return parts.select("id", "part", F.posexplode("line").alias("place", "p")).select("id", "part", "place", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+
+
 # --- beyond the reference: listings along time ---------------------------------------------------------
 
 

@@ -203,3 +203,5 @@ def test_geocoding_goes_on_where_it_stopped(spark, tmp_path):
     assert {r.id: r.lat for r in first.collect()} == {0: 0.0, 1: 1.0, 2: 2.0}
     again = geocode.filled_durably(rows, "Direccion", dim.where("lat > 2"), f"{tmp_path}/known", 2)
     assert {r.id: r.lat for r in again.collect()} == {**{k: float(k) for k in range(6)}, 6: None, 7: None}
+    later = geocode.filled_durably(rows, "Direccion", spark.createDataFrame([(full(6), 6.0, 0.0), (full(0), 99.0, 0.0)], "full_address string, lat double, lon double"), f"{tmp_path}/known", 2)
+    assert {r.id: r.lat for r in later.collect()} == {**{k: float(k) for k in range(7)}, 7: None}
