@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthframe.staging import stage
+from hearthframe.staging import bytes_on_disk, stage
 
 #: Rows and bytes (as JSON) up to which a side is broadcast.
 ROWS, BYTES = 500_000, 16 << 20
@@ -18,13 +18,14 @@ MANY = 50_000
 def small_side(df: DataFrame, rows: int = ROWS, size: int = BYTES, written: bool = False) -> DataFrame:
     """df, marked for broadcasting if its rows and their bytes are within these bounds; else Spark shuffles both sides.
 
-    df is written once and measured where it is written; written says that it is already.
+    df is written once and measured where it is written; written says that it is already. A table whose files are larger
+    isn't gone through at all, another one once.
     """
     df = df if written else stage(df, "side")
-    if df.count() > rows:
+    if bytes_on_disk(df) > size:
         return df
-    found = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
-    return F.broadcast(df) if found.size <= size else df
+    found = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found.rows <= rows and found.size <= size else df
 
 
 def join_hot(rows: DataFrame, side: DataFrame, key: str | list[str], times: str, least: float | None = None) -> DataFrame:

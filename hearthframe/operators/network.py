@@ -12,7 +12,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthframe.operators.joins import small_side
 from hearthframe.staging import drop_stage, stage, tidy
 
 #: Written rounds of found distances that are merged into one.
@@ -55,7 +54,7 @@ def reach(origins: DataFrame, links: DataFrame, cutoff: float) -> DataFrame:
     while not found[-1].isEmpty():
         step = found[-1].join(links, "node").select("origin", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d")).where(F.col("d") <= cutoff)
         step = stage(step.groupBy("origin", "node").agg(F.min("d").alias("d")), "step")
-        places = small_side(step.select("origin", "node"), written=True)
+        places = step.select("origin", "node")  # written, so Spark knows its size and broadcasts it while it is small
         known = best([t.join(places, ["origin", "node"], "left_semi") for t in found]).withColumnRenamed("d", "old")
         found.append(stage(step.join(known, ["origin", "node"], "left").where("old IS NULL OR d < old").select("origin", "node", "d"), "reach"))
         drop_stage(step)
@@ -166,16 +165,15 @@ def settled(origins: DataFrame, links: DataFrame, cells: DataFrame, cutoff: floa
     while not ways.isEmpty():
         rounds += 1
         crowd = stage(ways.groupBy("cell").agg(F.ceil(F.count("*") / WAYS).cast("int").alias("tasks")), "crowd")
-        few = small_side(crowd, written=True)
-        entering = ways.join(few, "cell").select("cell", F.pmod(F.xxhash64("origin"), F.col("tasks")).cast("int").alias("task"), "origin", "node", "d")
-        streets = edges.join(few, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "src", "dst", "w", "inside")
+        entering = ways.join(crowd, "cell").select("cell", F.pmod(F.xxhash64("origin"), F.col("tasks")).cast("int").alias("task"), "origin", "node", "d")
+        streets = edges.join(crowd, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "src", "dst", "w", "inside")
         walked = entering.groupBy("cell", "task").cogroup(streets.groupBy("cell", "task")).applyInArrow(lambda a, b: _walks(b, a, cutoff), f"{_ENTRY}, out boolean")
         walked = stage(walked, "walked")
         drop_stage(crowd)
         drop_stage(ways)
         found.append(walked)
         step = stage(best([walked.where("out").drop("out")]), "step")
-        places = small_side(step.select("origin", "node"), written=True)
+        places = step.select("origin", "node")  # written, so Spark knows its size and broadcasts it while it is small
         known = best([t.where("NOT out").drop("out").join(places, ["origin", "node"], "left_semi") for t in found]).withColumnRenamed("d", "old")
         better = step.join(known, ["origin", "node"], "left").where("old IS NULL OR d < old").select("origin", "node", "d")
         ways = stage(home(better, "node"), "ways")

@@ -44,3 +44,11 @@ def test_sides_and_hot_keys(spark):
     assert {r.name: r["count"] for r in got} == {"a": 2_000, "b": 1}
     assert "broadcast" in small_side(side, written=True)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in small_side(side, size=10, written=True)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_folders_with_odd_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_dir", lambda _: f"{tmp_path}/a b%ñ")
+    df = staging.stage(spark.range(10), "t")
+    assert staging.bytes_on_disk(df) > 0 and "broadcast" in small_side(df, written=True)._jdf.queryExecution().logical().toString().lower()
+    staging.drop_stage(df)
+    assert not any(p.is_file() for p in tmp_path.rglob("part-*"))
