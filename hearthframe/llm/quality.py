@@ -133,14 +133,16 @@ _WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 def _covered_sql(n: int) -> str:
     """Per document the words and characters inside runs of n words that are there twice or more."""
+    run = ", ".join(["w", *(f"lead(w, {j}) OVER o" for j in range(1, n))])
     return f"""
-dup{n} AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[k:k + {n - 1}], ' ')) AS c FROM flat WHERE k + {n - 1} <= n_words) WHERE c > 1),
+run{n} AS (SELECT doc_id, k, n_words, concat_ws(' ', {run}) AS run FROM flat WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+dup{n} AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, run) AS c FROM run{n} WHERE k + {n - 1} <= n_words) WHERE c > 1),
 in{n} AS (SELECT doc_id, count(*) AS words, sum(chars) AS chars FROM flat SEMI JOIN (SELECT DISTINCT doc_id, unnest(range(k, k + {n})) AS k FROM dup{n}) USING (doc_id, k) GROUP BY doc_id),"""
 
 
 OP13_SQL = f"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD_SQL}') AS ws FROM documents),
-flat AS (SELECT doc_id, ws, len(ws) AS n_words, k, length(ws[k]) AS chars FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM w)),
+flat AS MATERIALIZED (SELECT doc_id, n_words, k, w, length(w) AS chars FROM (SELECT doc_id, len(ws) AS n_words, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM w)),
 {"".join(map(_covered_sql, COVERED))}
 split AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM w),
 lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS later, list_sum(list_transform(regexp_extract_all(line, '{_WORD_SQL}'), lambda x: length(x))) AS chars FROM split WHERE regexp_matches(line, '{_WORD_SQL}')),
