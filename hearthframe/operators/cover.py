@@ -1,8 +1,8 @@
 """Containment by covers: polygons as quadtree cells of several sizes.
 
 Each polygon is cut into cells by itself: a cell that no side touches is wholly inside or outside, and only those
-inside are kept; a cell with sides is cut into four until it has few, and then carries these sides and the parity
-of all others. A point meets the cells that hold it by equal keys, one for each size in use. In an inner cell
+inside are kept; a cell with sides is cut into four until it has few and is small beside its polygon, and then carries these
+sides and the parity of all others. A point meets the cells that hold it by equal keys, one for each size in use. In an inner cell
 it is inside at once; in an edge cell it is tested against the cell's own few sides. No point meets a whole
 polygon, and nothing is grouped by point.
 """
@@ -22,8 +22,9 @@ from hearthframe.operators.joins import join_cells
 from hearthframe.operators.spatial import edges
 from hearthframe.staging import stage
 
-#: Sides of an edge cell at most, unless it is of the smallest size, and cuts in four down to that size.
-SIDES, DEPTH = 8, 12
+#: Sides of an edge cell at most, and how often its width goes into its polygon's at least, unless it is of the smallest
+#: size; cuts in four down to that size.
+SIDES, PARTS, DEPTH = 8, 4, 20
 #: Only these sizes are kept, so that a point has few keys: cells of others are cut on.
 STEP = 2
 #: How near, of a cell's width, a side may be to count as touching it.
@@ -51,6 +52,7 @@ def _hits(s: np.ndarray, x: float, y: float) -> int:
 def cells(sides: np.ndarray, x0: float, y0: float, width: float) -> Iterator[tuple[int, int, int, bool, int, np.ndarray]]:
     """The cover of one polygon in the square of this width at (x0, y0): level, column and row of each cell, whether it is
     inner, and of the others the parity of sides wholly to the east and the sides that a point must be tested with."""
+    wide = max(np.ptp(sides[:, [0, 2]]), np.ptp(sides[:, [1, 3]])) if len(sides) else 0.0
     stack = [(0, 0, 0, 0, sides)]
     while stack:
         level, cx, cy, odd, own = stack.pop()
@@ -70,7 +72,7 @@ def cells(sides: np.ndarray, x0: float, y0: float, width: float) -> Iterator[tup
             if level % STEP == 0:
                 yield level, cx, cy, True, 0, kept[:0]
                 continue
-        elif level % STEP == 0 and (len(kept) <= SIDES or level >= DEPTH):
+        elif level % STEP == 0 and ((len(kept) <= SIDES and PARTS * w <= wide) or level >= DEPTH):
             yield level, cx, cy, False, odd, kept
             continue
         stack += [(level + 1, 2 * cx + a, 2 * cy + b, odd, kept) for a in (0, 1) for b in (0, 1)]
@@ -96,7 +98,9 @@ def covered(polygons: DataFrame, pid: str, square: tuple[float, float, float], r
                     cols = [b.column(0).take(pa.array([k] * len(part), pa.int64())), *(pa.array([c[j] for c in part], arrow.field(j + 1).type) for j in range(5)), pa.array(texts, arrow.field(6).type)]
                     yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    return stage(own.mapInArrow(run, out), "cover")
+    # few polygons are much work: each task gets some
+    tasks = 2 * polygons.sparkSession.sparkContext.defaultParallelism
+    return stage(own.repartition(tasks).mapInArrow(run, out), "cover")
 
 
 def _inside(x: Column, y: Column) -> Column:

@@ -78,6 +78,14 @@ def test_cells_cover_the_polygon_once():
         assert inside == bool(held and (held[0][3] or (held[0][4] + cover._hits(held[0][5], x, y)) % 2))
 
 
+def test_small_polygons_have_small_cells():
+    """A square of few sides in a large map is not met by points from all over it."""
+    sides = np.array(sides_of([[(50, 50), (51, 50), (51, 51), (50, 51)]]), float)
+    found = list(cover.cells(sides, 0.0, 0.0, 1000.0))
+    area = sum((1000.0 / 2 ** c[0]) ** 2 for c in found)
+    assert len(found) < 200 and area < 4
+
+
 def test_split_join(spark):
     rows = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 50 END AS k")
     side = spark.range(60).selectExpr("id AS k", "id * 2 AS v").union(spark.range(5).selectExpr("id + 5 AS k", "id AS v"))
