@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from hearthframe.functions import text as X
 from hearthframe.operators import clean, cover, geocode, history, metrics, network, spatial, summaries, unify
 from hearthframe.plans import urls
-from hearthframe.sources import files, html, layers, workbook
+from hearthframe.schema import PORTAL_COLUMNS
+from hearthframe.sources import files, html, layers, legacy, workbook
 from hearthframe.staging import stage, stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -799,5 +800,142 @@ def q49_snapshot_changes(spark, sf):
     return history.snapshot_changes(spark, *paths, ["k"]).select("k", "change", F.array_join("fields", ",").alias("fields"), "n")
 
 
+# --- earlier rules, pages, files and the whole map ------------------------------------------------------
+
+
+def _old_cards(spark, sf) -> DataFrame:
+    """One captured page for each customer, on one of five result pages, a quarter of them captured twice, with a card in the older markup."""
+    k, price = F.col("c_custkey"), F.floor(F.abs("c_acctbal") * 90).cast("string")
+    n, even = k.cast("string"), lambda text: F.when(k % 2 == 0, F.lit(text)).otherwise(F.lit(""))
+    span = '<span class="postingMainFeatures-module__posting-main-features-span">'
+    zona = F.concat(
+        F.lit('<div class="q postingCardLayout-module__posting-card-layout"><div class="postingPrices-module__price"> USD '), price, F.lit(" </div>"), even('<div class="postingPrices-module__expenses">$ 100 Expensas</div>'),
+        F.lit('<h2> Lindo  depto </h2><div class="postingLocations-module__location-address">Calle '), n, F.lit(f"</div>{span}50 m² tot.</span>{span}45 m² cub.</span>{span}2 dorm.</span>"),
+        F.lit('<a href="'), F.when(k % 4 == 0, F.lit("http://otro/")).otherwise(F.lit("/p/")), n, F.lit('">ver</a></div>'),
+    )
+    argen = F.concat(
+        F.lit('<div class="listing__item"><a href="/d/'), n, F.lit('"><p class="card__price"> $ '), price, F.lit(" + 900 </p>"), even('<span class="card__expenses">+ $ 9</span>'), F.lit('<p class="card__address">Calle '), n,
+        F.lit("</p><ul><li>40 m²</li><li>1 baño</li>"), F.when(k % 7 == 0, F.lit("<li>3 dorm</li>")).otherwise(F.lit("")), F.lit("</ul></a></div>"),
+    )
+    caba = F.concat(
+        F.lit('<div class="cards">'), F.when(k % 2 == 0, F.concat(F.lit('<span class="lc-price-normal">$ '), price, F.lit("</span>"))).otherwise(F.lit("")), F.lit('<span class="lc-price-small">Expensas: $ 9</span><div class="tc_content"><h4>T '), n,
+        F.lit("</h4><p>Depto<br> Calle "), n, F.lit(' </p></div><div class="details"><a href="/y/'), n, F.lit('">v</a></div><ul class="prop_details"><li><b>2</b> Ambientes</li><li>50 m² total</li></ul></div>'),
+    )
+    portal = F.element_at(F.array(F.lit("zonaprop"), F.lit("argenprop"), F.lit("cabaprop")), (k % 3 + 1).cast("int"))
+    times = F.when(k % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    page = F.when(k % 3 == 0, zona).when(k % 3 == 1, argen).otherwise(caba)
+    return table(spark, sf, "customer").select(portal.alias("portal"), F.lit("palermo").alias("barrio"), F.lit("ph").alias("tipo"), (k % 5 + 1).cast("int").alias("page_no"), k.alias("seq"), page.alias("html"), F.explode(times).alias("time"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS n, CAST(CAST(floor(abs(c_acctbal) * 90) AS BIGINT) AS VARCHAR) AS p FROM customer WHERE c_custkey % 5 < 3),
+rows AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE k % 4 = 0)
+SELECT 'zonaprop' AS portal, 'USD ' || p AS "Precio", CASE WHEN k % 2 = 0 THEN '$ 100 Expensas' ELSE '' END AS "Expensas", 'Calle ' || n AS "Direccion", '45 m² cub.' AS "Metros", '' AS "Ambientes", '2 dorm.' AS "Dormitorios", NULL AS "Baños", NULL AS "Cocheras", 'Lindo  depto' AS "Titulo",
+  CASE WHEN k % 4 = 0 THEN 'http://otro/' ELSE 'https://www.zonaprop.com.ar/p/' END || n AS "URL" FROM rows WHERE k % 3 = 0
+UNION ALL SELECT 'argenprop', '$ ' || p || ' + 900', CASE WHEN k % 2 = 0 THEN '+ $ 9' ELSE '' END, 'Calle ' || n, '40 m²', '', CASE WHEN k % 7 = 0 THEN '3 dorm' END, '1 baño', '', '', 'https://www.argenprop.com/d/' || n FROM rows WHERE k % 3 = 1
+UNION ALL SELECT 'cabaprop', CASE WHEN k % 2 = 0 THEN '$ ' || p ELSE 'Consultar' END, '$ 9', 'Calle ' || n, '', '2  Ambientes', NULL, NULL, '', 'T ' || n, 'https://cabaprop.com.ar/y/' || n FROM rows WHERE k % 3 = 2
+""")
+def q53_legacy_listings(spark, sf):
+    """Listings of three portals by the earlier rules, in the columns of the old files; pages beyond the third go, repeated ones stay."""
+    pages = _old_cards(spark, sf)
+    return unify.union_all([legacy.legacy_listings(pages, p).withColumn("portal", F.lit(p)) for p in legacy.READERS])
+
+
+@query(f"""
+SELECT seq, CAST(seq % 5 + 1 AS INTEGER) AS page_no, CAST(card AS INTEGER) AS card_no, url FROM ({_LISTINGS}), (VALUES (0), (1), (2)) v(card) WHERE seq % 5 < 3 AND card <= seq % 7 % 3
+""")
+def q54_result_pages(spark, sf):
+    """Listings of the first three result pages, each page with one to three cards in their order."""
+    k = F.col("seq")
+    pages = _cards(spark, sf).withColumns({"page_no": (k % 5 + 1).cast("int"), "html": F.expr("repeat(html, CAST(seq % 7 % 3 + 1 AS INT))")})
+    return html.raw_listings(pages).select("seq", "page_no", "card_no", F.col("URL").alias("url"))
+
+
+@query(f"""
+SELECT portal, url, CAST(price AS BIGINT) AS price, CAST(expensas AS BIGINT) AS expensas, CAST(ambientes AS BIGINT) AS ambientes, CAST(totales AS BIGINT) AS totales, CASE WHEN publicado IS NOT NULL THEN '2024-03-05' END AS publicado
+FROM ({_LISTINGS}) WHERE CAST(price AS BIGINT) BETWEEN 10000 AND 999999 AND (portal = 'cabaprop' OR seq % 2 = 0)
+""")
+def q55_dated_files(spark, sf):
+    """Cleaned listings written as each portal's file of two days, the second without a file where it has no rows, and the newest ones read and united."""
+    rows = stage(clean.cleaned(clean.first_labels(html.raw_listings(_cards(spark, sf)))), "listings")
+    base = stage_path(spark, "snapshots")
+    for portal, columns in PORTAL_COLUMNS.items():
+        own = rows.where(F.col("Portal") == portal)
+        later = own.where(F.col("seq") % 2 == 0) if portal != "cabaprop" else own.limit(0)
+        for day, part in (("2024-03-01", own), ("2024-03-08", later)):
+            files.write_dated(part.select(*columns), base, portal, day)
+    names = {"Portal": "portal", "URL": "url", "Precio": "price", "Expensas": "expensas", "Ambientes": "ambientes", "Metros_Totales": "totales"}
+    return files.consolidated(spark, base).select(*(F.col(a).alias(b) for a, b in names.items()), F.col("Fecha_Publicacion").cast("string").alias("publicado"))
+
+
+@query("""
+WITH l AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice * 3) AS BIGINT) AS price, CASE WHEN o_custkey % 3 = 0 THEN 100000 END AS expenses, CASE WHEN o_custkey % 10 <> 0 THEN CAST(floor(o_totalprice * 3) AS BIGINT) + coalesce(CASE WHEN o_custkey % 3 = 0 THEN 100000 END, 0) END AS cost FROM orders),
+b(lo, hi, color) AS (VALUES (0, 300000, '#1a9850'), (300000, 400000, '#91cf60'), (400000, 500000, '#d9ef8b'), (500000, 600000, '#fee08b'), (600000, 700000, '#fc8d59'), (700000, 800000, '#d73027'), (800000, 10000000, '#67000d'))
+SELECT 'Departamentos' AS layer, id, '{"radius":5,"color":"white","weight":0.5,"fillOpacity":0.8,"fillColor":"' || coalesce(color, '#808080') || '"}' AS style,
+  concat_ws('; ', 'Portal: zonaprop', 'Precio: ' || price, 'Expensas: ' || coalesce(CAST(expenses AS VARCHAR), '-'), 'Costo total: ' || coalesce(CAST(cost AS VARCHAR), '-')) AS tip, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM l LEFT JOIN b ON cost >= lo AND cost < hi
+UNION ALL SELECT 'Barrios', n_nationkey, '{"fillColor":"transparent","color":"black","weight":2.5,"opacity":1.0}', NULL, NULL, NULL FROM nation
+UNION ALL SELECT 'Líneas Subte', n_nationkey, '{' || CASE n_nationkey % 9 WHEN 0 THEN '"color":"#00AEEF",' WHEN 1 THEN '"color":"#ED1C24",' WHEN 2 THEN '"color":"#0054A6",' WHEN 3 THEN '"color":"#00802F",' WHEN 4 THEN '"color":"#662D91",' WHEN 7 THEN '"color":"#FFD100",' ELSE '' END || '"weight":3.5,"opacity":0.8}', NULL, NULL, NULL FROM nation
+UNION ALL SELECT 'Espacios Verdes', p_partkey, '{"fillColor":"' || CASE p_size % 4 WHEN 2 THEN '#99d8c9' ELSE '#2ca25f' END || '","color":"#00441b","weight":1.0,"fillOpacity":0.6}', 'Nombre: ' || p_name || '; Tipo: ' || CASE p_size % 4 WHEN 2 THEN 'plaza' ELSE 'parque' END, NULL, NULL FROM part WHERE p_size % 4 < 3
+""")
+def q56_whole_map(spark, sf):
+    """Areas, lines and listings of the assembled map with styles and tooltips, and each listing's row of the legend."""
+    none = spark.createDataFrame([], "cadena string, nombre string, color_map string")
+    kind = F.element_at(F.array(*map(F.lit, ["PARQUE", "JARDÍN BOTANICO", "PLAZA", "OTRO"])), (F.col("p_size") % 4 + 1).cast("int"))
+    greens = metrics.green_spaces(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("nombre"), kind.alias("clasificac")))
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), X.lookup(F.char(65 + F.col("n_nationkey") % 9), geocode.LINE_COLORS).alias("color_map"))
+    price, key = F.floor(F.col("o_totalprice") * 3).cast("long"), F.col("o_custkey")
+    listings = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("zonaprop").alias("Portal"), price.alias("Precio"), F.when(key % 3 == 0, 100_000).alias("Expensas"), key)
+    listings = listings.withColumn("costo_total", F.when(key % 10 != 0, metrics.total_cost(F.col("Precio"), F.col("Expensas")))).drop("o_custkey")
+    made = metrics.map_layers(nation.select("id"), greens, nation, none, none, listings)
+    legend = F.broadcast(metrics.legend(spark))
+    shown = []
+    for name in ("Departamentos", "Barrios", "Líneas Subte", "Espacios Verdes"):
+        df = made[name]
+        tip = F.array_join(F.transform("tooltip", lambda t: F.concat(t["label"], F.lit(" "), F.coalesce(t["value"], F.lit("-")))), "; ") if "tooltip" in df.columns else F.lit(None).cast("string")
+        fill = F.col("style.fillColor") if name == "Departamentos" else F.lit(None).cast("string")
+        shown.append(df.select(F.lit(name).alias("layer"), "id", F.to_json("style").alias("style"), tip.alias("tip"), fill.alias("color")).join(legend, "color", "left").drop("color"))
+    return unify.union_all(shown)
+
+
+@query(r"""
+SELECT k, CASE WHEN k % 6 > 3 THEN regexp_replace(address, 'C\.A\.B\.A|CABA| - ', ' ', 'gi') || ', Ciudad Autónoma de Buenos Aires, Argentina' END AS full_address, upper(left(name, 1)) || lower(substr(name, 2)) || ':' AS label FROM (
+  SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 4 THEN 'c.a.b.a Calle ' || c_custkey || ' - piso' WHEN 5 THEN 'Calle ' || c_custkey || ' CABA' END AS address, replace(lower(c_mktsegment) || '_' || c_name, '_', ' ') AS name FROM customer)
+""")
+def q57_address_guard(spark, sf):
+    """Addresses to look up, none for null and blank ones, and captions of column names."""
+    k = F.col("c_custkey")
+    n = k.cast("string")
+    address = F.when(k % 6 == 1, F.lit("")).when(k % 6 == 2, F.lit("   ")).when(k % 6 == 3, F.lit("\t  ")).when(k % 6 == 4, F.concat(F.lit("c.a.b.a Calle "), n, F.lit(" - piso"))).when(k % 6 == 5, F.concat(F.lit("Calle "), n, F.lit(" CABA")))
+    return table(spark, sf, "customer").select(k.alias("k"), X.full_address(address).alias("full_address"), X.label(F.concat(F.lower("c_mktsegment"), F.lit("_"), F.col("c_name"))).alias("label"))
+
+
+_SEARCHES = _PLAN.replace("(SELECT lower(replace(n_name, ' ', '-')) AS barrio FROM nation)", "(VALUES ('palermo'), ('villa-urquiza'), ('parque-chas'), ('belgrano'), ('recoleta'), ('almagro'), ('colegiales'), ('barrio-norte')) b(barrio)")
+
+
+@query(f"""
+SELECT k, portal, url FROM (SELECT c_custkey AS k, ['palermo', 'villa-urquiza', 'parque-chas', 'belgrano', 'recoleta', 'almagro', 'colegiales', 'barrio-norte'][CAST(c_custkey % 8 + 1 AS INTEGER)] AS barrio, CASE WHEN c_custkey % 3 = 0 THEN 'ph' ELSE 'departamento' END AS tipo FROM customer)
+JOIN ({_SEARCHES}) USING (barrio, tipo)
+""")
+def q58_searches_of_customers(spark, sf):
+    """The searches of the default plan for the neighbourhood and type that a customer looks for."""
+    k = F.col("c_custkey")
+    wanted = table(spark, sf, "customer").select(k.alias("k"), F.element_at(F.array(*map(F.lit, urls.BARRIOS)), (k % 8 + 1).cast("int")).alias("barrio"), F.when(k % 3 == 0, F.lit("ph")).otherwise(F.lit("departamento")).alias("tipo"))
+    return wanted.join(F.broadcast(urls.search_plan(spark)), ["barrio", "tipo"]).select("k", "portal", "url")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Monoambiente luminoso' WHEN 1 THEN 'MONO AMBIENTE' WHEN 2 THEN 'depto 1 amb' WHEN 3 THEN 'depto 11 ambientes' WHEN 4 THEN 'lindo monoamb' WHEN 5 THEN 'casa' END AS title, text, CAST(doc_id % 3 AS VARCHAR) AS rooms FROM documents),
+j AS (SELECT *, lower(coalesce(title, 'nan') || ' ' || coalesce(text, 'nan') || ' ' || rooms) AS t FROM d), c AS (SELECT *, replace(t, ' ', '') AS s FROM j)
+SELECT doc_id, rooms = '1' OR contains(s, 'monoambiente') OR contains(s, 'monoamb') OR contains(s, '1ambiente') OR contains(s, '1amb') AS compat,
+  rooms = '1' OR coalesce(regexp_matches(lower(title), '(^|[^\p{L}\p{N}])(mono *ambiente|monoamb|1 *amb)'), false) OR coalesce(regexp_matches(lower(text), '(^|[^\p{L}\p{N}])(mono *ambiente|monoamb|1 *amb)'), false) AS strict FROM c
+""")
+def q59_one_room(spark, sf):
+    """Which texts speak of one room, by the default terms, in both ways of looking for them."""
+    k = F.col("doc_id") % 8
+    title = F.element_at(F.array(*map(F.lit, ["Monoambiente luminoso", "MONO AMBIENTE", "depto 1 amb", "depto 11 ambientes", "lindo monoamb", "casa"])), F.when(k < 6, (k + 1).cast("int")))
+    by = {mode: clean.is_excluded(title, F.col("text"), (F.col("doc_id") % 3).cast("string"), mode=mode).alias(mode) for mode in ("compat", "strict")}
+    return table(spark, sf, "documents").select("doc_id", *by.values())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q28_listing_metrics(spark, sf_dir)
