@@ -28,7 +28,7 @@ from hearthframe.llm.common import fresh, small_batches, table
 #: Buckets and sizes of the path and word vectors; measures of a block; units in each direction.
 PATHS, PATH_DIM, WORDS, WORD_DIM, MEASURES, UNITS = 4_096, 16, 512, 4, 5, 16
 #: Invented pages, rounds over them, pages in a step, step size, seed.
-PAGES, ROUNDS, STEP, RATE, SEED = 900, 8, 32, 0.01, 11
+PAGES, ROUNDS, STEP, RATE, SEED = 1_500, 9, 32, 0.01, 11
 #: Blocks in a padded batch of pages, about.
 AT_ONCE = 16_384
 
@@ -290,6 +290,11 @@ class _Layout:
     def __init__(self, rng: random.Random):
         self.rng, self.parts, self.labels = rng, [], []
         self.syllables = [rng.choice("bcdfghklmnprstvwz") + rng.choice("aeiouyéö") + rng.choice(["", "n", "r", "s", "t"]) for _ in range(30)]
+        #: How elements are named on this page: by what they are, not at all, or by codes that mean nothing.
+        self.naming = rng.choices(["own", "none", "code"], [0.74, 0.1, 0.16])[0]
+        self.named = self.naming == "own"
+        self.codes: dict[str, str] = {}
+        self.plain = rng.random() < 0.2
 
     def words(self, lo: int, hi: int) -> str:
         out = ["".join(self.rng.choices(self.syllables, k=self.rng.randint(1, 3))) for _ in range(self.rng.randint(lo, hi))]
@@ -297,14 +302,27 @@ class _Layout:
         return text + self.rng.choice([".", ".", "", " &amp; more."])
 
     def tag(self, tag: str, names: list[str], body) -> None:
-        name = self.rng.choice(names) if names else ""
+        name = self.called(tag, names)
+        tag = "div" if self.plain and tag in ("nav", "header", "aside", "footer", "section", "article", "main") and (name or not self.named) else tag
         attr = f' {self.rng.choice(["class", "class", "id"])}="{name}"' if name else ""
         self.parts.append(f"<{tag}{attr}>")
         body()
         self.parts.append(f"</{tag}>")
 
+    def called(self, tag: str, names: list[str]) -> str:
+        """One of the names, nothing, or a code, the same one for the same names on a page."""
+        if self.named:
+            return self.rng.choice(names) if names else ""
+        if self.naming == "none":
+            return ""
+        key = f"{tag} {names[-1:]}"
+        if key not in self.codes:
+            self.codes[key] = self.rng.choice(["css-", "sc-", "jsx-", "x", "_"]) + "".join(self.rng.choices("abcdefghijkmnpqrstuvwxyz0123456789", k=self.rng.randint(2, 7)))
+        return self.codes[key]
+
     def leaf(self, tag: str, text: str, main: bool, close: bool = True) -> None:
-        self.parts.append(f"<{tag}>{text}" + f"</{tag}>" * close)
+        name = self.called(tag, []) if self.naming == "code" else ""
+        self.parts.append(f"<{tag}" + f' class="{name}"' * bool(name) + f">{text}" + f"</{tag}>" * close)
         self.labels.append(main)
 
     def links(self, lo: int, hi: int) -> None:
@@ -314,6 +332,10 @@ class _Layout:
         self.parts.append("</ul>")
 
     def menu(self) -> None:
+        if self.rng.random() < 0.15:
+            row = self.rng.choice([" | ", " ", "<br>"]).join(f'<a href="/{k}">{self.words(1, 4)}</a>' for k in range(self.rng.randint(1, 6)))
+            self.leaf(self.rng.choice(["div", "center", "p", "nav"]), row, False)
+            return
         tag, names = self.rng.choice([("nav", ["", "", "main-nav"]), ("div", ["menu", "navbar", "top-menu", "breadcrumb", "navigation"]), ("header", ["", "site-header"])])
         self.tag(tag, names, lambda: self.links(1, 8))
 
@@ -334,19 +356,39 @@ class _Layout:
 
     def side(self) -> None:
         tag, names = self.rng.choice([("aside", ["", "sidebar", "widget"]), ("div", ["sidebar", "widget", "related", "side", "trending", "share", "social", "tags"])])
-        self.tag(tag, names, lambda: (self.leaf("h3", self.words(1, 4), False), self.links(1, 5) if self.rng.random() < 0.6 else self.leaf("p", self.words(5, 40), False)))
+        self.tag(tag, names, lambda: (self.leaf(self.rng.choice(["h2", "h3", "h3", "h4"]), self.words(1, 6), False), self.links(1, 5) if self.rng.random() < 0.6 else self.leaf("p", self.words(5, 40), False)))
 
     def form(self) -> None:
         names = ["", "search", "login", "contact", "signup"]
-        self.tag("form", names, lambda: (self.leaf("label", self.words(1, 4), False), self.leaf(self.rng.choice(["button", "p", "div"]), self.words(1, 6), False)))
+        self.tag("form", names, lambda: (self.leaf(self.rng.choice(["label", "label", "h3", "p"]), self.words(1, 6), False), self.leaf(self.rng.choice(["button", "p", "div"]), self.words(1, 6), False)))
 
     def comments(self) -> None:
         def one() -> None:
-            self.tag(self.rng.choice(["div", "li", "article"]), ["comment", "reply", "comment-body"], lambda: [self.leaf("p", self.words(3, 60), False) for _ in range(self.rng.randint(1, 2))])
+            if self.rng.random() < 0.2:
+                self.leaf("b", self.words(1, 3), False)
+                self.parts[-1:] = [f"<div>{self.parts[-1]}</div>"]
+            self.tag(self.rng.choice(["div", "li", "article", "article"]), ["comment", "reply", "comment-body"], lambda: [self.leaf("p", self.words(3, 60), False) for _ in range(self.rng.randint(1, 2))])
+
+        def every() -> None:
+            if self.rng.random() < 0.3:
+                self.leaf(self.rng.choice(["h2", "h3", "h4"]), self.words(1, 6), False)
+            for _ in range(self.rng.randint(1, 4)):
+                one()
 
-        self.tag(self.rng.choice(["div", "section", "ol"]), ["comments", "comment-list", "discussion", "responses", "reader-comments"], lambda: [one() for _ in range(self.rng.randint(1, 4))])
+        if self.rng.random() < 0.3:
+            for _ in range(self.rng.randint(1, 4)):
+                one()
+        else:
+            self.tag(self.rng.choice(["div", "section", "ol"]), ["comments", "comment-list", "discussion", "responses", "reader-comments"], every)
 
     def foot(self) -> None:
+        if self.rng.random() < 0.15:
+            made = f"{self.rng.choice(['&copy;', 'Copyright', 'Copyright &copy;'])} {self.words(1, 12)}"
+            if self.rng.random() < 0.5:
+                self.tag("div", ["", "", "bottom"], lambda: self.leaf(self.rng.choice(["p", "div"]), made, False))
+            else:
+                self.leaf(self.rng.choice(["div", "p", "center", "address"]), made, False)
+            return
         tag, names = self.rng.choice([("footer", ["", "", "site-footer"]), ("div", ["footer", "copyright", "bottom", "legal", "site-footer"])])
         self.tag(tag, names, lambda: (self.parts.append(f"&copy; {self.words(1, 20)}"), self.labels.append(False)) if self.rng.random() < 0.7 else self.links(1, 5))
 
@@ -354,6 +396,10 @@ class _Layout:
         """A story in one block, or in nameless ones, its paragraphs parted by line breaks."""
         if self.rng.random() < 0.5:
             self.leaf("h1", self.words(2, 14), True)
+        if self.rng.random() < 0.2:
+            self.parts.append("<hr>" + "<br><br>".join(self.words(20, 90) for _ in range(self.rng.randint(1, 5))) + "<hr>")
+            self.labels.append(True)
+            return
         for _ in range(self.rng.choice([1, 1, 2, 4])):
             self.leaf(self.rng.choice(["div", "div", "p"]), "<br><br>".join(self.words(20, 90) for _ in range(self.rng.randint(1, 4))), True)
 
@@ -361,13 +407,20 @@ class _Layout:
         if self.rng.random() < 0.8:
             self.leaf(self.rng.choice(["h1", "h1", "h2"]), self.words(2, 14), True)
         for _ in range(self.rng.randint(1, 14)):
-            kind = self.rng.random()
-            if kind < 0.72:
-                self.leaf("p", self.words(*self.rng.choice([(1, 6), (4, 40), (20, 140)])), True, self.rng.random() < 0.9)
+            kind = self.rng.random() * (1 if self.named else 0.93)
+            if kind < 0.7:
+                self.leaf("p", self.words(*self.rng.choice([(1, 1), (1, 6), (4, 40), (4, 40), (20, 140), (20, 140)])), True, self.rng.random() < 0.9)
+            elif kind < 0.715:
+                rows = ["".join(f"<{t}>{self.words(1, 5)}</{t}>" for t in [self.rng.choice(["td", "td", "th"])] * 2) for _ in range(self.rng.randint(1, 3))]
+                self.parts.append("<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>")
+                self.labels += [True] * (2 * len(rows))
+            elif kind < 0.725:
+                self.parts.append(f"<dl><dt>{self.words(1, 5)}</dt><dd>{self.words(3, 30)}</dd></dl><figure><img src=x><figcaption>{self.words(2, 12)}</figcaption></figure>")
+                self.labels += [True] * 3
             elif kind < 0.8:
                 self.leaf("p", f"<b>{self.words(2, 40)}<br>", True, False)
             elif kind < 0.85:
-                self.leaf(self.rng.choice(["h2", "h3", "blockquote", "pre"]), self.words(2, 30), True)
+                self.leaf(self.rng.choice(["h2", "h3", "h4", "blockquote", "pre", "div"]), self.words(2, 30), True)
             elif kind < 0.9:
                 self.parts.append("<ul>")
                 for _ in range(self.rng.randint(1, 4)):
@@ -381,15 +434,28 @@ class _Layout:
                 self.advert()
             else:
                 self.rng.choice([self.form, self.notice, self.side])()
+        if self.named and self.rng.random() < 0.12:
+            self.comments()
 
     def main(self) -> None:
+        if self.rng.random() < 0.06:
+            row = self.rng.choice([" ", "<br>"]).join(f'<a href="/{k}">{self.words(1, 4)}</a>' for k in range(self.rng.randint(1, 6)))
+            self.parts.append(f"<table><tr><td>{row}</td><td>")
+            self.labels.append(False)
+            self.story()
+            self.parts.append("</td></tr>")
+            if self.rng.random() < 0.5:
+                self.parts.append(f"<tr><td>{self.rng.choice(['&copy;', 'Copyright'])} {self.words(1, 8)}</td></tr>")
+                self.labels.append(False)
+            self.parts.append("</table>")
+            return
         if self.rng.random() < 0.12:
             if self.rng.random() < 0.5:
                 self.bare()
             else:
                 self.tag(self.rng.choice(["div", "article", "main"]), ["", "", "content"], self.bare)
             return
-        tag, names = self.rng.choice([("article", ["", "", "post"]), ("article", ["", "story"]), ("main", ["", "content"]), ("div", ["content", "post-body", "entry-content", "article-body", "main-content", "story"]), ("section", ["content", "article", "entry"])])
+        tag, names = self.rng.choice([("article", ["", "", "post"]), ("article", ["", "story"]), ("main", ["", "content"]), ("div", ["content", "post-body", "entry-content", "article-body", "main-content", "story", "text", "post", "entry", "prose", "body-text"]), ("section", ["content", "article", "entry"])])
         if self.rng.random() < 0.3:
             self.tag(self.rng.choice(["main", "div"]), ["", "content", "main", "container", "wrapper", "page"], lambda: self.tag(tag, names, self.story))
         else:
@@ -405,11 +471,12 @@ def invented(n: int, seed: int) -> tuple[list[str], list[list[bool]]]:
         page.parts.append("<!DOCTYPE html><html><head><meta charset='utf-8'>")
         page.leaf("title", page.words(2, 12), False)
         page.parts.append("<style>p{margin:0}</style><script>var t='</p>';</script></head><body>")
-        top = [page.menu, page.header, page.advert, page.notice, page.side, page.form]
-        for part in rng.sample(top, rng.randint(0, 4)):
+        top = [page.menu, page.header, page.advert, page.notice, page.side, page.form] if page.named else [page.menu, page.form, page.menu]
+        for part in rng.sample(top, rng.randint(0, min(4, len(top)))):
             part()
         page.main()
-        for part in rng.sample([page.comments, page.side, page.advert, page.form, page.notice, page.menu], rng.randint(0, 3)):
+        end = [page.comments, page.side, page.advert, page.form, page.notice, page.menu] if page.named else [page.menu, page.form, page.menu]
+        for part in rng.sample(end, rng.randint(0, 3)):
             part()
         if rng.random() < 0.85:
             page.foot()
