@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthframe.staging import stage
+
 #: Sizes of the sketches: relative errors of about 1.04 / sqrt(2^LOG) of a distinct count, and about 1.4 % of a rank.
 LOG, RANKS = 12, 200
 
@@ -31,8 +35,12 @@ def rolled_up(stored: DataFrame, by: list[str], sets: list[list[str]]) -> DataFr
         F.sum("rows").alias("rows"), F.sum("values").alias("values"), F.min("least").alias("least"), F.max("largest").alias("largest"),
         F.hll_union_agg("distinct_sketch").alias("distinct_sketch"), F.kll_merge_agg_double("value_sketch").alias("value_sketch"),
     ]
+    return _by_sets(stored, by, sets, made)
+
+
+def _by_sets(rows: DataFrame, by: list[str], sets: list[list[str]], made: list[Column]) -> DataFrame:
     level = F.concat_ws(",", *(F.when(F.grouping(c) == 0, F.lit(c)) for c in by)).alias("level")
-    return stored.groupingSets([[F.col(c) for c in s] for s in sets], *map(F.col, by)).agg(level, *made)
+    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *map(F.col, by)).agg(level, *made)
 
 
 def estimates(rolled: DataFrame, shares: list[float]) -> DataFrame:
@@ -42,3 +50,38 @@ def estimates(rolled: DataFrame, shares: list[float]) -> DataFrame:
         return F.when(F.col("values") > 0, F.kll_sketch_get_quantile_double("value_sketch", F.lit(share))).alias(f"q{round(100 * share)}")
 
     return rolled.select("*", F.hll_sketch_estimate("distinct_sketch").alias("distinct"), *map(quantile, shares)).drop("distinct_sketch", "value_sketch")
+
+
+def distinct_counts(rows: DataFrame, by: list[str], sets: list[list[str]], distinct: str) -> DataFrame:
+    """The exact number of different non-null values of a column for each of these sets: by, level, distinct.
+
+    Rows are first brought to one for each value and columns of by. Nothing but counts is grouped with the values: a sketch or
+    quantiles beside them would be made anew for each value.
+    """
+    once = rows.select(*by, distinct).distinct()
+    return _by_sets(once, by, sets, [F.countDistinct(distinct).alias("distinct")])
+
+
+def shares(rows: DataFrame, by: list[str], sets: list[list[str]], marks: DataFrame, value: str, mark: str) -> DataFrame:
+    """How many values of each group are below its mark and up to it: by, level, below, up_to.
+
+    marks has a row for each group (by, level, mark), as rolled_up() names them, and is broadcast. The share of values
+    below an estimated quantile tells how near it is, exactly and by counting only. Rows are gone through once, for all sets.
+    """
+    counts = []
+    for k, s in enumerate(sets):
+        own = marks.where(F.col("level") == _level(by, s)).select(*(F.col(c).alias(f"_{c}") for c in s), F.col(mark).alias(f"_mark{k}"))
+        same = reduce(lambda found, c: found & F.col(c).eqNullSafe(F.col(f"_{c}")), s, F.lit(True))
+        rows = rows.join(F.broadcast(own), same, "left").drop(*(f"_{c}" for c in s))
+        counts += [F.count_if(F.col(value) < F.col(f"_mark{k}")).alias(f"below{k}"), F.count_if(F.col(value) <= F.col(f"_mark{k}")).alias(f"up_to{k}")]
+    finest = stage(rows.groupBy(*by).agg(*counts), "shares")
+    made = []
+    for k, s in enumerate(sets):
+        grouped = finest.groupBy(*s).agg(F.sum(f"below{k}").alias("below"), F.sum(f"up_to{k}").alias("up_to"))
+        keys = [F.col(c) if c in s else F.lit(None).cast(finest.schema[c].dataType).alias(c) for c in by]
+        made.append(grouped.select(*keys, F.lit(_level(by, s)).alias("level"), "below", "up_to"))
+    return reduce(DataFrame.union, made)
+
+
+def _level(by: list[str], own: list[str]) -> str:
+    return ",".join(c for c in by if c in own)

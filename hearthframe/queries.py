@@ -765,13 +765,14 @@ def q48_rolled_up_sketches(spark, sf):
     stored = stage(summaries.sketched(rows, [*by, "day"], "o_custkey", "price"), "sketches")
     sets = [by, ["segment"], ["priority"], []]
     found = summaries.estimates(summaries.rolled_up(stored, by, sets), [0.5])
-    level = F.concat_ws(",", *(F.when(F.grouping(c) == 0, F.lit(c)) for c in by)).alias("level")
-    cells = [F.countDistinct("o_custkey").alias("exact"), F.percentile_approx("price", [0.45, 0.55], 100_000).alias("around")]
-    exact = rows.groupingSets([[F.col(c) for c in s] for s in sets], *map(F.col, by)).agg(level, *cells)
+    seen = summaries.distinct_counts(rows, by, sets, "o_custkey").withColumnRenamed("distinct", "exact")
     same = F.expr("a.level = b.level AND a.segment <=> b.segment AND a.priority <=> b.priority")
-    both = found.alias("a").join(F.broadcast(exact.alias("b")), same)
+    both = stage(found.alias("a").join(F.broadcast(seen.alias("b")), same).select("a.*", "exact"), "estimates")
+    around = summaries.shares(rows, by, sets, both, "price", "q50")
     near = (F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.1 * F.col("exact"))).alias("distinct_near")
-    return both.select("a.segment", "a.priority", "a.rows", "a.values", "a.least", "a.largest", near, F.col("q50").between(F.col("around")[0], F.col("around")[1]).alias("median_near"))
+    same = F.expr("c.level = d.level AND c.segment <=> d.segment AND c.priority <=> d.priority")
+    median = F.when(F.col("values") > 0, (F.col("below") <= 0.55 * F.col("values")) & (F.col("up_to") >= 0.45 * F.col("values"))).alias("median_near")
+    return both.alias("c").join(F.broadcast(around.alias("d")), same).select("c.segment", "c.priority", "c.rows", "c.values", "c.least", "c.largest", near, median)
 
 
 _SNAPSHOTS = """

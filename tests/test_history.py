@@ -117,3 +117,30 @@ def test_sketches_roll_up_within_their_bounds(spark):
             assert abs(sum(p <= got for p in prices) / len(prices) - share) < 0.03
     none = summaries.estimates(summaries.rolled_up(summaries.sketched(df.withColumn("price", F.lit(None).cast("double")), [*by, "day"], "address", "price"), by, [[]]), [0.5]).first()
     assert none["values"] == 0 and none.q50 is None and none.rows == 20_000
+
+
+def test_exact_counts_and_shares_by_sets(spark):
+    rows = [(d, z, a, p) for d, z, a, p in [("x", "1", 1, 5.0), ("x", "1", 1, 7.0), ("x", "2", 2, None), (None, "2", 1, 9.0), (None, "2", None, 1.0), ("y", None, 3, 2.0)]]
+    df = spark.createDataFrame(rows, "district string, zone string, address long, price double")
+    by, sets = ["district", "zone"], [["district", "zone"], ["district"], []]
+    groups = lambda s: {tuple(r[by.index(c)] if c in s else None for c in by) for r in rows}
+    own = lambda s, g: [r for r in rows if all(r[by.index(c)] == g[by.index(c)] for c in s)]
+    want = {(*g, ",".join(s)): len({r[2] for r in own(s, g)} - {None}) for s in sets for g in groups(s)}
+    found = summaries.distinct_counts(df, by, sets, "address")
+    assert {(r.district, r.zone, r.level): r.distinct for r in found.collect()} == want
+    # an aggregate beside the distinct one would be made anew for each value
+    assert "percentile" not in found._jdf.queryExecution().toString() and "sketch" not in found._jdf.queryExecution().toString()
+    marks = spark.createDataFrame([(*g, float(5 + len(g[2]) % 3)) for g in want], "district string, zone string, level string, mark double")
+    got = {(r.district, r.zone, r.level): (r.below, r.up_to) for r in summaries.shares(df, by, sets, marks, "price", "mark").collect()}
+    prices = lambda s, g: [r[3] for r in own(s, g) if r[3] is not None]
+    mark = lambda s: float(5 + len(",".join(s)) % 3)
+    assert got == {(*g, ",".join(s)): (sum(p < mark(s) for p in prices(s, g)), sum(p <= mark(s) for p in prices(s, g))) for s in sets for g in groups(s)}
+
+
+def test_the_query_of_sketches_has_no_quantiles_beside_distinct_counts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from hearthframe import queries
+
+    monkeypatch.setattr(F, "percentile_approx", lambda *_: 1 / 0)
+    assert queries.q48_rolled_up_sketches(spark, "/root/testdata/sf0.001").where("NOT median_near OR NOT distinct_near").count() == 0
