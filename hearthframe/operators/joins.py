@@ -15,6 +15,11 @@ HOT = 1 / 500
 MANY = 50_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over twice as many tasks as run at once, for work that is heavy beside the bytes of its rows: a small file is one task."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def small_side(df: DataFrame, rows: int = ROWS, size: int = BYTES, written: bool = False) -> DataFrame:
     """df, marked for broadcasting if its rows and their bytes are within these bounds; else Spark shuffles both sides.
 

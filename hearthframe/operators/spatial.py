@@ -29,39 +29,59 @@ def _series() -> tuple[float, list[float], list[float]]:
     return radius, alpha, beta
 
 
-def project(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Degrees to metres east and north by the transverse Mercator series."""
+def _plain(values: list[Column], body):
+    """body of these values as they stand, for columns, whose common parts Spark computes once."""
+    return body(*values)
+
+
+def project(lon: Column, lat: Column, let=_plain):
+    """Degrees to metres east and north by the transverse Mercator series: (x, y), or with let=_let their struct."""
     radius, alpha, _ = _series()
     e = math.sqrt(FLATTENING * (2 - FLATTENING))
-    s, turn = F.sin(F.radians(lat)), F.radians(lon - LON0)
-    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(alpha, 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return EASTING + radius * east, NORTHING + radius * north - radius * math.radians(LAT0)
-
-
-def unproject(x: Column, y: Column) -> tuple[Column, Column]:
-    """Metres to degrees: (lon, lat). The conformal latitude is turned into the geographic one by three Newton steps."""
+
+    def metres(xi: Column, eta: Column):
+        east, north = eta, xi
+        for j, a in enumerate(alpha, 1):
+            east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return _point(let, EASTING + radius * east, NORTHING + radius * north - radius * math.radians(LAT0))
+
+    def angles(t: Column, turn: Column):
+        return let([F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))], metres)
+
+    return let([F.sin(F.radians(lat)), F.radians(lon - LON0)], lambda s, turn: let([F.sinh(F.atanh(s) - e * F.atanh(e * s)), turn], angles))
+
+
+def unproject(x: Column, y: Column, let=_plain):
+    """Metres to degrees: (lon, lat), or with let=_let their struct. The conformal latitude is turned into the geographic one by three Newton steps."""
     radius, _, beta = _series()
     e = math.sqrt(FLATTENING * (2 - FLATTENING))
-    eta0, xi0 = (x - EASTING) / radius, (y - NORTHING) / radius + math.radians(LAT0)
-    xi, eta = xi0, eta0
-    for j, b in enumerate(beta, 1):
-        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
-    goal = F.sin(xi) / F.sqrt(F.sinh(eta) * F.sinh(eta) + F.cos(xi) * F.cos(xi))
 
-    def newton(t: Column) -> Column:
-        sigma = F.sinh(e * F.atanh(e * t / F.sqrt(1 + t * t)))
-        now = t * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + t * t)
-        slope = (1 - e * e) * F.sqrt(1 + now * now) * F.sqrt(1 + t * t) / (1 + (1 - e * e) * t * t)
-        return t + (goal - now) / slope
+    def newton(t: Column, goal: Column) -> Column:
+        sigma = lambda t: F.sinh(e * F.atanh(e * t / F.sqrt(1 + t * t)))
+
+        def step(t: Column, now: Column) -> Column:
+            slope = (1 - e * e) * F.sqrt(1 + now * now) * F.sqrt(1 + t * t) / (1 + (1 - e * e) * t * t)
+            return t + (goal - now) / slope
 
-    steps = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), goal, lambda t, _: newton(t))
-    return LON0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(F.atan(steps))
+        return let([t, sigma(t)], lambda t, sigma: let([t, t * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + t * t)], step))
+
+    def degrees(xi: Column, eta: Column, goal: Column):
+        steps = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), goal, lambda t, _: newton(t, goal))
+        return _point(let, LON0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(F.atan(steps)))
+
+    def angles(eta0: Column, xi0: Column):
+        xi, eta = xi0, eta0
+        for j, b in enumerate(beta, 1):
+            xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+            eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+        return let([xi, eta], lambda xi, eta: let([xi, eta, F.sin(xi) / F.sqrt(F.sinh(eta) * F.sinh(eta) + F.cos(xi) * F.cos(xi))], degrees))
+
+    return let([(x - EASTING) / radius, (y - NORTHING) / radius + math.radians(LAT0)], angles)
+
+
+def _point(let, x: Column, y: Column):
+    return (x, y) if let is _plain else F.struct(x.alias("x"), y.alias("y"))
 
 
 def projected(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -78,12 +98,17 @@ def edges(polygons: DataFrame, pid: str, rings: str = "rings") -> DataFrame:
     return ring.select(pid, F.inline(pairs)).where("NOT (x1 <=> x2 AND y1 <=> y2)")
 
 
+def _let(values: list[Column], body) -> Column:
+    """body of these values, each computed once: inside a lambda Spark computes an expression again wherever it is used."""
+    one = F.struct(*(v.alias(f"v{k}") for k, v in enumerate(values)))
+    return F.transform(F.array(one), lambda v: body(*(v[f"v{k}"] for k in range(len(values)))))[0]
+
+
 def project_parts(parts: Column, to=None) -> Column:
     """Lines or rings (arrays of parts of (x, y) in degrees) in metres; with to=unproject the other way round."""
 
     def point(p: Column) -> Column:
-        x, y = (to or project)(p.x, p.y)
-        return F.struct(x.alias("x"), y.alias("y"))
+        return (to or project)(p.x, p.y, let=_let)
 
     return F.transform(parts, lambda part: F.transform(part, point))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthframe.functions import text as X
-from hearthframe.operators import clean, cover, geocode, history, metrics, network, spatial, summaries, unify
+from hearthframe.operators import clean, cover, geocode, history, joins, metrics, network, spatial, summaries, unify
 from hearthframe.plans import urls
 from hearthframe.schema import PORTAL_COLUMNS
 from hearthframe.sources import files, html, layers, legacy, workbook
@@ -592,7 +592,7 @@ def q41_project_parts(spark, sf):
     """Lines to metres and back to degrees; the first point of each comes out where it was."""
     at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     line = F.array(F.array(at(F.col("lon"), F.col("lat")), at(F.col("lon") + 0.01, F.col("lat"))), F.array(at(F.col("lon"), F.col("lat")), at(F.col("lon"), F.col("lat") + 0.01)))
-    metres = _lonlat(spark, sf).select("id", spatial.project_parts(line).alias("parts"))
+    metres = joins.spread(_lonlat(spark, sf)).select("id", spatial.project_parts(line).alias("parts"))
     back = stage(metres, "lines").select("id", spatial.project_parts(F.col("parts"), spatial.unproject).alias("parts"))
     first = F.col("parts")[0][0]
     return back.select("id", F.round(first["x"], 7).alias("lon"), F.round(first["y"], 7).alias("lat"), F.size("parts").cast("long").alias("parts"))

@@ -205,3 +205,19 @@ def test_geocoding_goes_on_where_it_stopped(spark, tmp_path):
     assert {r.id: r.lat for r in again.collect()} == {**{k: float(k) for k in range(6)}, 6: None, 7: None}
     later = geocode.filled_durably(rows, "Direccion", spark.createDataFrame([(full(6), 6.0, 0.0), (full(0), 99.0, 0.0)], "full_address string, lat double, lon double"), f"{tmp_path}/known", 2)
     assert {r.id: r.lat for r in later.collect()} == {**{k: float(k) for k in range(7)}, 7: None}
+
+
+def test_parts_are_projected_by_expressions_without_repeats(spark):
+    rows = spark.createDataFrame([([[(-58.4, -34.6), (-58.38, -34.61)], [(-58.5, -34.7)]],), (None,), ([[(None, 1.0)], []],)], "p array<array<struct<x:double,y:double>>>")
+    there = spatial.project_parts(F.col("p"))
+    back = spatial.project_parts(F.col("m"), spatial.unproject)
+    # a lambda computes an expression as often as it is written there
+    assert str(there).lower().count("atanh") <= 3 and str(back).lower().count("atanh") <= 1
+    made = rows.select("p", there.alias("m")).select("p", "m", back.alias("b")).collect()
+    flat = spark.createDataFrame([(x, y) for r in made for part in r.p or [] for x, y in part], "lon double, lat double")
+    x, y = spatial.project(F.col("lon"), F.col("lat"))
+    assert [tuple(p) for r in made for part in r.m or [] for p in part] == [tuple(r) for r in flat.select(x, y).collect()]
+    lon, lat = spatial.unproject(F.col("x"), F.col("y"))
+    want = [tuple(r) for r in flat.select(x.alias("x"), y.alias("y")).select(lon, lat).collect()]
+    assert [tuple(p) for r in made for part in r.b or [] for p in part] == want
+    assert made[1].m is None and made[2].b == [[(None, None)], []]
