@@ -11,11 +11,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthframe.operators.joins import join_cells
+from hearthframe.operators.joins import join_cells, small_side
 from hearthframe.staging import stage
 
 #: Nodes of a cell in the mean.
 FEW = 4
+#: Nodes that a point meets in one array, about, at most.
+PACK = 256
 #: POSGAR 94 / Argentina zone 5 (EPSG:22185) on the WGS 84 ellipsoid.
 SEMI_MAJOR, FLATTENING, LON0, LAT0, EASTING, NORTHING = 6378137.0, 1 / 298.257223563, -60.0, -90.0, 5_500_000.0, 0.0
 
@@ -152,7 +154,8 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float, grow: int = 4) ->
     A node within one cell's width lies in the nine cells around a point, so nearer matches are final.
     Cells begin at a width that fits how densely the nodes lie, at most cell, so that a point meets few
     nodes; points without a match meet coarser cells, until one cell is wider than all points and nodes.
-    Few nodes are broadcast; else the points of a crowded cell are spread over as many tasks as they ask for. Of nodes
+    The nodes around a cell come as arrays of at most PACK, and a point's nearest of an array is found where they meet, so that
+    it is never there once for each node. Few arrays are broadcast; else the points of a crowded cell are spread over as many tasks as they ask for. Of nodes
     with the same coordinates only the smallest node_id is looked at. Points and nodes without coordinates match nothing.
     """
     has = "x IS NOT NULL AND y IS NOT NULL"
@@ -165,12 +168,11 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float, grow: int = 4) ->
         cells = F.struct(F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
         around = F.explode(F.array(*(F.struct((F.floor(F.col("x") / cell) + a).alias("cx"), (F.floor(F.col("y") / cell) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
         # nodes go to the cells around them, so points, which are more, are not multiplied
-        there = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), around.alias("c"))
-        there = stage(there.select("node_id", "nx", "ny", "c.*"), "around")
+        there = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), around.alias("c")).select("node_id", "nx", "ny", "c.*")
+        there = stage(_packed(there), "around")
         here = left.select("id", "x", "y", cells.alias("c")).select("id", "x", "y", "c.*")
-        d = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
-        best = join_cells(here, there, ["cx", "cy"], "id").groupBy("id").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("b"))
-        found = best.select("id", "b.node_id", "b.d")
+        best = join_cells(here, there, ["cx", "cy"], "id").select("id", _nearest_of(F.col("packed"), F.col("x"), F.col("y")).alias("b"))
+        found = best.groupBy("id").agg(F.min("b").alias("b")).select("id", "b.node_id", "b.d")
         if not last:
             found = found.where(F.col("d") <= cell)
         found = stage(found, "nearest")
@@ -181,6 +183,20 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float, grow: int = 4) ->
         left, cell = stage(left, "unmatched"), cell * grow
 
 
+def _packed(there: DataFrame) -> DataFrame:
+    """Nodes (node_id, nx, ny) of cells (cx, cy) as arrays of at most about PACK of them, several of a crowded cell."""
+    counts = there.groupBy("cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > PACK)
+    crowded = small_side(counts.select("cx", "cy", F.ceil(F.col("n") / PACK).alias("_packs")))
+    dealt = there.join(crowded, ["cx", "cy"], "left").withColumn("_pack", F.pmod(F.xxhash64("node_id"), F.coalesce("_packs", F.lit(1))))
+    return dealt.groupBy("cx", "cy", "_pack").agg(F.collect_list(F.struct("node_id", "nx", "ny")).alias("packed")).drop("_pack")
+
+
+def _nearest_of(packed: Column, x: Column, y: Column) -> Column:
+    """The least (d, node_id) of an array of nodes."""
+    d = lambda n: F.sqrt(F.pow(x - n.nx, 2) + F.pow(y - n.ny, 2))
+    return F.array_min(F.transform(packed, lambda n: F.struct(d(n).alias("d"), n.node_id.alias("node_id"))))
+
+
 def centroid(rings: Column) -> tuple[Column, Column]:
     """The area centroid of all rings (holes wind the other way); of shapes without area the mean of their vertices."""
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))

@@ -221,3 +221,20 @@ def test_parts_are_projected_by_expressions_without_repeats(spark):
     want = [tuple(r) for r in flat.select(x.alias("x"), y.alias("y")).select(lon, lat).collect()]
     assert [tuple(p) for r in made for part in r.b or [] for p in part] == want
     assert made[1].m is None and made[2].b == [[(None, None)], []]
+
+
+def test_nearest_meets_crowded_cells_in_arrays(spark, monkeypatch):
+    rng = random.Random(8)
+    nodes = [(k, rng.choice([50.0, 50.0001 + k / 1e6, rng.uniform(0, 100)]), rng.choice([50.0, 50.0001])) for k in range(1_500)]
+    points = [(k, rng.uniform(49.9, 50.1), rng.uniform(49.9, 50.1)) for k in range(300)] + [(300, 0.0, 0.0), (301, None, 1.0)]
+    seen = []
+    joined = spatial.join_cells
+    monkeypatch.setattr(spatial, "PACK", 16)
+    monkeypatch.setattr(spatial, "join_cells", lambda rows, side, *a: seen.append((rows.count(), side)) or joined(rows, side, *a))
+    got = spatial.nearest(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(nodes, "node_id long, x double, y double"), 5.0)
+    want = {i: min((math.sqrt((x - a) ** 2 + (y - b) ** 2), n) for n, a, b in nodes) for i, x, y in points if x is not None}
+    found = {r.id: (r.d, r.node_id) for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[i][0] - want[i][0]) < 1e-12 and found[i][1] == want[i][1] for i in want)
+    # a point meets arrays and not each of the nodes around it
+    for _, side in seen:
+        assert side.groupBy("cx", "cy").count().agg({"count": "max"}).first()[0] <= 3 * 1_500 / 16
