@@ -92,3 +92,38 @@ def test_split_join(spark):
     want = rows.join(side, "k").count()
     out = join_split(rows, side, ["k"], "id", many=100)
     assert out.columns == ["k", "id", "v"] and out.count() == want == out.distinct().count()
+
+
+def test_polygons_are_cut_together_as_alone():
+    rng = random.Random(11)
+    shapes = []
+    for _ in range(40):
+        x, y, r, n = rng.uniform(5, 95), rng.uniform(5, 95), rng.uniform(0.01, 5), rng.randint(1, 40)
+        ring = [(x + r * rng.uniform(0.2, 1) * math.cos(2 * math.pi * k / n), y + r * rng.uniform(0.2, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+        shapes.append(np.array([(*a, *b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]))
+    starts = np.cumsum([0, *map(len, shapes)])[:-1]
+    together = {k: [] for k in range(len(shapes))}
+    calls = 0
+    for level, own, cx, cy, inner, odd, many, kept in cover.cut(np.concatenate(shapes), starts, 0.0, 0.0, 100.0):
+        calls += 1
+        ends = np.cumsum(many)
+        for k in range(len(own)):
+            together[own[k]].append((level, cx[k], cy[k], inner, odd[k], sorted(map(tuple, kept[ends[k] - many[k] : ends[k]]))))
+    alone = {k: [(*c[:5], sorted(map(tuple, c[5]))) for c in cover.cells(s, 0.0, 0.0, 100.0)] for k, s in enumerate(shapes)}
+    assert {k: sorted(v) for k, v in together.items()} == {k: sorted(v) for k, v in alone.items()}
+    # levels and not polygons times cells
+    assert calls <= 2 * (cover.DEPTH + 1)
+
+
+def test_points_of_one_place_are_tested_once_and_counted_without_pairs(spark, monkeypatch):
+    square = lambda x, y: [[{"x": x, "y": y}, {"x": x + 4.0, "y": y}, {"x": x + 4.0, "y": y + 4.0}, {"x": x, "y": y + 4.0}]]
+    q = spark.createDataFrame([(k, square(float(k % 5), float(k // 5))) for k in range(25)], "pid long, rings array<array<struct<x:double,y:double>>>")
+    p = spark.createDataFrame([(k // 2, k % 7 + 0.5 if k % 50 else None, k % 3 + 0.25) for k in range(600)], "id long, x double, y double")
+    seen, tried = [], cover.tried
+    monkeypatch.setattr(cover, "tried", lambda points, *a, **b: seen.append(points.count()) or tried(points, *a, **b))
+    got = cover.within(p, q, "pid")
+    want = sorted((r.id, k) for r in p.collect() if r.x is not None for k in range(25) if k % 5 < r.x < k % 5 + 4 and k // 5 < r.y < k // 5 + 4)
+    assert got.columns == ["id", "x", "y", "pid"] and sorted((r.id, r.pid) for r in got.collect()) == want
+    assert seen[0] <= 24
+    assert cover.counts(p, q, "pid") == (600, len(want))
+    assert cover.counts(p, q.limit(0), "pid") == (600, 0) and cover.counts(p.limit(0), q, "pid") == (0, 0)
