@@ -42,7 +42,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str], null_exempt: bo
     """
     if null_exempt:
         empty = X.any_of([F.coalesce(F.col(k).cast("string"), F.lit("")) == "" for k in keys])
-        return keep_first(df.where(~empty), keys, order).unionByName(df.where(empty))
+        # a key of its own for each exempt row: two filtered halves would make df twice
+        return keep_first(df.withColumn("_alone", F.when(empty, F.monotonically_increasing_id())), [*keys, "_alone"], order).drop("_alone")
     first = df.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_first"))
     return first.select("_first.*")
 

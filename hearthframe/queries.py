@@ -463,7 +463,7 @@ def _cards(spark, sf) -> DataFrame:
     )
     portal = F.element_at(F.array(F.lit("zonaprop"), F.lit("argenprop"), F.lit("cabaprop")), (k % 3 + 1).cast("int"))
     page = F.when(k % 3 == 0, zona).when(k % 3 == 1, argen).otherwise(caba)
-    return table(spark, sf, "customer").select(portal.alias("portal"), F.lit("palermo").alias("barrio"), F.when(k % 5 == 0, F.lit("ph")).otherwise(F.lit("departamento")).alias("tipo"), F.lit(1).alias("page_no"), k.alias("seq"), page.alias("html"))
+    return joins.spread(table(spark, sf, "customer")).select(portal.alias("portal"), F.lit("palermo").alias("barrio"), F.when(k % 5 == 0, F.lit("ph")).otherwise(F.lit("departamento")).alias("tipo"), F.lit(1).alias("page_no"), k.alias("seq"), page.alias("html"))
 
 
 _LISTINGS = """

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from hearthframe.operators import clean, unify
 from hearthframe.schema import PAGES, PORTAL_COLUMNS
 from hearthframe.sources import files, html, legacy
@@ -125,3 +127,19 @@ def test_removed_rows_are_counted(spark):
     pages = [("zonaprop", "b", "ph", 1, s, ZONA.format(price=p, href=h, place="Calle 1")) for s, p, h in [(1, "$ 50.000", "/a"), (2, "$ 60.000", "/a"), (3, "$ 5", "/b")]]
     kept, before, after = clean.cleaned_and_counted(html.raw_listings(spark.createDataFrame(pages, PAGES)))
     assert kept.count() == 1 and clean.removed(before, after) == 2
+
+
+def test_keeping_firsts_reads_its_rows_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        calls.add(1)
+        return v
+
+    rows = [("a", "u1", 3), ("a", "u1", 1), ("b", "u1", 2), ("a", None, 1), ("a", None, 1), ("a", "", 5), ("a", "u2", 4)]
+    df = spark.createDataFrame(rows, "p string, url string, seq int")
+    made = df.withColumn("url", F.udf(seen, "string")("url"))
+    got = clean.keep_first(made, ["p", "url"], ["seq"], null_exempt=True)
+    assert got.columns == ["p", "url", "seq"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("a", "u1", 1), ("b", "u1", 2), ("a", None, 1), ("a", None, 1), ("a", "", 5), ("a", "u2", 4)]))
+    assert calls.value == len(rows)
