@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthframe.operators.joins import HOT, join_split
+from hearthframe.operators.joins import HOT, join_split, small_side
 from hearthframe.staging import stage, tidy
 
 #: Rows of one key, at least, whose time is cut into stretches.
 MANY = 50_000
+#: Rows of one key whose periods are compared with each other at once.
+FEW = 256
 
 
 def _cuts(events: DataFrame, keys: list[str], many: int) -> DataFrame:
@@ -88,7 +90,7 @@ def _laid(rows: DataFrame, begin: str, end: str, levels: list[int] | None) -> Da
 
 
 @tidy
-def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_period: tuple[str, str], b_period: tuple[str, str]) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_period: tuple[str, str], b_period: tuple[str, str], few: int = FEW) -> DataFrame:
     """Pairs of rows of a and b with the same keys whose periods [begin, end) overlap, each once; columns of a, then those of b.
 
     Columns must differ in name but for keys. Begins and ends are whole numbers or doubles (days, seconds). Periods
@@ -96,19 +98,28 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_period: tuple[str, s
 
     A period lies in at most two cells of its own level of a lattice, whatever its length, and at each coarser level
     that the other side uses. A pair meets at the coarser of its own two levels, and counts in the cell in which the
-    overlap begins. Crowded cells are dealt out over tasks.
+    overlap begins. Crowded cells are dealt out over tasks. Keys of at most few rows, on both sides together, need no lattice.
     """
     held = []
     for rows, (begin, end), name in ((a, a_period, "_a"), (b, b_period, "_b")):
         fine = rows.where(f"{_same(keys)} AND `{begin}` < `{end}`")
         held.append(fine.select(*keys, F.col(begin).alias(f"{name}0"), F.col(end).alias(f"{name}1"), F.struct(*rows.columns).alias(name)))
+    # a key of few rows is joined as it is: its rows are shuffled once, and not once for each cell
+    every = held[0].select(*keys).union(held[1].select(*keys))
+    crowded = stage(every.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(*keys), "crowded")
+    meet = (F.col("_a0") < F.col("_b1")) & (F.col("_b0") < F.col("_a1"))
+    columns = ["_a.*", *(F.col(f"_b.`{c}`").alias(c) for c in b.columns if c not in keys)]
+    if crowded.isEmpty():
+        return held[0].join(held[1], keys).where(meet).select(*columns)
+    small = small_side(crowded, written=True)
+    direct = held[0].join(small, keys, "left_anti").join(held[1].join(small, keys, "left_anti"), keys).where(meet).select(*columns)
+    held = [h.join(small, keys, "left_semi") for h in held]
     levels = [sorted(r[0] for r in _laid(h, f"{n}0", f"{n}1", None).select("_own").distinct().collect()) for h, n in zip(held, ("_a", "_b"), strict=True)]
     laid = [_laid(h, f"{n}0", f"{n}1", other).withColumnRenamed("_own", f"{n}_own") for h, n, other in zip(held, ("_a", "_b"), levels[::-1], strict=True)]
     met = join_split(laid[0], stage(laid[1], "periods"), [*keys, "_level", "_cell"], "_a")
-    start = F.greatest("_a0", "_b0")
-    same = (F.greatest("_a_own", "_b_own") == F.col("_level")) & (F.col("_a0") < F.col("_b1")) & (F.col("_b0") < F.col("_a1"))
-    once = F.floor(start.cast("double") / F.pow(F.lit(2.0), F.col("_level"))) == F.col("_cell")
-    return met.where(same & once).select("_a.*", *(F.col(f"_b.`{c}`").alias(c) for c in b.columns if c not in keys))
+    same = (F.greatest("_a_own", "_b_own") == F.col("_level")) & meet
+    once = F.floor(F.greatest("_a0", "_b0").cast("double") / F.pow(F.lit(2.0), F.col("_level"))) == F.col("_cell")
+    return direct.union(met.where(same & once).select(*columns))
 
 
 # --- differences of dated snapshots -------------------------------------------------------------------

@@ -144,3 +144,15 @@ def test_the_query_of_sketches_has_no_quantiles_beside_distinct_counts(spark, mo
 
     monkeypatch.setattr(F, "percentile_approx", lambda *_: 1 / 0)
     assert queries.q48_rolled_up_sketches(spark, "/root/testdata/sf0.001").where("NOT median_near OR NOT distinct_near").count() == 0
+
+
+def test_keys_of_few_rows_are_joined_without_a_lattice(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = lambda n: [(rng.choice([1, 1, 1, 2, 3, None]), b, b + rng.choice([0, 1, 5, 60])) for b in (rng.randint(0, 80) for _ in range(n))]
+    left, right = rows(40), rows(40)
+    x, y = spark.createDataFrame(left, "k long, s long, e long"), spark.createDataFrame(right, "k long, u long, w long")
+    want = sorted((k, s, e, u, w) for k, s, e in left for q, u, w in right if k is not None and k == q and s < e and u < w and s < w and u < e)
+    for few in (25, 0):
+        assert sorted(map(tuple, history.overlaps(x, y, ["k"], ("s", "e"), ("u", "w"), few=few).collect())) == want
+    monkeypatch.setattr(history, "_laid", lambda *_: 1 / 0)
+    assert sorted(map(tuple, history.overlaps(x, y, ["k"], ("s", "e"), ("u", "w")).collect())) == want
