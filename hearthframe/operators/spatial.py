@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthframe.operators.joins import join_cells, small_side
+from hearthframe.operators.joins import join_cells, small_side, spread
 from hearthframe.staging import stage
 
 #: Nodes of a cell in the mean.
@@ -159,7 +159,8 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float, grow: int = 4) ->
     with the same coordinates only the smallest node_id is looked at. Points and nodes without coordinates match nothing.
     """
     has = "x IS NOT NULL AND y IS NOT NULL"
-    left, nodes, done = points.where(has).select("id", "x", "y"), stage(nodes.where(has).groupBy("x", "y").agg(F.min("node_id").alias("node_id")), "nodes"), None
+    # dealt out and written: points of one file would be one task, and each round reads them again
+    left, nodes, done = stage(spread(points.where(has).select("id", "x", "y")), "points"), stage(nodes.where(has).groupBy("x", "y").agg(F.min("node_id").alias("node_id")), "nodes"), None
     extent = nodes.select("x", "y").union(left.select("x", "y")).agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
     width = max(extent.w or 0.0, extent.h or 0.0)
     cell = _fine(nodes, cell)

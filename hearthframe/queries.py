@@ -405,10 +405,10 @@ FROM (SELECT id, pid AS "Barrio", * EXCLUDE (id, pid) FROM m) m JOIN c ON c_cust
 """)
 def q28_listing_metrics(spark, sf):
     """Listings in districts, snapped to street nodes, with network distances and counts by layer, cost and price band."""
-    points = _customer_points(spark, sf)
-    homes = spatial.within(points, _polygons(spark).withColumnRenamed("nombre", "Barrio"), "Barrio", 5.0).select("id", "Barrio")
-    snapped = spatial.nearest(points, _supplier_nodes(spark, sf), 5.0).select("id", F.col("node_id").alias("node"))
-    homes = homes.join(snapped, "id")
+    # written: origins, distances and the result read them, and only points in a district are snapped
+    inside = stage(spatial.within(_customer_points(spark, sf), _polygons(spark).withColumnRenamed("nombre", "Barrio"), "Barrio", 5.0), "inside")
+    snapped = spatial.nearest(inside.select("id", "x", "y"), _supplier_nodes(spark, sf), 5.0).select("id", F.col("node_id").alias("node"))
+    homes = stage(inside.select("id", "Barrio").join(snapped, "id"), "homes")
     k = F.col("s_suppkey") % 5
     layer = F.when(k == 0, F.lit("gym")).when(k == 1, F.lit("subte")).when(k == 2, F.lit("parque")).when(k == 3, F.lit("plaza"))
     targets = table(spark, sf, "supplier").select(layer.alias("layer"), F.col("s_suppkey").alias("node"))

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from hearthframe import queries
 from hearthframe.operators import geocode, metrics, network, spatial
 from hearthframe.plans import urls
 from hearthframe.sources import files
@@ -238,3 +239,23 @@ def test_nearest_meets_crowded_cells_in_arrays(spark, monkeypatch):
     # a point meets arrays and not each of the nodes around it
     for _, side in seen:
         assert side.groupBy("cx", "cy").count().agg({"count": "max"}).first()[0] <= 3 * 1_500 / 16
+
+
+def test_nearest_deals_out_points_of_one_task(spark, monkeypatch):
+    joined, tasks = spatial.join_cells, []
+    monkeypatch.setattr(spatial, "join_cells", lambda rows, side, *a: tasks.append(rows.rdd.getNumPartitions()) or joined(rows, side, *a))
+    points = spark.range(400).selectExpr("id", "id % 20 + 0.25D AS x", "id % 7 + 0.25D AS y").coalesce(1)
+    nodes = spark.range(140).selectExpr("id AS node_id", "id % 20 + 0D AS x", "id % 7 + 0D AS y")
+    got = {r.id: r.node_id for r in spatial.nearest(points, nodes, 2.0).collect()}
+    assert got == {k: k % 140 for k in range(400)}
+    assert min(tasks) > 1
+
+
+def test_listing_metrics_find_districts_once(spark, monkeypatch):
+    asked, nearest = [], spatial.nearest
+    monkeypatch.setattr(spatial, "nearest", lambda points, *a: asked.append(points) or nearest(points, *a))
+    df = queries.q28_listing_metrics(spark, "/root/testdata/sf0.001")
+    # the result reads the written homes, not the sides of districts again, and other points aren't snapped
+    read = {f.rsplit("/", 2)[1].split("-")[0] for f in df.inputFiles()}
+    assert "homes" in read and not read & {"sides", "cells"}
+    assert asked[0].distinct().count() == df.select("id").distinct().count()
