@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from hearthframe.operators import clean, unify
@@ -143,3 +145,22 @@ def test_keeping_firsts_reads_its_rows_once(spark):
     assert got.columns == ["p", "url", "seq"]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("a", "u1", 1), ("b", "u1", 2), ("a", None, 1), ("a", None, 1), ("a", "", 5), ("a", "u2", 4)]))
     assert calls.value == len(rows)
+
+
+def test_plain_pages_are_read_alike_and_without_the_builder(monkeypatch):
+    def shown(node):
+        return [c if isinstance(c, str) else (c.tag, c.attrs, shown(c)) for c in node.children]
+
+    rng = random.Random(4)
+    plain = ["<div>", "</div>", '<p class="a  b" ID="X">', "</P>", "<br>", "<br/>", '<img alt="" src="a>b<c"/>', "<li >", "</li>", "m² &amp; x", "a &lt b", "&", "\n", "1 > 2", '<a\nhref="/x"/>', "</b>", "\x00"]
+    odd = ["<", "< p>", "<!-- <p> -->", "<!doctype html>", "<script>a<b</script>", "<p a=1>", "<p a='1'>", "<p a>", '<p a="1"b="2">', '<a href="?a=1&amp;b=2&copy=3">', "</p >", "</>", "<p", '<p a="', "<?x?>", "<title>&amp;</title>", "<p/ >", "<p\x0c>", "<h-1>", "</h-1>"]
+    for n in range(4_000):
+        page = "".join(rng.choice(plain + odd * (n % 2)) for _ in range(rng.randrange(12)))
+        got = html._plain_tree(page)
+        assert n % 2 or got is not None, page
+        assert got is None or shown(got) == shown(html._built_tree(page)), page
+        assert shown(html.parse(page)) == shown(html._built_tree(page))
+    # the cards of the portals need no builder
+    monkeypatch.setattr(html, "_Builder", None)
+    pages = {"zonaprop": ZONA.format(price="$ 1", href="/a", place="Calle 1"), "argenprop": ARGEN.format(href="/a", price="$ 1", title="t"), "cabaprop": CABA.format(place="Calle 1")}
+    assert [len(html.cards(page, portal)) for portal, page in pages.items()] == [1, 1, 1]
