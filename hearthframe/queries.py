@@ -760,7 +760,7 @@ def q48_rolled_up_sketches(spark, sf):
     """Orders by segment and priority, rolled up from sketches stored by day; whether the estimates are near what the rows say."""
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
     by = ["segment", "priority"]
-    rows = rows.select(F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), F.trunc("o_orderdate", "month").alias("day"), "o_custkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("price"))
+    rows = rows.select(F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").cast("date").alias("day"), "o_custkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("price"))
     stored = stage(summaries.sketched(rows, [*by, "day"], "o_custkey", "price"), "sketches")
     sets = [by, ["segment"], ["priority"], []]
     found = summaries.estimates(summaries.rolled_up(stored, by, sets), [0.5])
@@ -770,7 +770,7 @@ def q48_rolled_up_sketches(spark, sf):
     around = summaries.shares(rows, by, sets, both, "price", "q50")
     near = (F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.1 * F.col("exact"))).alias("distinct_near")
     same = F.expr("c.level = d.level AND c.segment <=> d.segment AND c.priority <=> d.priority")
-    median = F.when(F.col("values") > 0, (F.col("below") <= 0.55 * F.col("values")) & (F.col("up_to") >= 0.45 * F.col("values"))).alias("median_near")
+    median = F.when(F.col("values") > 0, (F.col("below") <= 0.55 * F.col("values")) & (F.col("up_to") >= 0.45 * F.col("values"))).otherwise(F.col("q50").isNull()).alias("median_near")
     return both.alias("c").join(F.broadcast(around.alias("d")), same).select("c.segment", "c.priority", "c.rows", "c.values", "c.least", "c.largest", near, median)
 
 

@@ -146,6 +146,34 @@ def test_the_query_of_sketches_has_no_quantiles_beside_distinct_counts(spark, mo
     assert queries.q48_rolled_up_sketches(spark, "/root/testdata/sf0.001").where("NOT median_near OR NOT distinct_near").count() == 0
 
 
+def test_the_query_of_sketches_stores_them_by_day(spark, monkeypatch):
+    from hearthframe import queries
+
+    sf, stored, rolled_up = "/root/testdata/sf0.001", [], summaries.rolled_up
+    monkeypatch.setattr(summaries, "rolled_up", lambda df, *a: rolled_up(stored.append(df) or df, *a))
+    queries.q48_rolled_up_sketches(spark, sf)
+    rows = spark.read.parquet(f"{sf}/orders.parquet").join(spark.read.parquet(f"{sf}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey"))
+    want = rows.groupBy("c_mktsegment", "o_orderpriority", F.col("o_orderdate").cast("date").alias("day")).count().collect()
+    assert len({r.day for r in want}) > 100
+    assert Counter((r.segment, r.priority, r.day, r.rows) for r in stored[0].collect()) == Counter(map(tuple, want))
+
+
+def test_the_query_of_sketches_on_groups_without_prices(spark, tmp_path):
+    import duckdb
+
+    from hearthframe import queries
+
+    spark.createDataFrame([(1, "A"), (2, None)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(11, 1, dt.datetime(2000, 1, 1), 5.0, "x"), (22, 1, dt.datetime(2000, 1, 2), 6.0, "x"), (3, 2, dt.datetime(2000, 1, 2), 7.0, None), (4, 2, None, None, "y"), (5, 9, None, 1.0, "x")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for name in ("customer", "orders"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    name = "q48_rolled_up_sketches"
+    got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert Counter(map(tuple, got)) == Counter(con.sql(queries.ORACLE_SQL[name]).fetchall())
+
+
 def test_keys_of_few_rows_are_joined_without_a_lattice(spark, monkeypatch):
     rng = random.Random(12)
     rows = lambda n: [(rng.choice([1, 1, 1, 2, 3, None]), b, b + rng.choice([0, 1, 5, 60])) for b in (rng.randint(0, 80) for _ in range(n))]
